@@ -13,6 +13,7 @@ from .decontaminate import find_contamination
 from .idstore import scan_store, write_store
 from .packing import pack_documents
 from .quality import score_documents
+from .suffix_dedup import remove_repeats
 from .urls import judge_urls
 
 #: The rules of query 10.
@@ -25,6 +26,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -55,6 +60,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op5_packing": op5_packing,
         "op6_quality": op6_quality,
         "op7_token_ids": op7_token_ids,
