@@ -13,6 +13,7 @@ from .decontaminate import find_contamination
 from .idstore import scan_store, write_store
 from .packing import pack_documents
 from .quality import score_documents
+from .recompression import remove_repeated_words
 from .suffix_dedup import remove_repeats
 from .urls import judge_urls
 
@@ -30,6 +31,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -61,6 +66,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op3_recompression": op3_recompression,
         "op5_packing": op5_packing,
         "op6_quality": op6_quality,
         "op7_token_ids": op7_token_ids,
