@@ -11,6 +11,7 @@ from .chat import format_conversations, read_back
 from .common import table
 from .decontaminate import find_contamination
 from .idstore import scan_store, write_store
+from .near_dups import find_near_dups
 from .packing import pack_documents
 from .quality import score_documents
 from .recompression import remove_repeated_words
@@ -35,6 +36,10 @@ def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_near_dups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op3_recompression": op3_recompression,
+        "op4_near_dups": op4_near_dups,
         "op5_packing": op5_packing,
         "op6_quality": op6_quality,
         "op7_token_ids": op7_token_ids,
