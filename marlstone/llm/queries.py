@@ -16,6 +16,7 @@ from .packing import pack_documents
 from .quality import score_documents
 from .recompression import remove_repeated_words
 from .suffix_dedup import remove_repeats
+from .syncmers import fingerprint_edits
 from .urls import judge_urls
 
 #: The rules of query 10.
@@ -32,6 +33,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_syncmers": op2_syncmers,
         "op3_recompression": op3_recompression,
         "op4_near_dups": op4_near_dups,
         "op5_packing": op5_packing,
