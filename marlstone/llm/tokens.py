@@ -8,8 +8,7 @@ encoded in one call.  The ids are always those of ``Tokenizer.encode(text, add_s
 from __future__ import annotations
 
 import os
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -40,38 +39,59 @@ class ChunkEncoder:
         ]
         self.lowers = self.tok.encode("A", add_special_tokens=False).ids == self.tok.encode("a", add_special_tokens=False).ids
         self.model, self.alphabet = self.tok.model, byte_alphabet()
-        self.new: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.new: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
         self.lead = "" if self.drops_space else " "
+        self.blank = {"": "", " ": self.alphabet[32]}
+        self.line = self.whole("\n")
+        self.ends = {c: self.whole(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _letters(self, s: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.alphabet))]
-
-    def _chunk(self, chunk: str) -> bytes | None:
-        """Ids of one chunk; None if it can't be told apart from its neighbours."""
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, s: str, lead: str) -> bytes:
+        """One pre-token of letters in normal form."""
+        s = self.blank[lead] + s if s.isascii() else (lead + s).encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
+
+    def _plain(self, chunk: str, lead: str) -> bytes | None:
+        """Ids of letters, with a full stop or comma after them; None for other chunks."""
+        word = chunk.lower() if self.lowers else chunk
+        if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+            return self._letters(word, lead)
+        if chunk[-1] in self.ends and (word := word[:-1]).isalpha() and (word.isascii() or max(word) < "ɐ"):
+            return self._letters(word, lead) + self.ends[chunk[-1]]
+        return None
+
+    def _chunk(self, chunk: str) -> bytes | bool:
+        """Ids of one chunk; False if it can't be told apart from its neighbours."""
         if not self.drops_space and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
-            return None
+            return False
         if not chunk:
             return b""
-        word, end = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
-        word = word.lower() if self.lowers else word
-        if word.isalpha() and max(word) < "ɐ":  # plain letters: one pre-token, already in normal form
-            ids = self._letters(self.lead + word)
-            return np.asarray(ids + (self._letters(end) if end else []), "<u4").tobytes()
-        return self.whole(self.lead + chunk)
-
-    def _missing(self, chunk: str) -> bytes | None:
-        got = self.old.get(chunk, 0)
-        if got == 0:
-            got = self._chunk(chunk)
+        left, line, right = chunk.partition("\n")
+        if line and left and right and not left[-1].isspace() and not right[0].isspace():
+            # A line feed between other characters is a pre-token of its own, or dropped.
+            rest = self._plain(right, "")
+            return self._known(left) + self.line + (self.whole(right) if rest is None else rest)
+        if chunk[-1] in self.ends and chunk[-2:-1].isalpha():  # letters never join such an end
+            return self._known(chunk[:-1]) + self.ends[chunk[-1]]
+        ids = self._plain(chunk, self.lead)
+        return self.whole(self.lead + chunk) if ids is None else ids
+
+    def _known(self, chunk: str) -> bytes:
+        ids = self.new.get(chunk)
+        return self._missing(chunk) if ids is None else ids
+
+    def _missing(self, chunk: str) -> bytes | bool:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self._chunk(chunk)
         if len(chunk) <= CACHE_CHARS:
             if len(self.new) >= CACHE_ENTRIES // 2:
                 self.old, self.new = self.new, {}
-            self.new[chunk] = got
-        return got
+            self.new[chunk] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -83,20 +103,14 @@ class ChunkEncoder:
             if not head or head[-1].isspace() or not chunks:
                 return self.whole(text)
             first = self.whole(head)
-        new = self.new
-        try:
-            return first + b"".join([new[c] for c in chunks])
-        except (KeyError, TypeError):
-            pass
-        missing, out = self._missing, [first]
-        for c in chunks:
-            ids = self.new.get(c)
-            if ids is None:
-                ids = missing(c)
+        found = list(map(self.new.get, chunks))
+        if None in found:
+            for i, ids in enumerate(found):
                 if ids is None:
-                    return self.whole(text)
-            out.append(ids)
-        return b"".join(out)
+                    found[i] = self._missing(chunks[i])
+        if False in found:
+            return self.whole(text)
+        return first + b"".join(found)
 
 
 _encoders: dict[str, ChunkEncoder] = {}
