@@ -29,7 +29,7 @@ BLOCK_CHARS = 8_000_000
 MAX_CHARS = 256_000_000
 
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, rhash long"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -105,7 +105,7 @@ def scanner(blob: bytes, size: int) -> Scanner:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",), window: int = WINDOW, least_share: float = 0.05) -> DataFrame:
-    """One row per document, ``SCHEMA``.  Questions and answers in separate columns are separate texts of an item.
+    """One row per document, ``SCHEMA`` (``rhash``: the text's hash).  Questions and answers in separate columns are separate texts of an item.
     A document is contaminated if it is hit and at least ``least_share`` of its words are."""
     spark = docs.sparkSession
     size = benchmark.selectExpr(*(f"coalesce(sum(length(`{c}`)), 0)" for c in item_text_cols)).first()
@@ -119,11 +119,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         scan = scanner(blob.value, window).scan
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, rhash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, hit, names = scan(text)
                 k = int(hit.sum())
-                out.append((doc_id, n, k, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), k > 0 and share * k >= n))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.bool_()), strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                out.append((doc_id, n, k, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), k > 0 and share * k >= n, rhash))
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.string(), pa.bool_(), pa.int64()), strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text", f"xxhash64(coalesce(`{text_col}`, '')) as rhash").mapInArrow(run, SCHEMA)

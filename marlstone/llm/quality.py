@@ -116,7 +116,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, stats array<double>) of whole texts."""
+    """(doc_id, stats array<double>, rhash) of whole texts; rhash is the text's hash."""
     kind = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +131,10 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
                     block, size = [], 0
             flat = np.concatenate(rows) if rows else np.zeros((0, N_STATS))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * N_STATS, pa.int32()), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(kind)], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(kind), batch.column(2)], names=["doc_id", "stats", "rhash"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, stats array<double>")
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text", f"xxhash64(coalesce(`{text_col}`, '')) as rhash")
+    return rows.mapInArrow(run, "doc_id long, stats array<double>, rhash long")
 
 
 @dataclass
@@ -227,7 +228,7 @@ def _binned(raw: np.ndarray, y: np.ndarray, low: float, high: float) -> np.ndarr
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", learn_from=None, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted).  ``learn_from``: condition on ``doc_id`` that label rows must meet.
+    """(doc_id, score, predicted, rhash).  ``learn_from``: condition on ``doc_id`` that label rows must meet.
     A label other than 0 and 1 is ignored."""
     stats = stored(document_statistics(docs, id_col, text_col), "stats")
     own = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).filter("label in (0, 1)")
@@ -242,6 +243,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for b in batches:
             if b.num_rows:
                 scores = model.score(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), b.column(2)], names=["doc_id", "score", "predicted", "rhash"])
 
-    return stats.mapInArrow(run, "doc_id long, score double, predicted int")
+    return stats.mapInArrow(run, "doc_id long, score double, predicted int, rhash long")
