@@ -26,8 +26,8 @@ def sessions(rows: DataFrame) -> DataFrame:
     return rows.select("session_id", "login_name", "login_time").orderBy(F.col("login_time").desc(), "session_id")
 
 
-def backup_progress(requests: DataFrame, texts: DataFrame) -> DataFrame:
-    rows = requests.filter("command ilike 'backup%' or command ilike 'restore%'").join(texts, "sql_handle")
+def backup_progress(requests: DataFrame, texts: DataFrame, patterns: tuple[str, ...] = ("backup%", "restore%")) -> DataFrame:
+    rows = requests.filter(reduce(Column.__or__, (F.col("command").ilike(p) for p in patterns))).join(texts, "sql_handle")
     return rows.selectExpr("session_id", "command", "text", "percent_complete", "estimated_completion_time div 1000 as left_s", "total_elapsed_time div 1000 as elapsed_s")
 
 
@@ -103,7 +103,7 @@ def job_commands(jobs: DataFrame, enabled: int) -> DataFrame:
     return jobs.select(F.concat(F.lit("EXEC msdb.dbo.sp_update_job @job_name = N'"), F.col("name"), F.lit(f"', @enabled = {enabled};")).alias("command"))
 
 
-def listeners(processes: DataFrame, connections: DataFrame, name: str) -> DataFrame:
+def listeners(processes: DataFrame, connections: DataFrame, name: str | Column) -> DataFrame:
     """Connections of the processes of a name, with the process's columns."""
     own = processes.filter(F.col("Name") == name).select(F.col("ProcessId").alias("OwningProcess"), "Name", "CommandLine")
     return connections.join(own, "OwningProcess")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions.rules import MB, PROCESS_ABOVE, STATIC_BYTES, suffix
 
@@ -37,7 +38,7 @@ def is_animated(data: bytes) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def animated(content: pd.Series) -> pd.Series:
     return content.map(lambda b: is_animated(bytes(b)) if b is not None else False)
 
