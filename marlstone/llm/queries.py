@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .chat import format_conversations, read_back
 from .common import table
 from .decontaminate import find_contamination
@@ -89,4 +90,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """None for op2 (its hashes), op5 and op7 (the tokenizer) and op6 (the classifier): tests hold them against brute
+    force, an exact round trip and held-out labels."""
+    return {
+        "op1_suffix_dedup": oracles.OP1,
+        "op3_recompression": oracles.OP3,
+        "op4_near_dups": oracles.OP4,
+        "op8_chat": oracles.OP8,
+        "op9_decontamination": oracles.OP9,
+        "op10_urls": oracles.OP10,
+    }
