@@ -43,7 +43,7 @@ def near_pairs(sigs: DataFrame, item: str, sig: str, threshold: int) -> DataFram
     width, near = -(-64 // bands), threshold // bands
     masks = [sum(1 << i for i in c) for k in range(near + 1) for c in combinations(range(width), k)]
     own = sigs.select(F.col(item).alias("id"), F.col(sig).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    own = own.withColumn("v", F.expr(f"shiftrightunsigned(s, band * {width})").bitwiseAND(F.lit((1 << width) - 1)))
+    own = own.withColumn("v", F.expr(f"shiftrightunsigned(s, band * {width})").bitwiseAND(F.lit((1 << width) - 1 if width < 63 else -1)))
     wide = own.select(F.col("id").alias("a"), F.col("s").alias("sa"), "band", F.explode(F.array(*map(F.lit, masks))).alias("mask"), F.col("v").alias("v0"))
     wide = wide.withColumn("v", F.col("v0").bitwiseXOR(F.col("mask").cast("bigint"))).drop("mask", "v0")
     found = wide.join(own.select(F.col("id").alias("b"), F.col("s").alias("sb"), "band", "v"), ["band", "v"])
