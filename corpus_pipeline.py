@@ -12,7 +12,7 @@ text's hash, null-safe, so that repeated and null ids need no special case:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import stored, table
@@ -29,12 +29,15 @@ LEAST_SCORE = 0.5
 SIMILARITY, SHINGLE = 80, 5
 #: Bytes of a passage that counts as repeated; fifty words of any of the languages are longer.
 PASSAGE_BYTES = 200
-#: Decisions at the rows they were made for.
-ROW = [F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("k.rhash")]
+
+
+def _same_row() -> list[Column]:
+    """Decisions (k) at the documents (d) they were made for."""
+    return [F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("k.rhash")]
 
 
 def _rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    return docs.alias("d").join(keys.select("doc_id", "rhash").distinct().alias("k"), ROW, how)
+    return docs.alias("d").join(keys.select("doc_id", "rhash").distinct().alias("k"), _same_row(), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the byte strings that also occur elsewhere."""
     cut = remove_repeats(docs, min_bytes=PASSAGE_BYTES, with_text=True).filter("n_removed > 0").select("doc_id", "rhash", "kept").dropDuplicates(["doc_id", "rhash"])
-    joined = docs.alias("d").join(cut.alias("k"), ROW, "left")
+    joined = docs.alias("d").join(cut.alias("k"), _same_row(), "left")
     text = F.coalesce(F.col("k.kept"), F.col("d.text"))
     changed = {"text": text, "n_chars": F.when(F.col("k.kept").isNull(), F.col("d.n_chars")).otherwise(F.length(F.col("k.kept")))} if "n_chars" in docs.columns else {"text": text}
     return joined.select(*(changed[c].cast(t).alias(c) if c in changed else F.col(f"d.`{c}`") for c, t in docs.dtypes))
