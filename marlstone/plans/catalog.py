@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import dedup, history, predict, recovery, search
+from ..operators import decisions, dedup, history, predict, recovery, search
 from ..sources import media
 from ..sources.storage import table
 from .registry import query
@@ -299,6 +299,60 @@ def even_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("conv_id", F.explode(rules.even_indices(F.col("n"), 4)).alias("idx"))
 
 
+#: Parts as states of a search: sizes from their size and price, the rest from their key.
+STATE_COLUMNS = [
+    "p_partkey AS partkey", "p_partkey % 3 AS it", "CASE p_partkey % 4 WHEN 0 THEN 'stats' WHEN 1 THEN 'neighbor stats' WHEN 2 THEN 'delta_avg' ELSE 'formula' END AS source",
+    "p_size * 0.5{d} AS fast", "p_size * 0.55{d} AS predicted", "p_size * 0.6{d} AS med", "0.3{d} + p_partkey % 9 * 0.1{d} AS scale", "0.05{d} AS low", "4.0{d} AS high", "p_size * 11 AS frames",
+    "p_partkey % 2 * 90000 + 50000 AS pixels", "p_size * 5 + 20 AS colors", "p_partkey % 5 * 1.0{d} AS delta", "1.12{d} AS bias",
+]
+CAP = "CASE WHEN abs(({x}) - scale) <= scale * {r} THEN ({x}) ELSE scale + sign(({x}) - scale) * scale * {r} END"
+BRACKET = "CASE WHEN {lo} < {hi} AND ({x}) > {lo} AND ({x}) < {hi} THEN ({x}) ELSE ({lo} + {hi}) / 2 END"
+HARD_WISH = "(CASE WHEN source = 'neighbor stats' AND 14.245 - delta * bias > 0 THEN scale * sqrt((14.245 - delta * bias) / fast) ELSE scale * sqrt(14.245 / fast) * 0.92 END * CASE WHEN frames >= 400 THEN 0.9 ELSE 1.0 END)"
+SHRINK = "scale * sqrt(14.245 / predicted) * 0.99"
+DECISION_SQL = {
+    "fast": "CASE WHEN it = 0 AND fast BETWEEN 13.5 AND 14.995 AND frames >= 120 THEN 'direct' WHEN it >= 1 AND fast BETWEEN 13.8 AND 14.6 THEN 'preferred' END",
+    "hard": f"CASE WHEN it = 0 AND source IN ('formula', 'neighbor stats') AND fast > 1.3 * 14.99 THEN {BRACKET.format(x=CAP.format(x=HARD_WISH, r=0.75), lo='low', hi='scale')} END",
+    "under": f"CASE WHEN source = 'formula' AND predicted < 13.15 AND fast < 13.5 AND it < 9 THEN {BRACKET.format(x=CAP.format(x='scale * sqrt(14.245 / greatest(predicted, 0.1))', r=0.3), lo='greatest(low, scale)', hi='high')} END",
+    "pre": "CASE WHEN it = 0 AND source = 'delta_avg' AND fast < 0.8 * 14.245 AND predicted < 0.92 * 13.5 THEN scale * 0.92 END",
+    "soft": "CASE WHEN it = 0 AND abs(sh - scale) > 0.005 AND sh > low AND sh < high THEN sh END",
+    "micro": f"CASE WHEN source = 'neighbor stats' AND predicted < 13.5 AND fast < 0.9 * 14.245 AND it <= 1 AND frames >= 80 AND high >= 3.9 AND abs({CAP.format(x='scale * sqrt(14.245 / (fast + 4))', r=0.3)} - scale) > 0.01 THEN {CAP.format(x='scale * sqrt(14.245 / (fast + 4))', r=0.3)} END",
+    "temporal": "CASE WHEN it = 0 AND frames >= 360 AND pixels <= 100000 AND med > 14.99 AND scale < 0.85 THEN 'preserve' WHEN it = 0 AND frames >= 360 AND pixels <= 100000 AND med BETWEEN 13.5 AND 14.995 AND scale < 0.7 THEN 'retry' END",
+    "keep_every": "greatest(least(round_even(med / 14.245, 0), 3), 2)::INT",
+    "finished": "med BETWEEN 13.5 AND 14.995 OR it >= 1 AND med BETWEEN 13.8 AND 14.6",
+    "next_scale": f"CASE WHEN w > lo2 AND w < hi2 THEN w ELSE {CAP.format(x='(lo2 + hi2) / 2', r=0.15)} END",
+}
+NUMBERS = ("hard", "under", "pre", "soft", "micro", "next_scale")
+
+
+@query(f"""WITH s AS (SELECT {', '.join(c.format(d='::DOUBLE') for c in STATE_COLUMNS)} FROM part),
+ t AS (SELECT *, CASE WHEN source = 'formula' AND predicted > 0.985 * 14.99 AND predicted <= 1.2 * 14.99 AND fast > 0.8 * 14.99 THEN {CAP.format(x=SHRINK, r=0.12)} WHEN source = 'stats' AND colors >= 220 AND predicted BETWEEN 0.995 * 14.99 AND 1.2 * 14.99 AND fast > 0.7 * 14.99 THEN {CAP.format(x=SHRINK, r=0.1)} END AS sh,
+ CASE WHEN med > 14.99 THEN low ELSE scale END AS lo2, CASE WHEN med > 14.99 THEN scale ELSE high END AS hi2, {CAP.format(x='scale * sqrt(14.245 / med)', r=0.35)} AS w FROM s)
+ SELECT partkey, {', '.join(f'round({x} + 1e-9, 6) AS {n}' if n in NUMBERS else f'{x} AS {n}' for n, x in DECISION_SQL.items())} FROM t""")
+def decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = table(spark, sf_dir, "part").selectExpr(*(c.format(d="D") for c in STATE_COLUMNS))
+    d = decisions
+    made = {"fast": d.fast_accept(), "hard": d.hard_skip_scale(), "under": d.under_target_scale(), "pre": d.pre_correct_scale(), "soft": d.soft_shrink_scale(), "micro": d.micro_adjust_scale(),
+            "temporal": d.temporal_step(), "keep_every": d.keep_every(), "finished": d.finished(), "next_scale": d.advanced_scale()}
+    return state.select("partkey", *((F.round(x + 1e-9, 6) if n in NUMBERS else x).alias(n) for n, x in made.items()))
+
+
+@query("""WITH s AS (SELECT p_partkey AS partkey, 40 + p_size AS q, 10 + p_retailprice % 97 / 10 AS size, CASE WHEN p_partkey % 2 = 0 THEN 40 END AS un, CASE WHEN p_partkey % 3 = 0 THEN 90 END AS ov, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 5 * 0.5 END AS alpha FROM part),
+ m AS (SELECT *, abs(size - 14.245) / 14.245 AS miss FROM s), t AS (SELECT *, CASE WHEN un IS NOT NULL AND ov IS NULL THEN greatest(CASE WHEN miss <= 0.04 THEN 1 ELSE 2 END, least(greatest(ceil(miss / 0.0125)::INT, 1), 3)) WHEN miss <= 0.04 THEN 1 ELSE 2 END AS step FROM m)
+ SELECT partkey, CASE WHEN miss <= 0.1 AND (un IS NULL OR ov IS NULL) THEN greatest(least(CASE WHEN size > 14.245 THEN q - step ELSE q + step END, 100), 45) END AS nudged, round(size * pow(greatest(0.01, 45.0 / q), coalesce(alpha, 1.0)) + 1e-9, 5) AS floor_mb,
+ un IS NULL AND ov IS NOT NULL AND q - 5 <= 45 AND size * pow(greatest(0.01, 45.0 / q), coalesce(alpha, 1.0)) > 1.05 * 14.99 AS early, round(CASE WHEN q <= 45 THEN greatest(least(sqrt(14.245 / size), 0.95), 0.8) END + 1e-9, 6) AS factor,
+ coalesce(miss > 0.04 AND p_left > 0 AND ov - un > 1, false) AS refine, round(CASE WHEN size / 12 > 1 THEN greatest(13.0, 12.5 * size / 12) ELSE 13.0 END + 1e-9, 6) AS raised, size * 1.1 <= 14.99 * 0.96 AS direct FROM (SELECT *, partkey % 4 AS p_left FROM t)""")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as partkey", "40 + p_size as q", "10 + p_retailprice % 97 / 10 as size", "case when p_partkey % 2 = 0 then 40 end as un", "case when p_partkey % 3 = 0 then 90 end as ov", "case when p_partkey % 5 > 0 then p_partkey % 5 * 0.5D end as alpha")
+    d = decisions
+    return rows.select(
+        "partkey", d.nudged_quality(c("q"), c("size"), c("un"), c("ov")).alias("nudged"), F.round(d.floor_size(c("q"), c("size"), c("alpha")) + 1e-9, 5).alias("floor_mb"),
+        d.early_resize(c("q"), c("size"), c("alpha"), c("q") - 5, c("un"), c("ov")).alias("early"), F.round(d.resize_factor(c("q"), c("size")) + 1e-9, 6).alias("factor"),
+        F.coalesce(d.refine_in_band(c("size"), c("un"), c("ov"), c("partkey") % 4), F.lit(False)).alias("refine"),
+        F.round(d.probe_raise(F.lit(13.0), F.lit(12.5), c("size") / 12) + 1e-9, 6).alias("raised"), d.direct_fast(c("size")).alias("direct"),
+    )
+
+
 # Inventory
 
 
