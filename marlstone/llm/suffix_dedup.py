@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .windows import ANCHORS, NO_ID, RUNS, Rolling, batch_of, bool_runs, document_spans, full_runs, hot_anchors, mixed, runs_of, segments, sliding_min, texts_of, union_of, whole
+from .windows import ANCHORS, NO_ID, RUNS, Rolling, batch_of, bool_runs, document_spans, full_runs, hot_anchors, mixed, open_segments, runs_of, segments, sliding_min, texts_of, union_of, whole
 
 MIN_BYTES = 400
 #: Window starts handled at once; at most 2**22 less a window.
@@ -203,17 +203,15 @@ def band_rows(rows: DataFrame, w: int, width: int) -> DataFrame:
 
 
 def decide(rows: DataFrame, w: int, width: int, max_segments: int) -> DataFrame:
-    """``RUNS`` of the segments (key, a, b, c, n, d, body, n_segs, n_multi) that occur once."""
+    """``RUNS`` of the segments that occur once, from open segments (key, a, b, c, n, d, body, n_segs)."""
     found = decide_blocks(rows.filter(F.col("n_segs") <= max_segments), w)
     many = rows.filter(F.col("n_segs") > max_segments)
     if width == 0 or many.isEmpty():
         return found
     bands = stored(band_rows(many, w, width), "bands")
     one = [F.first(x).alias(x) for x in ("n", "d", "body")]
-    segs = bands.groupBy("key", "a", "b").agg(F.sum("c").alias("c"), *one)
-    per_key = segs.groupBy("key").agg(F.count("*").alias("n_segs"), F.count_if(F.col("c") > 1).alias("n_multi"))
-    segs = stored(segs.join(per_key, "key").filter("n_segs > 1 or c > 1"), "segments")
-    runs = full_runs(segs).unionByName(decide(segs.filter("n_segs > 1 and n_multi < n_segs"), w, 0 if width == 1 else max(1, width // 4), max_segments))
+    segs = stored(bands.groupBy("key", "a", "b").agg(F.sum("c").alias("c"), *one), "segments")
+    runs = full_runs(segs).unionByName(decide(open_segments(segs), w, 0 if width == 1 else max(1, width // 4), max_segments))
     back = bands.select("pkey", "pa", "pb", "lo", "key", "a", "b").join(runs, ["key", "a", "b"])
     parts = back.selectExpr("pkey as key", "pa as a", "pb as b", "transform(runs, r -> named_struct('lo', r.lo + lo, 'hi', r.hi + lo)) as runs")
     return found.unionByName(parts)
@@ -223,12 +221,9 @@ def repeated_spans(texts: DataFrame, w: int, max_segments: int = MAX_SEGMENTS) -
     """(rid, rhash, spans) of the texts with repeated windows."""
     anchors = hot_anchors(texts, anchor_extract(w))
     segs = segments(anchors)
-    open_segs = segs.filter("n_segs > 1 and n_multi < n_segs")
     body = F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.col("n") + (w - 1))
-    rows = texts.join(open_segs.hint("shuffle_hash"), ["rid", "rhash"]).select("key", "a", "b", "c", "n", "d", body.alias("body"), "n_segs", "n_multi")
-    if not segs.filter(F.col("n_segs") > max_segments).isEmpty():
-        rows = stored(rows, "bodies")
-    runs = full_runs(segs).unionByName(decide(rows, w, max(1, w // 5), max_segments))
+    rows = texts.join(open_segments(segs).hint("shuffle_hash"), ["rid", "rhash"]).select("key", "a", "b", "c", "n", "d", body.alias("body"), "n_segs")
+    runs = full_runs(segs).unionByName(decide(stored(rows, "bodies"), w, max(1, w // 5), max_segments))
     return document_spans(anchors, runs, w)
 
 

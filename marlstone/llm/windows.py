@@ -132,12 +132,17 @@ def hot_anchors(texts: DataFrame, extract: Extract) -> DataFrame:
 
 
 def segments(anchors: DataFrame) -> DataFrame:
-    """Distinct segments (key, a, b) with their count c, one occurrence (rid, rhash, at, n, d), and for the key the
-    numbers of segments and of those with c > 1."""
+    """Distinct segments (key, a, b) with their count c and one occurrence (rid, rhash, at, n, d)."""
     one = [F.first(c).alias(c) for c in ("rid", "rhash", "at", "n", "d")]
-    segs = anchors.groupBy("key", "a", "b").agg(F.count("*").alias("c"), *one)
+    return stored(anchors.groupBy("key", "a", "b").agg(F.count("*").alias("c"), *one), "segments")
+
+
+def open_segments(segs: DataFrame) -> DataFrame:
+    """Segments whose key has several, one at least that occurs once, with the key's number n_segs.  Both sides of the
+    join are tables, so that adaptive execution splits a key with very many segments over tasks."""
     per_key = segs.groupBy("key").agg(F.count("*").alias("n_segs"), F.count_if(F.col("c") > 1).alias("n_multi"))
-    return stored(segs.join(per_key, "key").filter("n_segs > 1 or c > 1"), "segments")
+    per_key = stored(per_key.filter("n_segs > 1 and n_multi < n_segs").select("key", "n_segs"), "keys")
+    return stored(segs.join(per_key, "key"), "open")
 
 
 RUNS = "key long, a long, b long, runs array<struct<lo:int,hi:int>>"
