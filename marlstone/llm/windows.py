@@ -127,7 +127,8 @@ def hot_anchors(texts: DataFrame, extract: Extract) -> DataFrame:
         for b in batches:
             yield from extract(b, False)
 
-    hot = texts.mapInArrow(keys, "key long").groupBy("key").count().filter("count > 1").select("key")
+    # A table, so that adaptive execution can split a key with very many anchors over tasks.
+    hot = stored(texts.mapInArrow(keys, "key long").groupBy("key").count().filter("count > 1").select("key"), "hot")
     return stored(texts.mapInArrow(rows, ANCHORS).join(hot, "key"), "anchors")
 
 
