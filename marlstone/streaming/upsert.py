@@ -13,8 +13,7 @@ def stream_upsert(rows: DataFrame, target: str, keys: list[str], order: list[str
     rewrites its own snapshot from the one before, so the result is exact."""
 
     def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        merged = batch if n == 0 else upsert(spark.read.parquet(f"{target}/v={n - 1}"), batch, keys, order)
-        (upsert(merged.limit(0), merged, keys, order) if n == 0 else merged).write.mode("overwrite").parquet(f"{target}/v={n}")
+        before = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/v={n - 1}") if n else batch.limit(0)
+        upsert(before, batch, keys, order).write.mode("overwrite").parquet(f"{target}/v={n}")
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
