@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import encoder
+from .tokens import CACHE_ENTRIES, encoder
 
 #: Context sizes, and tokens of one step group.
 TIERS = (128, 256, 512, 1024)
@@ -114,16 +114,17 @@ class Packer:
                 self._window(tier)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece, ``SCHEMA`` (and the piece's ``ids`` as little-endian unsigned 32-bit integers on request).
-    ``tiers`` are powers of two, ascending; a sequence id names the task in its upper bits."""
+    ``tiers`` are powers of two, ascending; a sequence id names the task in its upper bits.
+    ``cache_entries``: chunks whose ids a Python worker remembers."""
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers must be ascending powers of two")
     longest, end = tiers[-1], int(end_id).to_bytes(4, "little")
     schema = PIECES.append(pa.field("ids", pa.binary())) if with_ids else PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cache_entries)
         base = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         made = {}

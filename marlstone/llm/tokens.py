@@ -12,10 +12,12 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks kept by one Python worker, in two generations of half as many.
-CACHE_ENTRIES = 1_200_000
+#: Chunks kept by one encoder, in two generations of half as many: about 200 bytes each.
+CACHE_ENTRIES = 1_400_000
 #: Longer chunks are not kept.
 CACHE_CHARS = 64
+#: Symbols that never join a letter before them; an apostrophe can.
+SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -29,7 +31,7 @@ class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.  ``drops_space``: the tokenizer's pre-tokenizer removes
     white space, so that every space is a boundary; else a chunk carries the space before it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -39,12 +41,13 @@ class ChunkEncoder:
         ]
         self.lowers = self.tok.encode("A", add_special_tokens=False).ids == self.tok.encode("a", add_special_tokens=False).ids
         self.model, self.alphabet = self.tok.model, byte_alphabet()
+        self.entries = entries
         self.new: dict[str, bytes | bool] = {}
         self.old: dict[str, bytes | bool] = {}
         self.lead = "" if self.drops_space else " "
         self.blank = {"": "", " ": self.alphabet[32]}
         self.line = self.whole("\n")
-        self.ends = {c: self.whole(c) for c in ".,"}
+        self.ends: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -55,14 +58,24 @@ class ChunkEncoder:
         return array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
 
     def _plain(self, chunk: str, lead: str) -> bytes | None:
-        """Ids of letters, with a full stop or comma after them; None for other chunks."""
+        """Ids of letters, with symbols after them; None for other chunks."""
         word = chunk.lower() if self.lowers else chunk
         if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
             return self._letters(word, lead)
-        if chunk[-1] in self.ends and (word := word[:-1]).isalpha() and (word.isascii() or max(word) < "ɐ"):
-            return self._letters(word, lead) + self.ends[chunk[-1]]
+        word = word.rstrip(SYMBOLS)
+        if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+            return self._letters(word, lead) + self._end(chunk[len(word) :])
         return None
 
+    def _end(self, symbols: str) -> bytes:
+        """Symbols after a letter: a pre-token of their own."""
+        ids = self.ends.get(symbols)
+        if ids is None:
+            ids = self.whole(symbols)
+            if len(self.ends) < 10_000:
+                self.ends[symbols] = ids
+        return ids
+
     def _chunk(self, chunk: str) -> bytes | bool:
         """Ids of one chunk; False if it can't be told apart from its neighbours."""
         if not self.drops_space and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
@@ -74,8 +87,9 @@ class ChunkEncoder:
             # A line feed between other characters is a pre-token of its own, or dropped.
             rest = self._plain(right, "")
             return self._known(left) + self.line + (self.whole(right) if rest is None else rest)
-        if chunk[-1] in self.ends and chunk[-2:-1].isalpha():  # letters never join such an end
-            return self._known(chunk[:-1]) + self.ends[chunk[-1]]
+        word = chunk.rstrip(SYMBOLS)
+        if len(word) < len(chunk) and word[-1:].isalpha():
+            return self._known(word) + self._end(chunk[len(word) :])
         ids = self._plain(chunk, self.lead)
         return self.whole(self.lead + chunk) if ids is None else ids
 
@@ -88,7 +102,7 @@ class ChunkEncoder:
         if ids is None:
             ids = self._chunk(chunk)
         if len(chunk) <= CACHE_CHARS:
-            if len(self.new) >= CACHE_ENTRIES // 2:
+            if len(self.new) >= self.entries // 2:
                 self.old, self.new = self.new, {}
             self.new[chunk] = ids
         return ids
@@ -113,11 +127,12 @@ class ChunkEncoder:
         return first + b"".join(found)
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each file and Python worker; what it remembers stays for the worker's later tasks."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> ChunkEncoder:
+    """The encoder of a file.  A Python worker keeps the last one with what it remembers for its later tasks."""
+    if (path, entries) not in _encoders:
+        _encoders.clear()
+        _encoders[path, entries] = ChunkEncoder(path, entries)
+    return _encoders[path, entries]
