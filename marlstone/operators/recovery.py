@@ -65,8 +65,10 @@ def logs_after(sets: DataFrame, media: DataFrame, completion: DataFrame) -> Data
 def script_lines(texts: DataFrame, key: str, text: str, width: int = 4000) -> DataFrame:
     """(key, line_no, part, line): texts without carriage returns, cut at line feeds and then every ``width`` characters; a
     trailing empty line is not printed."""
-    body = F.replace(F.col(text), F.lit("\r"), F.lit(""))
-    lines = texts.select(key, F.posexplode(F.split(body, "\n")).alias("line_no", "full"), F.length(body).alias("n"), F.size(F.split(body, "\n")).alias("k"))
-    lines = lines.filter(~((F.col("line_no") == F.col("k") - 1) & (F.col("full") == "")))
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("full") - 1) / width).cast("int"))), lambda i: F.substring(F.col("full"), i * width + 1, F.lit(width)))
+    split = texts.select(key, F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n").alias("ls"))
+    # The trailing empty line goes first, then one row for each line.
+    kept = F.when(F.element_at("ls", -1) == "", F.slice("ls", F.lit(1), F.size("ls") - 1)).otherwise(F.col("ls"))
+    lines = split.select(key, F.posexplode(kept).alias("line_no", "full"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("full") - 1) / width).cast("int")), lambda i: F.substring(F.col("full"), i * width + 1, F.lit(width)))
+    cut = F.when(F.length("full") > width, cut).otherwise(F.array("full"))
     return lines.select(key, "line_no", F.posexplode(cut).alias("part", "line"))
