@@ -29,6 +29,8 @@ LEAST_SCORE = 0.5
 SIMILARITY, SHINGLE = 80, 5
 #: Bytes of a passage that counts as repeated; fifty words of any of the languages are longer.
 PASSAGE_BYTES = 200
+#: Chunks whose ids a Python worker remembers: few, as it keeps them beside the other stages' needs.
+CACHE_ENTRIES = 400_000
 
 
 def _same_row() -> list[Column]:
@@ -68,7 +70,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+    return pack_documents(docs, tokenizer("byte_bpe_50k.json"), cache_entries=CACHE_ENTRIES)
 
 
 STAGES = [

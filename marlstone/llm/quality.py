@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .windows import Rolling
 
 #: Labelled rows to learn from, at most about so many (an even hash sample of the ids beyond it).
 MAX_LABELLED = 200_000
@@ -65,11 +66,7 @@ def _pieces(data: np.ndarray, inside: np.ndarray, doc_starts: np.ndarray) -> tup
     """Maximal runs of ``inside``, cut at document starts: start, length, document, hash of the bytes."""
     edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    with np.errstate(over="ignore"):
-        place = np.cumprod(np.full(len(data) + 1, 0x9E3779B97F4A7C15, np.uint64))
-        back = np.cumprod(np.full(len(data) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * place[:-1])))
-        hashes = (sums[end] - sums[start]) * back[start]
+    hashes = Rolling(data.astype(np.uint64)).of(start, end)
     return start, end - start, np.searchsorted(doc_starts, start, "right") - 1, hashes
 
 

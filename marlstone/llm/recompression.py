@@ -36,7 +36,7 @@ MARGIN = 4
 #: Words of the longest symbol.
 SPAN = 4
 #: Bytes of text handled at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 PLACE = np.uint64((1 << 22) - 1)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 

@@ -31,7 +31,7 @@ from .windows import ANCHORS, NO_ID, RUNS, Rolling, batch_of, bool_runs, documen
 
 MIN_BYTES = 400
 #: Window starts handled at once; at most 2**22 less a window.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Distinct segments of a key in one block, and bytes of a block's groups.
 MAX_SEGMENTS, BLOCK_BYTES = 2048, 1 << 20
 PLACE = np.uint64((1 << 22) - 1)

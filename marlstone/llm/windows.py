@@ -43,20 +43,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(mult: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """mult**i and mult**-i modulo 2**64 for i up to n."""
-    size = 1 << max(16, int(n).bit_length())
-    key = (int(mult), size)
-    if key not in _powers:
+    """mult**i and mult**-i modulo 2**64 for i up to n.  A worker keeps the longest tables it needed, up to 2**21."""
+    key = int(mult)
+    up, down = _powers.get(key, ((), ()))
+    if len(up) <= n:
+        size = 1 << int(n).bit_length()
         with np.errstate(over="ignore"):
-            up = np.full(size, mult, np.uint64)
-            down = np.full(size, pow(int(mult), -1, 1 << 64), np.uint64)
+            up, down = np.full(size, mult, np.uint64), np.full(size, pow(key, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
-            _powers[key] = np.cumprod(up), np.cumprod(down)
-    up, down = _powers[key]
+            np.cumprod(up, out=up)
+            np.cumprod(down, out=down)
+        if size <= 1 << 21:
+            _powers[key] = up, down
     return up[: n + 1], down[: n + 1]
 
 
