@@ -28,7 +28,6 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 CHATML = (
     "{% for m in messages %}<|im_start|>{{ m.role | escape_line }}\n"

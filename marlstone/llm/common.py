@@ -1,43 +1,5 @@
 """Helpers shared by the training-data operators."""
 
-from __future__ import annotations
+from ..sources.storage import shared_dir, stored, table
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends there and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, rhash, text): a null text is empty; the pair (rid, rhash) tells rows of one id apart by their text,
-    so that repeated and null ids need no special case."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("rid"), F.xxhash64(text).alias("rhash"), text.alias("text"))
-
-
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    """Null-safe equality of the keys that :func:`keyed_texts` gives."""
-    return left.rid.eqNullSafe(right.rid) & (left.rhash == right.rhash)
+__all__ = ["shared_dir", "stored", "table"]
