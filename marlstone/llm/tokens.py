@@ -2,7 +2,8 @@
 
 Byte-level BPE never merges across the boundary before a single space, so a text may be encoded chunk by chunk
 wherever both neighbours of the space are not white space.  Texts with any other white space around a space are
-encoded in one call.  The ids are always those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+encoded in one call, and so are texts that hold one of the tokenizer's added tokens, as these are cut out of a text
+before anything else.  The ids are always those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        # Such tokens are looked for in the normal form, which isn't known before the text is encoded.
+        self.all_whole = any(t.normalized for t in added)
         self.drops_space = self.tok.encode("a b", add_special_tokens=False).ids == [
             i for t in ("a", "b") for i in self.tok.encode(t, add_special_tokens=False).ids
         ]
@@ -110,6 +114,8 @@ class ChunkEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.all_whole or any(t in text for t in self.added):
+            return self.whole(text)
         chunks = text.split(" ")
         first = b""
         if not self.drops_space:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from marlstone.llm import chat, decontaminate, idstore, near_dups, packing, quality, recompression, suffix_dedup, syncmers, urls
 from marlstone.llm.tokens import ChunkEncoder
@@ -132,6 +133,14 @@ def test_chunk_encoder(spark, name):
         assert enc.encode(t) == enc.whole(t), t[:80]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunk_encoder_on_added_tokens(name):
+    enc, plain = ChunkEncoder(public.path(name)), Tokenizer.from_file(public.path(name))
+    own = ["foo <|endoftext|> bar", "<|endoftext|>", "a b<|endoftext|>c d", "x <|startoftext|> y", "<|ENDOFTEXT|> <|endof text|>", "a <|endoftext|><|endoftext|>\n b", "no token of that kind, < | endoftext|>"]
+    for t in own + own + ODD:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def encoded(name, text, end):
     tok = ChunkEncoder(public.path(name))
     return np.frombuffer(tok.whole(text or "") if text else b"", "<u4").tolist() + [end]
