@@ -2,12 +2,16 @@
 
 Words are runs of at most ``WORD`` characters that aren't white space.  A k-mer of four words has three inner pairs;
 it is a closed syncmer if the least hashed pair lies at an edge.  Whether it is depends on its own words alone, so an
-edit changes only the anchors it touches.  An anchor is the k-mer's 64-bit hash; the fingerprint holds the ``SKETCH``
-least anchors of the whole text (all, if fewer), and the likeness of two fingerprints is the share of the least
-anchors of both together that both have, which estimates the likeness of the whole anchor sets.
+edit changes only the anchors it touches.  An anchor is the k-mer's 64-bit hash; the fingerprint lists every anchor of
+the whole text in order, and an empty place for each k-mer that is none, so that it has the positions too.
+
+Two texts are matched by all their anchors and by the order of these: the parts of a text are its anchors and its
+links, a link being two successive anchors and the distance of their positions.  Neither depends on where in the text
+it stands, so a passage matches wherever it has moved to.  Equal parts of a text are counted, and the likeness is
+common parts / (parts of both - common parts).
 
 Edge cases: a null text is empty; a text of one to three words has one anchor, the whole sequence, an empty or blank
-text none; two fingerprints without anchors are alike (1), one without is unlike any other (0); repeated ids are
+text none; two texts without anchors are alike (1), one without is unlike any other (0); repeated ids are
 ordered by their text's hash, null ids come last; texts are read whole; an empty table gives no rows; other columns
 are ignored.
 """
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 from .windows import NO_ID, texts_of
 
-#: Characters of a word, words of a k-mer, anchors of a fingerprint.
-WORD, K, SKETCH = 24, 4, 64
+#: Characters of a word, words of a k-mer.
+WORD, K = 24, 4
 #: Documents of a bucket of neighbouring ids, and most buckets.
 BUCKET_DOCS, MAX_BUCKETS = 1500, 4096
 
@@ -54,26 +58,58 @@ def anchors(text: Column) -> Column:
     return let(words, of_words)
 
 
-def sketch(text: Column) -> Column:
-    """The fingerprint as an ascending array of anchors."""
-    return F.slice(F.sort_array(F.array_distinct(F.array_compact(anchors(text)))), 1, SKETCH)
+def anchor_list(found: Column) -> Column:
+    """(position, hash) of the anchors, in order."""
+    return F.filter(F.transform(found, lambda h, i: F.struct(i.alias("position"), h.alias("hash"))), lambda x: x["hash"].isNotNull())
+
+
+def counted(values: Column) -> Column:
+    """An array's values made distinct: the k-th of equal ones becomes a hash of itself and k."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+
+        def number(st: Column) -> Column:
+            def of_run(i: Column, r: Column) -> Column:
+                n = F.coalesce(F.get(st, r + 1), F.size(s)) - i
+                return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.xxhash64(F.get(s, i), k))
+
+            return F.flatten(F.transform(st, of_run))
+
+        return let(first, number)
+
+    return let(F.sort_array(values), runs)
+
+
+def parts(found: Column) -> Column:
+    """The anchors and links of a text, equal ones told apart by number."""
+
+    def linked(p: Column) -> Column:
+        n = F.size(p) - 1
+        pair = lambda a, b: F.xxhash64(a["hash"], b["hash"], b["position"] - a["position"])
+        links = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), pair)
+        hashes = F.transform(p, lambda x: x["hash"])
+        return F.when(n > 0, F.concat(hashes, links)).otherwise(hashes)
+
+    return counted(let(anchor_list(found), linked))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1, of two fingerprints."""
-    both = F.slice(F.sort_array(F.array_distinct(F.concat(a, b))), 1, SKETCH)
-    return let(both, lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u)))
+    """0 to 1, of two texts' parts."""
+    common = let(F.size(F.array_intersect(a, b)), lambda c: c / (F.size(a) + F.size(b) - c))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(common)
 
 
-def as_string(a: Column) -> Column:
-    return F.concat_ws(",", F.transform(a, lambda x: F.lower(F.hex(x))))
+def as_string(found: Column) -> Column:
+    """Every k-mer's place in order: the anchor's hash, or nothing."""
+    return F.array_join(F.transform(found, lambda x: F.lower(F.hex(x))), ",", "")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, fingerprint, anchors): the general interface; ``anchors`` are (position, hash) for matching."""
     texts = texts_of(docs, id_col, text_col)
-    found = F.filter(F.transform(anchors(F.col("text")), lambda h, i: F.struct(i.alias("position"), h.alias("hash"))), lambda x: x["hash"].isNotNull())
-    return texts.select(F.when(F.col("rid") != F.lit(NO_ID), F.col("rid")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), as_string(sketch(F.col("text"))).alias("fingerprint"), found.alias("anchors"))
+    found = texts.select(F.when(F.col("rid") != F.lit(NO_ID), F.col("rid")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), anchors(F.col("text")).alias("found"))
+    return found.select("doc_id", "n_chars", as_string(F.col("found")).alias("fingerprint"), anchor_list(F.col("found")).alias("anchors"))
 
 
 def with_next(texts: DataFrame) -> tuple[DataFrame, Window]:
@@ -99,11 +135,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     descending id), and their likeness."""
     shared_dir(docs.sparkSession)
     rows, order = with_next(texts_of(docs, id_col, text_col))
-    rows = rows.withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
-    rows = rows.select("rid", "rhash", "bucket", "guest", F.length("text").alias("n_chars"), sketch(F.col("text")).alias("a"), F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next, int(length(text) div 2))")).alias("edited"))
-    rows = rows.select("rid", "rhash", "bucket", "guest", "n_chars", "a", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("e"))
-    rows = rows.withColumn("b", F.lead("a").over(order)).filter("guest = 0")
+    rows = rows.withColumn("next", F.coalesce(F.lead("text").over(order), F.lit(""))).filter("guest = 0")
+    edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next, int(length(text) div 2))"))
+    rows = rows.select("rid", F.length("text").alias("n_chars"), "text", edited.alias("edited"), "next")
+    # The next text's anchors are found again here: a second window would hold the parts of a whole bucket.
+    rows = rows.select("rid", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(anchors(F.col(c)).alias(a) for c, a in (("text", "a"), ("edited", "e"), ("next", "b"))))
+    rows = rows.select("rid", "n_chars", "edited_sha256", "a", "e", *(parts(F.col(c)).alias(f"parts_{c}") for c in "aeb"))
     return rows.select(
         F.when(F.col("rid") != F.lit(NO_ID), F.col("rid")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_string(F.col("a")).alias("fingerprint"),
-        as_string(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("b")).alias("near_next"),
+        as_string(F.col("e")).alias("edited_fingerprint"), likeness(F.col("parts_a"), F.col("parts_e")).alias("near_edited"), likeness(F.col("parts_a"), F.col("parts_b")).alias("near_next"),
     )

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -102,6 +103,34 @@ def test_fingerprint_anchors_are_closed_syncmers(spark):
     assert [a["position"] for a in row["anchors"]] == [i for i in range(397) if min(s[i], s[i + 2]) <= s[i + 1]]
 
 
+def parts_of(anchors):
+    links = [(a["hash"], b["hash"], b["position"] - a["position"]) for a, b in zip(anchors, anchors[1:])]
+    return Counter([a["hash"] for a in anchors] + links)
+
+
+def test_likeness_is_of_all_anchors(spark, odd_rows):
+    """Long texts with a small common passage, a one-word edit of a long text, the odd texts: against counts of all parts."""
+    rng = random.Random(3)
+    say = lambda k: " ".join(f"w{rng.randrange(10**9)}" for _ in range(k))
+    shared, long = say(60), say(4000).split()
+    changed = [*long[:2000], "other", *long[2001:]]
+    own = [(9, say(3000) + " " + shared + " " + say(3000)), (8, say(5000) + " " + shared), (7, " ".join(long)), (6, " ".join(changed)), (5, "a b c d e f " * 30), (4, "a b c d e f " * 60)]
+    own += [(100 + d, t) for d, t in {d: t for d, t in odd_rows if d is not None}.items()]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    anchors = {r["doc_id"]: r["anchors"] for r in syncmers.fingerprint(docs).collect()}
+    found = {r["doc_id"]: r for r in syncmers.fingerprint_edits(docs).collect()}
+    order = sorted(anchors, reverse=True)
+    for d, n in zip(order, order[1:] + order[:1]):
+        a, b = parts_of(anchors[d]), parts_of(anchors[n])
+        want = (a & b).total() / (a | b).total() if a or b else 1
+        assert abs(found[d]["near_next"] - want) < 1e-12, d
+    assert 0.003 < found[9]["near_next"] < 0.02 and 0.99 < found[7]["near_next"] < 1 and found[5]["near_next"] < 0.6
+    assert found[7]["fingerprint"] != found[6]["fingerprint"]
+    for r in found.values():
+        places = [(i, x) for i, x in enumerate(r["fingerprint"].split(",")) if x]
+        assert places == [(a["position"], f"{a['hash'] & (1 << 64) - 1:x}") for a in anchors[r["doc_id"]]]
+
+
 def test_fingerprints_of_buckets_and_ties(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "BUCKET_DOCS", 7)
     own = [(i * 3, f"text number {i} with some words") for i in range(60)]
