@@ -1,6 +1,8 @@
 """Operator 2: document fingerprints from closed syncmers, in built-in functions only.
 
-Words are runs of at most ``WORD`` characters that aren't white space.  A k-mer of four words has three inner pairs;
+Words are runs of at most ``WORD`` characters that aren't white space.  A longer run is not cut, which would make its
+words depend on where it begins: each of its characters starts a word of ``PART`` characters (fewer at the run's end),
+so that an edit touches only the words around it, at the price of a word for each character.  A k-mer of four words has three inner pairs;
 it is a closed syncmer if the least hashed pair lies at an edge.  Whether it is depends on its own words alone, so an
 edit changes only the anchors it touches.  An anchor is the k-mer's 64-bit hash; the fingerprint lists every anchor of
 the whole text in order, and an empty place for each k-mer that is none, so that it has the positions too.
@@ -10,8 +12,8 @@ links, a link being two successive anchors and the distance of their positions.
 it stands, so a passage matches wherever it has moved to.  Equal parts of a text are counted, and the likeness is
 common parts / (parts of both - common parts).
 
-Edge cases: a null text is empty; a text of one to three words has one anchor, the whole sequence, an empty or blank
-text none; two texts without anchors are alike (1), one without is unlike any other (0); repeated ids are
+Edge cases: a null text is empty; a text without a closed syncmer, as one of one to three words and some of four, has one
+anchor, the whole sequence, an empty or blank text none; two texts without anchors are alike (1), one without is unlike any other (0); repeated ids are
 ordered by their text's hash, null ids come last; texts are read whole; an empty table gives no rows; other columns
 are ignored.
 """
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 from .windows import NO_ID, texts_of
 
-#: Characters of a word, words of a k-mer.
-WORD, K = 24, 4
+#: Characters of a word and of a word in a longer run, words of a k-mer.
+WORD, PART, K = 24, 8, 4
+#: A word is group 1.
+WORDS = rf"(?=((?<!\S)\S{{1,{WORD}}}+(?!\S)|\S{{1,{PART}}}))(?:(?<!\S)\S{{1,{WORD}}}+(?!\S)|\S)"
 #: Documents of a bucket of neighbouring ids, and most buckets.
 BUCKET_DOCS, MAX_BUCKETS = 1500, 4096
 
@@ -39,7 +43,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def anchors(text: Column) -> Column:
     """The anchors of a text in order, as array<bigint>; null where the k-mer at that word is no closed syncmer."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(rf"\S{{1,{WORD}}}"), F.lit(0)), lambda w: F.xxhash64(w))
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORDS), F.lit(1)), lambda w: F.xxhash64(w))
 
     def of_pairs(s: Column) -> Column:
         n = F.size(s) - 2
@@ -53,7 +57,8 @@ def anchors(text: Column) -> Column:
     def of_words(h: Column) -> Column:
         pairs = F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
         few = F.array(F.aggregate(h, F.lit(0).cast("bigint"), lambda acc, x: F.xxhash64(acc, x)))
-        return F.when(F.size(h) >= K, let(pairs, of_pairs)).when(F.size(h) > 0, few).otherwise(F.array().cast("array<bigint>"))
+        some = let(let(pairs, of_pairs), lambda found: F.when(F.exists(found, lambda x: x.isNotNull()), found).otherwise(few))
+        return F.when(F.size(h) >= K, some).when(F.size(h) > 0, few).otherwise(F.array().cast("array<bigint>"))
 
     return let(words, of_words)
 

@@ -131,6 +131,27 @@ def test_likeness_is_of_all_anchors(spark, odd_rows):
         assert places == [(a["position"], f"{a['hash'] & (1 << 64) - 1:x}") for a in anchors[r["doc_id"]]]
 
 
+def test_every_text_with_words_has_an_anchor(spark):
+    own = [(i, f"w{i} x{i} y{i} z{i}") for i in range(60)] + [(60, " \n\t"), (61, "q" * 80)]
+    found = {r["doc_id"]: r for r in syncmers.fingerprint(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    assert found[60]["fingerprint"] == "" and all(found[i]["anchors"] for i in found if i != 60)
+    assert len({found[i]["fingerprint"] for i in range(60)}) == 60
+    edits = syncmers.fingerprint_edits(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    assert all(r["near_next"] == 0 for r in edits)
+
+
+def test_long_runs_keep_anchors_after_an_insertion(spark):
+    rng = random.Random(8)
+    for letters in ("".join(map(chr, range(0x4E00, 0x5200))), "ABCDabcd0123+/"):
+        run = "".join(rng.choice(letters) for _ in range(600))
+        docs = spark.createDataFrame([(1, run[:5] + "x" + run[5:]), (2, run)], "doc_id long, text string")
+        assert all(0.9 < r["near_next"] < 1 for r in syncmers.fingerprint_edits(docs).collect())
+    words = spark.createDataFrame([("ab " + "c" * 24 + "\n" + "0123456789" * 2 + "abcde \U0001f600\u00e9",)], "t string")
+    got = words.select(F.regexp_extract_all("t", F.lit(syncmers.WORDS), F.lit(1))).first()[0]
+    long = "0123456789" * 2 + "abcde"
+    assert got == ["ab", "c" * 24, *(long[i : i + 8] for i in range(25)), "\U0001f600\u00e9"]
+
+
 def test_fingerprints_of_buckets_and_ties(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "BUCKET_DOCS", 7)
     own = [(i * 3, f"text number {i} with some words") for i in range(60)]
