@@ -49,8 +49,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id."""
-    kept = stored(find_near_dups(docs, shingle=SHINGLE, similarity=SIMILARITY).filter("kept").select("doc_id", "rhash"), "kept")
+    """One document of each group of near-duplicates: the one with the least id (null last)."""
+    kept = stored(find_near_dups(docs, shingle=SHINGLE, similarity=SIMILARITY).filter("stays").select("doc_id", "rhash"), "kept")
     return _rows(docs, kept, "left_semi").dropDuplicates(["doc_id", "text"])
 
 

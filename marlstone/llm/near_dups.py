@@ -229,19 +229,21 @@ def class_roots(texts: DataFrame, classes: DataFrame, k: int, similarity: int, g
 
 
 def find_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, rhash (the text's hash).  ``similarity``: least
-    100 * intersection / union of linked sets."""
+    """One row per document: doc_id, n_shingles, component_id, kept, rhash (the text's hash), stays.  ``similarity``:
+    least 100 * intersection / union of linked sets.  ``stays`` marks one (doc_id, text) of each component, the least by
+    doc_id (null last) and rhash, and all documents without a shingle."""
     texts = texts_of(docs, id_col, text_col)
     known = F.when(F.col("rid") != F.lit(NO_ID), F.col("rid"))
     sets = stored(signed(texts, shingle), "sets")
+    row = F.struct(known.isNull().alias("unnamed"), "rid", "rhash")
     one = [F.first(c).alias(c) for c in ("rid", "rhash", "n_shingles", "sig")]
-    classes = sets.filter("n_shingles > 0").groupBy("a", "b").agg(F.min(known).alias("least_id"), *one)
+    classes = sets.filter("n_shingles > 0").groupBy("a", "b").agg(F.min(known).alias("least_id"), F.min(row).alias("least_row"), *one)
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     roots = class_roots(texts, classes, shingle, similarity, group_shingles)
-    named = classes.select("cid", "a", "b", "least_id").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = classes.select("cid", "a", "b", "least_id", "least_row").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = stored(named, "named")
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "root").select("a", "b", "component_id")
-    some = sets.filter("n_shingles > 0").select(known.alias("doc_id"), "n_shingles", "rhash", "a", "b").join(named, ["a", "b"])
-    none = sets.filter("n_shingles = 0").select(known.alias("doc_id"), "n_shingles", "rhash", known.alias("component_id"))
-    return some.drop("a", "b").unionByName(none).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rhash")
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("least_row").alias("stay"))
+    named = named.join(least, "root").select("a", "b", "component_id", "stay")
+    some = sets.filter("n_shingles > 0").select(known.alias("doc_id"), "n_shingles", "rhash", "a", "b", row.alias("row")).join(named, ["a", "b"]).withColumn("stays", F.col("row") == F.col("stay"))
+    none = sets.filter("n_shingles = 0").select(known.alias("doc_id"), "n_shingles", "rhash", known.alias("component_id"), F.lit(True).alias("stays"))
+    return some.drop("a", "b", "row", "stay").unionByName(none).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rhash", "stays")

@@ -71,3 +71,12 @@ def test_odd_rows_pass_every_stage(spark, odd_docs, odd_rows, no_docs):
 def test_run(spark):
     out = pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_one_of_each_group_stays(spark):
+    """Near copies that all have null ids, or share the least id."""
+    words = [f"w{i}" for i in range(120)]
+    near = lambda tag, i: " ".join([*(tag + w for w in words), f"end{i}"])
+    own = [(None, near("a", i)) for i in range(3)] + [(5, near("b", 0)), (5, near("b", 1)), (6, near("b", 2)), (None, near("c", 0)), (7, near("c", 1)), (8, ""), (9, None), (10, "alone")]
+    kept = pipeline.near_duplicates(spark, spark.createDataFrame(own, "doc_id long, text string"), "").collect()
+    assert sorted(str(r["doc_id"]) + (r["text"] or " ")[:1] for r in kept) == ["10a", "5b", "7c", "8 ", "9 ", "Nonea"]
