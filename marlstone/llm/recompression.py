@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import ANCHORS, MULT2, NO_ID, Rolling, batch_of, document_spans, full_runs, hot_anchors, mixed, open_segments, runs_of, segments, sliding_min, texts_of, union_of, whole
+from .windows import ANCHORS, MULT2, NO_ID, Rolling, batch_of, document_spans, full_runs, hot_anchors, mixed, open_segments, open_texts, runs_of, segments, sliding_min, texts_of, union_of, whole
 
 WINDOW = 35
 #: Words at each end of a window whose symbols may depend on what lies outside: two for the round of runs, two for pairs.
@@ -134,9 +134,7 @@ def repeated_spans(texts: DataFrame, w: int) -> DataFrame:
     """(rid, rhash, spans) in words, of the texts with repeated windows."""
     anchors = hot_anchors(texts, anchor_extract(w))
     segs = segments(anchors)
-    # One row per document with all its open segments, so that its words are read once.
-    wanted = open_segments(segs).groupBy("rid", "rhash").agg(F.collect_list(F.struct("key", "a", "b", "c", "at", "n")).alias("segs"))
-    found = verified(texts.join(wanted.hint("shuffle_hash"), ["rid", "rhash"]).select("text", "segs"), w)
+    found = verified(open_texts(texts, open_segments(segs), ["key", "a", "b", "c", "at", "n"]), w)
     return document_spans(anchors, full_runs(segs).unionByName(found), w)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .windows import ANCHORS, NO_ID, RUNS, Rolling, batch_of, bool_runs, document_spans, full_runs, hot_anchors, mixed, open_segments, runs_of, segments, sliding_min, texts_of, union_of, whole
+from .windows import ANCHORS, NO_ID, RUNS, Rolling, batch_of, bool_runs, document_spans, full_runs, hot_anchors, mixed, open_segments, open_texts, runs_of, segments, sliding_min, texts_of, union_of, whole
 
 MIN_BYTES = 400
 #: Window starts handled at once; at most 2**22 less a window.
@@ -214,7 +214,8 @@ def decide(rows: DataFrame, w: int, width: int, max_segments: int) -> DataFrame:
     runs = full_runs(segs).unionByName(decide(open_segments(segs), w, 0 if width == 1 else max(1, width // 4), max_segments))
     back = bands.select("pkey", "pa", "pb", "lo", "key", "a", "b").join(runs, ["key", "a", "b"])
     parts = back.selectExpr("pkey as key", "pa as a", "pb as b", "transform(runs, r -> named_struct('lo', r.lo + lo, 'hi', r.hi + lo)) as runs")
-    return found.unionByName(parts)
+    # One row for each segment again, as every anchor of the segment meets it; a segment has at most w runs.
+    return found.unionByName(parts.groupBy("key", "a", "b").agg(F.flatten(F.collect_list("runs")).alias("runs")))
 
 
 def repeated_spans(texts: DataFrame, w: int, max_segments: int = MAX_SEGMENTS) -> DataFrame:
@@ -222,7 +223,8 @@ def repeated_spans(texts: DataFrame, w: int, max_segments: int = MAX_SEGMENTS) -
     anchors = hot_anchors(texts, anchor_extract(w))
     segs = segments(anchors)
     body = F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.col("n") + (w - 1))
-    rows = texts.join(open_segments(segs).hint("shuffle_hash"), ["rid", "rhash"]).select("key", "a", "b", "c", "n", "d", body.alias("body"), "n_segs")
+    rows = open_texts(texts, open_segments(segs), ["key", "a", "b", "c", "at", "n", "d", "n_segs"]).select("text", F.inline("segs"))
+    rows = rows.select("key", "a", "b", "c", "n", "d", body.alias("body"), "n_segs")
     runs = full_runs(segs).unionByName(decide(stored(rows, "bodies"), w, max(1, w // 5), max_segments))
     return document_spans(anchors, runs, w)
 

@@ -148,6 +148,13 @@ def open_segments(segs: DataFrame) -> DataFrame:
     return stored(segs.join(per_key, "key"), "open")
 
 
+def open_texts(texts: DataFrame, segs: DataFrame, cols: list[str]) -> DataFrame:
+    """(text, segs): the text of every document that open segments were taken from, once however often the row repeats,
+    with all of these as an array of ``cols``."""
+    wanted = segs.groupBy("rid", "rhash").agg(F.collect_list(F.struct(*cols)).alias("segs"))
+    return texts.join(wanted.hint("shuffle_hash"), ["rid", "rhash"]).dropDuplicates(["rid", "rhash"]).select("text", "segs")
+
+
 RUNS = "key long, a long, b long, runs array<struct<lo:int,hi:int>>"
 
 

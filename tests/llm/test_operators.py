@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marlstone.llm import chat, decontaminate, idstore, near_dups, packing, quality, recompression, suffix_dedup, syncmers, urls
+from marlstone.llm import chat, decontaminate, idstore, near_dups, packing, quality, recompression, suffix_dedup, syncmers, urls, windows
 from marlstone.llm.tokens import ChunkEncoder
 
 from . import brute
@@ -35,6 +35,24 @@ def test_suffix_dedup(odd_docs, odd_rows, size, most):
     same(suffix_dedup.remove_repeats(odd_docs, min_bytes=size, max_segments=most), brute.suffix_dedup(odd_rows, size))
 
 
+def test_one_row_of_runs_a_segment(spark):
+    """A passage in so many contexts that its keys are split into bands: anchors meet one row of runs each."""
+    rng = random.Random(6)
+    say = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    passage = say(70)
+    own = [(i, say(40) + passage + say(40)) for i in range(60)] + [(7, "one row three times " * 9)] * 3
+    texts = windows.texts_of(spark.createDataFrame(own, "doc_id long, text string"), "doc_id", "text")
+    anchors = windows.hot_anchors(texts, suffix_dedup.anchor_extract(60))
+    segs = windows.segments(anchors)
+    body = F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.col("n") + 59).alias("body")
+    cols = ["key", "a", "b", "c", "at", "n", "d", "n_segs"]
+    rows = windows.open_texts(texts, windows.open_segments(segs), cols).select("text", F.inline("segs")).withColumn("body", body)
+    runs = windows.full_runs(segs).unionByName(suffix_dedup.decide(rows, 60, 12, 3))
+    assert runs.count() == runs.select("key", "a", "b").distinct().count()
+    assert 0 < anchors.join(runs, ["key", "a", "b"]).count() <= anchors.count()
+    same(suffix_dedup.remove_repeats(spark.createDataFrame(own, "doc_id long, text string"), min_bytes=60, max_segments=3), brute.suffix_dedup(own, 60))
+
+
 def test_suffix_array_blocks():
     rng = random.Random(1)
     for _ in range(200):
