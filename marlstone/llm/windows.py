@@ -17,13 +17,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..sources.storage import stored
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
-MULT2 = np.uint64(0xD6E8FEB86659FD93)
 NO_ID = -(1 << 63)
 ANCHORS = "rid long, rhash long, at int, n int, d int, key long, a long, b long"
 
@@ -43,6 +43,41 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def twisted(h: np.ndarray) -> np.ndarray:
+    """Another bijective mix, independent of :func:`mixed`."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+#: Bytes of a word that are hashed for all words at once; longer words go through the library's 128-bit hash.
+SHORT = 32
+
+
+def unit_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each slice of bytes.  Eight bytes are mixed in a step, so no sum of powers is
+    left in which differences could cancel, whatever the multiplier."""
+    size = end - start
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    x, y = mixed(size.astype(np.uint64) + np.uint64(1)), twisted(size.astype(np.uint64) + np.uint64(2))
+    live = np.arange(len(size))
+    for k in range(0, SHORT, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        left = np.minimum(size[live] - k, 8).astype(np.uint64)
+        part = eight[start[live] + k] & (~np.uint64(0) >> (np.uint64(64) - left * np.uint64(8)))
+        x[live], y[live] = mixed(x[live] ^ part), twisted(y[live] ^ part)
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        view = memoryview(padded)
+        name = b"".join([xxhash.xxh3_128_digest(view[s:e]) for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)])
+        x[long], y[long] = np.frombuffer(name, "<u8").reshape(-1, 2).T
+    return x, y
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
