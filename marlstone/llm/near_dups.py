@@ -1,15 +1,20 @@
 """Operator 4: near-duplicate documents by a MinHash LSH forest.
 
 A document's set holds the 64-bit hashes of its distinct ``shingle``-word shingles.  Equal sets are one class from the
-start, however many documents have them.  Each class has ``TREES * DEPTH`` minimum hashes; a tree of the forest is a
-sorted order of signatures that starts with its own ``DEPTH`` of them.  Classes that share a tree's prefix of that
-length are its neighbours and become candidates; where a region of candidates is too large for one task, it is split
-and its members are compared with common leaders first (the adaptive part), then whatever is not yet connected with
-all the rest, block by block.
+start, however many documents have them.  A tree of the forest is a sorted order of the classes' signatures: each tree
+reads the minimum hashes from another one on, ``depth`` of them and ``MORE`` that only sort further.  Spark sorts all
+trees' rows by ranges, ties cut by class, so that no order, prefix or copy group has to fit a task.
 
-Candidates say only which sets to bring together: every link is confirmed on full sets, and in a group each set is
-compared with all that are not yet connected to it.  A pair of similarity 0.8 shares no prefix in any of the 24 trees
-with probability (1 - 0.8**4)**24, about 3 in a million; this is the only way to lose a link.
+Neighbours in an order are candidates if their longest common prefix reaches ``depth``.  Depth adapts by region: a run
+of more than ``REGION`` classes is read deeper, a minimum hash at a time, until its runs are small.  Runs become
+groups whose full sets are compared exactly; a group of too many shingles is first compared with common leaders.
+Then every region is looked at that was read deeper, or lies in such a group, and still holds classes that aren't
+connected: its classes go to the next forest, of longer prefixes and as many more trees as keep the same certainty, and
+in the last one to an exact comparison in blocks.  So no pair that shares a prefix is given up, and a region of
+documents that merely share a passage costs more signatures instead of all its pairs.
+
+A pair of similarity 0.8 shares no prefix in any tree of a forest with probability (1 - 0.8**depth)**trees, at most 3
+in a million; this is the only way to lose a link.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer words than a shingle are one shingle.
 
@@ -28,12 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..sources.storage import scratch, stored
 from .recompression import blocks, words_of
-from .windows import NO_ID, Rolling, batch_of, mixed, texts_of
+from .windows import NO_ID, batch_of, mixed, texts_of, twisted
 
 SHINGLE, SIMILARITY = 4, 80
-TREES, DEPTH = 24, 4
+#: Trees and depth of the forests, the first for all classes, the others for regions that need them.
+FORESTS = ((24, 4), (72, 8), (180, 12))
+#: Minimum hashes by which an order goes on beyond the depth; classes of a region that is not read deeper.
+MORE, REGION = 4, 64
 #: Shingles of the sets that one task compares at once; more are split.
 GROUP_SHINGLES = 2_000_000
 #: Leaders of a split group.
@@ -41,10 +49,6 @@ LEADERS = 8
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.default_rng(4_2024)
-_MUL = _rng.integers(1 << 62, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
-
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The sets of texts laid end to end: sorted distinct shingle hashes, text after text, and the sets' bounds."""
@@ -56,7 +60,11 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray
     shingles = np.where(count > 0, np.maximum(count - k + 1, 1), 0)
     doc = np.repeat(np.arange(n), shingles)
     at = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    hashes = mixed(Rolling(words).of(at, at + few[doc]) ^ few[doc].astype(np.uint64))
+    own = few[doc]
+    hashes = twisted(own.astype(np.uint64))
+    for i in range(k):  # word by word: a sum of powers could cancel
+        live = own > i if own.min(initial=k) <= i else slice(None)
+        hashes[live] = mixed(twisted(hashes[live]) ^ words[at[live] + i])
     order = np.lexsort((hashes, doc))
     hashes, doc = hashes[order], doc[order]
     new = np.ones(len(doc), bool)
@@ -64,18 +72,22 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray
     return hashes[new], np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=n))))
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """``TREES * DEPTH`` minimum hashes of each non-empty set."""
+def signatures(hashes: np.ndarray, bounds: np.ndarray, forest: int) -> np.ndarray:
+    """The minimum hashes of each non-empty set, trees * depth of them, by their low 16 bits: an order needs no more."""
+    trees, depth = FORESTS[forest]
+    rng = np.random.default_rng([42024, forest])
+    mul = rng.integers(1 << 62, 1 << 63, trees * depth, dtype=np.uint64) | np.uint64(1)
+    add = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
     full = bounds[:-1][bounds[1:] > bounds[:-1]]
-    out = np.empty((len(full), TREES * DEPTH), np.uint32)
+    out = np.empty((len(full), trees * depth), ">u2")
     with np.errstate(over="ignore"):
-        for j in range(TREES * DEPTH) if len(full) else ():
-            out[:, j] = np.minimum.reduceat(((hashes * _MUL[j] + _ADD[j]) >> np.uint64(32)).astype(np.uint32), full)
+        for j in range(trees * depth) if len(full) else ():
+            out[:, j] = np.minimum.reduceat(((hashes * mul[j] + add[j]) >> np.uint64(32)).astype(np.uint32), full)
     return out
 
 
 def signed(texts: DataFrame, k: int) -> DataFrame:
-    """(rid, rhash, n_shingles, a, b, sig): each document's set size, set name and prefixes, 8 bytes for each tree."""
+    """(rid, rhash, n_shingles, a, b, sig): each document's set size, set name and signature in the first forest."""
     ddl = "rid long, rhash long, n_shingles long, a long, b long, sig binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,29 +97,88 @@ def signed(texts: DataFrame, k: int) -> DataFrame:
             data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
             for x, y in blocks(col, offs):
                 hashes, bounds = shingle_sets(data[offs[x] : offs[y]], offs[x + 1 : y + 1] - offs[x], k)
-                sigs = signatures(hashes, bounds).reshape(-1, TREES, DEPTH).astype(np.uint64)
-                prefix = np.broadcast_to(np.arange(TREES, dtype=np.uint64), sigs.shape[:2])
-                for i in range(DEPTH):
-                    prefix = mixed(prefix ^ mixed(sigs[:, :, i]))
                 sizes = np.diff(bounds)
                 names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(hashes[s:e].tobytes()) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]), "<i8").reshape(-1, 2)
-                rows = iter(np.ascontiguousarray(prefix))
+                rows = iter(signatures(hashes, bounds, 0))
                 sig = pa.array([next(rows).tobytes() if n else None for n in sizes], pa.binary())
                 yield batch_of([batch.column(0)[x:y], batch.column(1)[x:y], sizes, names[:, 0], names[:, 1], sig], ddl)
 
     return texts.mapInArrow(run, ddl)
 
 
-def prefixes(classes: DataFrame) -> DataFrame:
-    """(cid, p): a row for each class and tree."""
+def signed_again(texts: DataFrame, classes: DataFrame, k: int, forest: int) -> DataFrame:
+    """``classes`` (cid, rid, rhash, n_shingles) with their signatures in a later forest."""
+    ddl = "cid long, rid long, rhash long, n_shingles long, sig binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = []
+            for text in batch.column(4).to_pylist():
+                raw = np.frombuffer(text.encode(), np.uint8)
+                sig.append(signatures(*shingle_sets(raw, np.array([len(raw)]), k), forest)[0].tobytes())
+            if sig:
+                yield batch_of([*batch.columns[:4], pa.array(sig, pa.binary())], ddl)
+
+    rows = texts.join(classes.hint("shuffle_hash"), ["rid", "rhash"]).select("cid", "rid", "rhash", "n_shingles", "text")
+    return rows.dropDuplicates(["cid"]).mapInArrow(run, ddl)
+
+
+def orders(classes: DataFrame, forest: int) -> DataFrame:
+    """(seq, cid): for each class and tree its place in the tree's order, the tree's number before minimum hashes."""
+    trees, depth = FORESTS[forest]
+    read = (np.arange(trees)[:, None] * depth + np.arange(depth + MORE)) % (trees * depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                p = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-                yield batch_of([np.repeat(batch.column(0).to_numpy(), TREES), p], "cid long, p long")
+            # A few rows at a time: a class has a row in every tree.
+            for x in range(0, batch.num_rows, 2048):
+                cids = batch.column(0)[x : x + 2048].to_numpy()
+                sig = np.frombuffer(b"".join(batch.column(1)[x : x + 2048].to_pylist()), ">u2").reshape(len(cids), -1)
+                seq = np.empty((len(cids), trees, 1 + depth + MORE), ">u2")
+                seq[:, :, 0], seq[:, :, 1:] = np.arange(trees), sig[:, read]
+                seq = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * seq.shape[2]), seq.shape[0] * trees, [None, pa.py_buffer(seq.tobytes())])
+                yield batch_of([seq.cast(pa.binary()), np.repeat(cids, trees)], "seq binary, cid long")
 
-    return classes.select("cid", "sig").mapInArrow(run, "cid long, p long")
+    return classes.select("cid", "sig").mapInArrow(run, "seq binary, cid long")
+
+
+REGIONS = "cid long, region long, first long, deeper boolean, edge boolean"
+
+
+def regions(rows: DataFrame, depth: int, most: int) -> DataFrame:
+    """``REGIONS`` of the sorted orders: for each class that shares ``depth`` minimum hashes with a neighbour, the
+    region (named by these), the first class of the run it was put into, and whether the region was read deeper.
+    ``edge``: the first class of a task's first and last regions, which may go on in other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        cid = np.concatenate([b.column(1).to_numpy() for b in got])
+        seq = np.frombuffer(b"".join([x for b in got for x in b.column(0).to_pylist()]), ">u2").reshape(len(cid), -1)
+        prefix = np.zeros(len(cid), int)  # units in common with the row before
+        prefix[1:] = np.logical_and.accumulate(seq[1:] == seq[:-1], axis=1).sum(axis=1)
+
+        def runs(units: int) -> tuple[np.ndarray, np.ndarray]:
+            start = np.flatnonzero(prefix < units)
+            size = np.diff(np.append(start, len(cid)))
+            return np.repeat(start, size), np.repeat(size, size)
+
+        head, size = runs(1 + depth)
+        first, done = cid.copy(), np.zeros(len(cid), bool)
+        for more in range(MORE + 1):
+            start, members = runs(1 + depth + more)
+            take = ~done if more == MORE else ~done & (members <= most)
+            first[take] = cid[start[take]]
+            done |= take
+        name = np.zeros(len(cid), np.uint64)
+        for unit in range(1 + depth):
+            name = mixed(twisted(name) ^ seq[:, unit].astype(np.uint64))
+        edge = (np.arange(len(cid)) == head) & ((head == 0) | (head == head[-1]))
+        out = (size > 1) | edge
+        yield batch_of([cid[out], name[out].view(np.int64), first[out], (size > most)[out], edge[out]], REGIONS)
+
+    return rows.repartitionByRange("seq", "cid").sortWithinPartitions("seq", "cid").mapInArrow(run, REGIONS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,45 +261,78 @@ def confirmed(groups: DataFrame, k: int, similarity: int) -> DataFrame:
     return groups.select("grp", "cid", "text").repartition("grp").sortWithinPartitions("grp", "cid").mapInArrow(run, "u long, v long")
 
 
-def class_roots(texts: DataFrame, classes: DataFrame, k: int, similarity: int, group_shingles: int) -> DataFrame:
-    """(cid, root) of the classes with candidates."""
-    rows = prefixes(classes)
-    regions = rows.groupBy("p").agg(F.min("cid").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    near = stored(rows.join(regions, "p").select("cid", "first", "n"), "candidates")
-    groups = components(near.selectExpr("cid as u", "first as v"))
-    members = groups.selectExpr("u as cid", "root as grp").join(classes.select("cid", "rid", "rhash", "n_shingles"), "cid")
-    sizes = members.groupBy("grp").agg(F.sum("n_shingles").alias("total"))
-    members = stored(members.join(sizes, "grp"), "members")
-
-    def with_text(rows: DataFrame) -> DataFrame:
-        # A document listed twice would bring its set twice, which changes nothing; it is dropped all the same.
-        return texts.join(rows.hint("shuffle_hash"), ["rid", "rhash"]).select("grp", "cid", "text").dropDuplicates(["grp", "cid"])
-
-    links = confirmed(with_text(members.filter(F.col("total") <= group_shingles)), k, similarity)
-    large = members.filter(F.col("total") > group_shingles)
-    if large.isEmpty():
-        return links.selectExpr("u as cid", "v as root")
-    # Chunks of a large group by hash, each with the group's leaders: the members whose regions hold most.
-    score = near.groupBy("cid").agg(F.sum("n").alias("score"))
+def with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(grp, cid, text) of (grp, cid, rid, rhash); a document that is listed twice brings its set once."""
+    return texts.join(rows.hint("shuffle_hash"), ["rid", "rhash"]).select("grp", "cid", "text").dropDuplicates(["grp", "cid"])
+
+
+def led(texts: DataFrame, large: DataFrame, near: DataFrame, k: int, similarity: int, group_shingles: int) -> DataFrame:
+    """Links (u, v) of groups that are too large for a task: chunks by hash, each with the group's leaders, the classes
+    with most regions."""
     large = large.withColumn("chunks", F.ceil(2 * F.col("total") / group_shingles)).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
-    leads = large.join(score, "cid").withColumn("slot", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(LEADERS))).groupBy("grp", "chunks", "slot").agg(F.max_by(F.struct("cid", "rid", "rhash"), F.struct("score", "cid")).alias("x"))
+    score = near.groupBy("cid").agg(F.count("*").alias("score"))
+    slot = F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(LEADERS))
+    leads = large.join(score, "cid").withColumn("slot", slot).groupBy("grp", "chunks", "slot").agg(F.max_by(F.struct("cid", "rid", "rhash"), F.struct("score", "cid")).alias("x"))
     leads = leads.select("grp", "x.*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     cols = ["grp", "chunk", "cid", "rid", "rhash"]
-    keyed = lambda df, *more: df.withColumn("grp", F.xxhash64("grp", "chunk", *more))
-    first = stored(confirmed(with_text(keyed(large.select(cols).unionByName(leads.select(cols)).distinct())), k, similarity), "links")
-    # What is not in a group's largest part is compared with all of the group, block by block.
-    parts = large.join(components(first).selectExpr("u as cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    main = parts.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    parts = stored(parts.join(main, "grp"), "parts")
-    others = parts.filter("root != main").withColumn("block", F.col("chunk"))
-    blocks_of = others.select("grp", "block").distinct()
-    every = parts.join(blocks_of, "grp").select(*cols, "block")
-    guests = others.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*cols, "block")
-    second = confirmed(with_text(keyed(every.unionByName(guests).distinct(), "block")), k, similarity)
-    return components(links.unionByName(first).unionByName(second)).selectExpr("u as cid", "root")
-
-
-def find_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    rows = large.select(cols).unionByName(leads.select(cols)).withColumn("grp", F.xxhash64("grp", "chunk"))
+    return confirmed(with_text(texts, rows), k, similarity)
+
+
+def compared(texts: DataFrame, rest: DataFrame, k: int, similarity: int, group_shingles: int) -> DataFrame:
+    """Links (u, v) of regions (region, cid, root, rid, rhash, n_shingles): classes outside a region's largest part
+    (root) are compared with all of the region, block by block."""
+    sizes = rest.groupBy("region", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("part"))
+    sizes = sizes.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("part").alias("total"))
+    chunks = F.greatest(F.lit(1), F.ceil(2 * F.col("total") / group_shingles))
+    rows = rest.join(sizes, "region").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
+    rows = stored(rows, "rest")
+    others = rows.filter("root != main").withColumn("block", F.col("chunk"))
+    every = rows.join(others.select("region", "block").distinct(), "region")
+    guests = others.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    grp = F.xxhash64("region", "chunk", "block").alias("grp")
+    return confirmed(with_text(texts, every.select(grp, "cid", "rid", "rhash").unionByName(guests.select(grp, "cid", "rid", "rhash"))), k, similarity)
+
+
+def forest_links(texts: DataFrame, classes: DataFrame, known: DataFrame | None, forest: int, k: int, similarity: int, group_shingles: int, region: int) -> tuple[DataFrame, bool]:
+    """Links (u, v) of the classes (cid, rid, rhash, n_shingles, sig), and whether each class has one, to its part's
+    first.  ``known``: (cid, root) of classes that are connected already."""
+    near = stored(regions(orders(classes, forest), FORESTS[forest][1], region), "regions")
+    if known is not None:  # regions of one part are settled
+        near = near.join(known, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        parts = near.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("region")
+        near = stored(near.join(parts, "region").drop("root"), "regions")
+    edges = near.filter("edge")
+    across = edges.join(edges.groupBy("region").agg(F.min("first").alias("least")), "region").selectExpr("first as u", "least as v")
+    groups = components(near.selectExpr("cid as u", "first as v").unionByName(across)).selectExpr("u as cid", "root as grp")
+    members = groups.join(classes.select("cid", "rid", "rhash", "n_shingles"), "cid")
+    members = stored(members.join(members.groupBy("grp").agg(F.sum("n_shingles").alias("total")), "grp"), "members")
+    small, large = (members.filter(F.col("total") <= group_shingles), members.filter(F.col("total") > group_shingles))
+    links = confirmed(with_text(texts, small), k, similarity)
+    done = large.isEmpty()
+    if not done:
+        links = links.unionByName(led(texts, large, near, k, similarity, group_shingles))
+    links = stored(links, "links")
+    # Regions that were not compared as a whole.
+    unsure = members.select("cid", (F.col("total") > group_shingles).alias("split"))
+    rows = near.join(unsure, "cid", "left").filter("deeper or split").select("region").distinct()
+    if rows.isEmpty():
+        return links, done
+    roots = links if known is None else links.unionByName(known.selectExpr("cid as u", "root as v"))
+    roots = roots.selectExpr("u as cid", "v as root") if done and known is None else components(roots).selectExpr("u as cid", "root")
+    rest = near.select("region", "cid").distinct().join(rows, "region").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    parts = rest.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("region")
+    rest = stored(rest.join(parts, "region").join(classes.select("cid", "rid", "rhash", "n_shingles"), "cid"), "rest")
+    if rest.isEmpty():
+        return links, done
+    if forest + 1 == len(FORESTS):
+        return links.unionByName(compared(texts, rest, k, similarity, group_shingles)), False
+    again = stored(signed_again(texts, rest.select("cid", "rid", "rhash", "n_shingles").distinct(), k, forest + 1), "again")
+    roots = stored(rest.select("cid", "root").distinct(), "roots")
+    return links.unionByName(forest_links(texts, again, roots, forest + 1, k, similarity, group_shingles, region)[0]), False
+
+
+def find_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY, group_shingles: int = GROUP_SHINGLES, region: int = REGION) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, rhash (the text's hash), stays.  ``similarity``:
     least 100 * intersection / union of linked sets.  ``stays`` marks one (doc_id, text) of each component, the least by
     doc_id (null last) and rhash, and all documents without a shingle."""
@@ -237,13 +341,17 @@ def find_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = stored(signed(texts, shingle), "sets")
     row = F.struct(known.isNull().alias("unnamed"), "rid", "rhash")
     one = [F.first(c).alias(c) for c in ("rid", "rhash", "n_shingles", "sig")]
-    classes = sets.filter("n_shingles > 0").groupBy("a", "b").agg(F.min(known).alias("least_id"), F.min(row).alias("least_row"), *one)
-    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    roots = class_roots(texts, classes, shingle, similarity, group_shingles)
-    named = classes.select("cid", "a", "b", "least_id", "least_row").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    named = stored(named, "named")
+    with scratch(docs.sparkSession):
+        classes = sets.filter("n_shingles > 0").groupBy("a", "b").agg(F.min(known).alias("least_id"), F.min(row).alias("least_row"), *one)
+        classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        links, done = forest_links(texts, classes, None, 0, shingle, similarity, group_shingles, region)
+        roots = links.selectExpr("u as cid", "v as root") if done else components(links).selectExpr("u as cid", "root")
+        named = classes.select("cid", "a", "b", "least_id", "least_row").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        named = stored(named, "named", keep=True)
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("least_row").alias("stay"))
     named = named.join(least, "root").select("a", "b", "component_id", "stay")
-    some = sets.filter("n_shingles > 0").select(known.alias("doc_id"), "n_shingles", "rhash", "a", "b", row.alias("row")).join(named, ["a", "b"]).withColumn("stays", F.col("row") == F.col("stay"))
+    some = sets.filter("n_shingles > 0").select(known.alias("doc_id"), "n_shingles", "rhash", "a", "b", row.alias("row"))
+    some = some.join(named, ["a", "b"]).withColumn("stays", F.col("row") == F.col("stay")).drop("a", "b", "row", "stay")
     none = sets.filter("n_shingles = 0").select(known.alias("doc_id"), "n_shingles", "rhash", known.alias("component_id"), F.lit(True).alias("stays"))
-    return some.drop("a", "b", "row", "stay").unionByName(none).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rhash", "stays")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return some.unionByName(none).select("doc_id", "n_shingles", "component_id", kept, "rhash", "stays")
