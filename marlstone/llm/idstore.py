@@ -7,13 +7,17 @@ is a shard over a range of document keys:
 * ``docs``: little-endian 64-bit id positions, one more than documents: document k has ids ``docs[k]:docs[k+1]``;
 * ``levels``: the minimal perfect hash.  Level i is a bit array in which each key not placed before sets the bit of
   its i-th hash, if no other key does; the number of set bits before a key's bit is its slot in 0..n-1;
+* ``ranks``: for each level the number of set bits, of this and earlier levels, before each 64 bytes of it, as
+  little-endian unsigned 32-bit integers, so that a slot is found by counting the bits of 64 bytes at most;
 * ``slots``: for each slot the key's fingerprint (32 bits of another hash), its first document and their number;
 * ``keys``: the document keys in order (a manifest for full scans; a lookup doesn't read it).
 
-A lookup hashes the key, finds its slot, compares the fingerprint and slices the payload: constant time.
+A lookup hashes the key, finds its slot, compares the fingerprint and slices the payload: in a shard at hand that is
+constant time, whatever its size.  Shards are of bounded size; Parquet statistics of the first and last key say which
+to read.  A key with very many documents goes on over shards and tasks, each with a slot for it.
 
-Edge cases: a null or empty text is the end id alone; equal keys are neighbours in order of their texts and share a
-slot; a null key comes first, is stored, but can't be looked up; an empty table gives an empty store.
+Edge cases: a null or empty text is the end id alone; documents of one key are neighbours in order of their text's hash;
+a null key comes first, is stored, but can't be looked up; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -28,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from ..sources.storage import shared_dir
 from .tokens import encoder
 
-#: A shard ends after so many ids or documents.
-SHARD_IDS, SHARD_DOCS = 2_000_000, 4096
+#: A shard ends after so many ids or documents; bytes of input a writing task gets at least.
+SHARD_IDS, SHARD_DOCS, TASK_BYTES = 2_000_000, 4096, 256 << 20
 #: Bits of a level for each key that reaches it.
 SPREAD = 2
-SHARD = "shard_id long, first_key long, last_key long, n_docs long, n_ids long, width int, payload binary, docs binary, levels array<binary>, slots binary, keys binary, null_keys long"
+SHARD = "shard_id long, first_key long, last_key long, n_docs long, n_ids long, width int, payload binary, docs binary, levels array<binary>, ranks array<binary>, slots binary, keys binary, null_keys long"
 SLOT = np.dtype([("print", "<u4"), ("first", "<u4"), ("count", "<u4")])
 ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
 
@@ -53,32 +57,42 @@ def key_hash(keys: np.ndarray, seed: int) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
+
+
 class PerfectHash:
-    """A minimal perfect hash of distinct 64-bit keys."""
+    """A minimal perfect hash of distinct 64-bit keys, read from its levels and ranks."""
 
-    def __init__(self, levels: Iterable[bytes]):
-        self.bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in levels]
-        starts = np.cumsum([0, *(int(b.sum()) for b in self.bits)])
-        self.ranks = [start + np.cumsum(b) - b for start, b in zip(starts, self.bits, strict=False)]
+    def __init__(self, levels: list[bytes], ranks: list[bytes]):
+        self.levels = [np.frombuffer(x, np.uint8) for x in levels]
+        self.ranks = [np.frombuffer(x, "<u4") for x in ranks]
 
     @staticmethod
-    def build(keys: np.ndarray) -> list[bytes]:
-        levels = []
+    def build(keys: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        levels, ranks, before = [], [], 0
         while len(keys):
             m = (len(keys) * SPREAD + 7) // 8 * 8
             at = (key_hash(keys, len(levels)) % np.uint64(m)).astype(np.int64)
             alone = np.bincount(at, minlength=m) == 1
+            counts = np.add.reduceat(alone, np.arange(0, m, 512), dtype=np.int64)
             levels.append(np.packbits(alone).tobytes())
+            ranks.append((before + np.cumsum(counts) - counts).astype("<u4").tobytes())
+            before += int(counts.sum())
             keys = keys[~alone[at]]
-        return levels
+        return levels, ranks
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; -1 for keys that reach no bit (other keys may get any slot)."""
         out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for i, (bits, ranks) in enumerate(zip(self.bits, self.ranks, strict=True)):
-            at = (key_hash(keys[left], i) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[at] == 1
-            out[left[hit]] = ranks[at[hit]]
+        for i, (level, ranks) in enumerate(zip(self.levels, self.ranks, strict=True)):
+            at = (key_hash(keys[left], i) % np.uint64(8 * len(level))).astype(np.int64)
+            byte, bit = at >> 3, 7 - (at & 7)
+            hit = (level[byte] >> bit) & 1 == 1
+            own, byte, bit = left[hit], byte[hit], bit[hit]
+            # The set bits before it in its 64 bytes.
+            place = (byte & ~63)[:, None] + np.arange(64)
+            full = np.where(place < byte[:, None], BITS[level[np.minimum(place, len(level) - 1)]], 0).sum(axis=1)
+            out[own] = ranks[byte >> 6] + full + BITS[level[byte] >> (bit + 1)]
             left = left[~hit]
         return out
 
@@ -93,7 +107,7 @@ class Shard:
     def __init__(self, row: dict):
         self.docs = np.frombuffer(row["docs"], "<u8").astype(np.int64)
         self.slots = np.frombuffer(row["slots"], SLOT)
-        self.hash = PerfectHash(row["levels"])
+        self.hash = PerfectHash(row["levels"], row["ranks"])
         self.payload, self.width = row["payload"], row["width"]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,15 +130,15 @@ def shard_row(shard_id: int, keys: list[int | None], ids: list[bytes], width: in
     nulls = sum(k is None for k in keys)
     known = np.array(keys[nulls:], np.int64)
     distinct, first, count = np.unique(known, return_index=True, return_counts=True)
-    levels = PerfectHash.build(distinct)
+    levels, ranks = PerfectHash.build(distinct)
     slots = np.zeros(len(distinct), SLOT)
-    at = PerfectHash(levels).slots(distinct)
+    at = PerfectHash(levels, ranks).slots(distinct)
     slots["print"][at], slots["first"][at], slots["count"][at] = fingerprints(distinct), first + nulls, count
     payload = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()
     return {
         "shard_id": shard_id, "first_key": int(known[0]) if len(known) else None, "last_key": int(known[-1]) if len(known) else None,
         "n_docs": len(keys), "n_ids": int(docs[-1]), "width": width, "payload": payload, "docs": docs.astype("<u8").tobytes(),
-        "levels": levels, "slots": slots.tobytes(), "keys": known.astype("<i8").tobytes(), "null_keys": nulls,
+        "levels": levels, "ranks": ranks, "slots": slots.tobytes(), "keys": known.astype("<i8").tobytes(), "null_keys": nulls,
     }
 
 
@@ -142,7 +156,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
         ids: list[bytes] = []
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if keys and key != keys[-1] and (size >= SHARD_IDS or len(keys) >= SHARD_DOCS):
+                if size >= SHARD_IDS or len(keys) >= SHARD_DOCS:
                     yield pa.RecordBatch.from_pylist([shard_row(base + made, keys, ids, width)], schema)
                     keys, ids, size, made = [], [], 0, made + 1
                 keys.append(key)
@@ -151,12 +165,22 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
         if keys:
             yield pa.RecordBatch.from_pylist([shard_row(base + made, keys, ids, width)], schema)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"coalesce(`{text_col}`, '') as text").repartitionByRange(parts, "doc_id")
-    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD).write.parquet(path)
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"coalesce(`{text_col}`, '') as text")
+    # Equal rows, too, are dealt to several tasks: by their place in the input.
+    rows = rows.withColumn("rhash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = ["doc_id", "rhash", "place"]
+    rows = rows.repartitionByRange(write_tasks(docs), *order).sortWithinPartitions(*order)
+    rows.select("doc_id", "text").mapInArrow(run, SHARD).write.parquet(path)
     return path
 
 
+def write_tasks(docs: DataFrame) -> int:
+    """Tasks to write a store with: the session's number, more where the input's estimated size asks for it."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # more stands for an unknown size
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // TASK_BYTES)
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SHARD).parquet(path)
 
