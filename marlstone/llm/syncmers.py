@@ -14,7 +14,7 @@ common parts / (parts of both - common parts).
 
 Edge cases: a null text is empty; a text without a closed syncmer, as one of one to three words and some of four, has one
 anchor, the whole sequence, an empty or blank text none; two texts without anchors are alike (1), one without is unlike any other (0); repeated ids are
-ordered by their text's hash, null ids come last; texts are read whole; an empty table gives no rows; other columns
+ordered by their text's hash, equal rows follow each other, null ids come last; texts are read whole; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -25,15 +25,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from ..sources.storage import stored
 from .windows import NO_ID, texts_of
 
 #: Characters of a word and of a word in a longer run, words of a k-mer.
 WORD, PART, K = 24, 8, 4
 #: A word is group 1.
 WORDS = rf"(?=((?<!\S)\S{{1,{WORD}}}+(?!\S)|\S{{1,{PART}}}))(?:(?<!\S)\S{{1,{WORD}}}+(?!\S)|\S)"
-#: Documents of a bucket of neighbouring ids, and most buckets.
-BUCKET_DOCS, MAX_BUCKETS = 1500, 4096
+#: Documents of a bucket of neighbouring ids; buckets beyond which these grow instead.
+BUCKET_DOCS, MAX_BUCKETS = 1500, 1 << 17
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -117,36 +117,74 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("doc_id", "n_chars", as_string(F.col("found")).alias("fingerprint"), anchor_list(F.col("found")).alias("anchors"))
 
 
+def bucket_of(cuts: list[tuple[int, int]]) -> Column:
+    """The number of cuts (rid, rhash) below a row, by a binary search in two constant arrays."""
+    if not cuts:
+        return F.lit(0)
+    rids, rhashes = (F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast("array<bigint>") for i in range(2))
+    rid, rhash = F.col("rid"), F.col("rhash")
+
+    def step(at: Column, _: Column) -> Column:
+        mid = F.shiftright(at["low"] + at["high"], 1)
+        below = (F.get(rids, mid) < rid) | ((F.get(rids, mid) == rid) & (F.get(rhashes, mid) < rhash))
+        low = F.when((at["low"] < at["high"]) & below, mid + 1).otherwise(at["low"])
+        high = F.when((at["low"] < at["high"]) & ~below, mid).otherwise(at["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), start, step, lambda at: at["low"])
+
+
 def with_next(texts: DataFrame) -> tuple[DataFrame, Window]:
-    """``texts`` dealt to buckets of neighbouring ids, with each bucket's follower as an extra row (``guest``), and the
-    window in which a row's next document is the next row.  One shuffle of the texts; only cut points and one row
-    for each of the at most ``MAX_BUCKETS`` buckets are gathered."""
-    n = texts.count()
+    """``texts`` (rid, rhash, text, copies), a row for each id and text, dealt to buckets of neighbouring ids, with each
+    bucket's follower as an extra row (``guest``), and the window in which a row's next document is the next row.
+
+    Buckets are cut by (rid, rhash) and grow in number with the documents, so that rows of one id are dealt, too; equal rows
+    are one row and a count.  The texts are shuffled once; cuts and followers come from a table of ids and hashes."""
+    light = stored(texts.groupBy("rid", "rhash").agg(F.count("*").alias("copies")), "ids")
+    n = light.count()
     size = min(MAX_BUCKETS, n // BUCKET_DOCS + 1)
-    cuts = texts.select(F.percentile_approx("rid", [k / size for k in range(1, size)], 10_000)).first()[0] if size > 1 and n else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*(F.lit(c).cast("bigint") for c in cuts)), lambda c: c < F.col("rid"))) if cuts else F.lit(0)
-    dealt = texts.withColumn("bucket", bucket)
-    tops = dealt.groupBy("bucket").agg(F.max(F.struct("rid", "rhash")).alias("top"))
+    cuts: list[tuple[int, int]] = []
+    if size > 1:
+        # Each task of a range partitioning starts at a cut.
+        ranges = light.select("rid", "rhash").repartitionByRange(size, "rid", "rhash").withColumn("part", F.spark_partition_id())
+        starts = ranges.groupBy("part").agg(F.min(F.struct("rid", "rhash")).alias("cut"))
+        cuts = sorted((r["cut"]["rid"], r["cut"]["rhash"]) for r in starts.collect())[1:]
+    bucket = bucket_of(cuts)
+    tops = light.groupBy(bucket.alias("bucket")).agg(F.max(F.struct("rid", "rhash")).alias("top"))
     down = Window.orderBy(F.col("bucket").desc())
     tops = tops.select(F.coalesce(F.lag("bucket").over(down), F.min("bucket").over(Window.partitionBy(F.lit(0)))).alias("target"), "top.*")
-    guests = dealt.join(F.broadcast(tops), ["rid", "rhash"]).groupBy("target").agg(*(F.first(c).alias(c) for c in ("rid", "rhash", "text")))
-    rows = dealt.withColumn("guest", F.lit(0)).unionByName(guests.withColumnRenamed("target", "bucket").withColumn("guest", F.lit(1)))
+    many = light.filter("copies > 1")
+    if many.isEmpty():
+        once = texts.withColumn("copies", F.lit(1).cast("bigint"))
+    else:
+        found = texts.join(many.hint("shuffle_hash"), ["rid", "rhash"], "left")
+        once = found.filter("copies is null").withColumn("copies", F.lit(1).cast("bigint"))
+        once = once.unionByName(found.filter("copies is not null").dropDuplicates(["rid", "rhash"]))
+    dealt = once.withColumn("bucket", bucket)
+    guests = texts.join(F.broadcast(tops), ["rid", "rhash"]).groupBy("target").agg(*(F.first(c).alias(c) for c in ("rid", "rhash", "text")))
+    guests = guests.withColumnRenamed("target", "bucket").withColumn("copies", F.lit(0).cast("bigint"))
+    rows = dealt.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)))
     return rows, Window.partitionBy("bucket").orderBy("guest", F.col("rid").desc(), F.col("rhash").desc())
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, that of its edited text (its later half replaced by the start of the next document,
     descending id), and their likeness."""
-    shared_dir(docs.sparkSession)
     rows, order = with_next(texts_of(docs, id_col, text_col))
     rows = rows.withColumn("next", F.coalesce(F.lead("text").over(order), F.lit(""))).filter("guest = 0")
+    # The next document of an equal row but the last is its own text again.
+    turns = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(1).cast("bigint").alias("times"), F.col("next")), F.struct((F.col("copies") - 1).alias("times"), F.col("text").alias("next"))))
+    turns = turns.otherwise(F.array(F.struct(F.lit(1).cast("bigint").alias("times"), F.col("next"))))
+    rows = rows.select("rid", "text", F.inline(turns))
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next, int(length(text) div 2))"))
-    rows = rows.select("rid", F.length("text").alias("n_chars"), "text", edited.alias("edited"), "next")
+    rows = rows.select("rid", "times", F.length("text").alias("n_chars"), "text", edited.alias("edited"), "next")
     # The next text's anchors are found again here: a second window would hold the parts of a whole bucket.
-    rows = rows.select("rid", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(anchors(F.col(c)).alias(a) for c, a in (("text", "a"), ("edited", "e"), ("next", "b"))))
-    rows = rows.select("rid", "n_chars", "edited_sha256", "a", "e", *(parts(F.col(c)).alias(f"parts_{c}") for c in "aeb"))
-    return rows.select(
-        F.when(F.col("rid") != F.lit(NO_ID), F.col("rid")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_string(F.col("a")).alias("fingerprint"),
+    rows = rows.select("rid", "times", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(anchors(F.col(c)).alias(a) for c, a in (("text", "a"), ("edited", "e"), ("next", "b"))))
+    rows = rows.select("rid", "times", "n_chars", "edited_sha256", "a", "e", *(parts(F.col(c)).alias(f"parts_{c}") for c in "aeb"))
+    rows = rows.select(
+        "times", F.when(F.col("rid") != F.lit(NO_ID), F.col("rid")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_string(F.col("a")).alias("fingerprint"),
         as_string(F.col("e")).alias("edited_fingerprint"), likeness(F.col("parts_a"), F.col("parts_e")).alias("near_edited"), likeness(F.col("parts_a"), F.col("parts_b")).alias("near_next"),
     )
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("turn")
+    return rows.select("*", again).drop("times", "turn")
