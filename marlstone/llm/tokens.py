@@ -92,7 +92,8 @@ class ChunkEncoder:
             rest = self._plain(right, "")
             return self._known(left) + self.line + (self.whole(right) if rest is None else rest)
         word = chunk.rstrip(SYMBOLS)
-        if len(word) < len(chunk) and word[-1:].isalpha():
+        # The lower case of a letter may end in a mark, which would join the symbols.
+        if len(word) < len(chunk) and (word[-1:].lower() if self.lowers else word[-1:]).isalpha():
             return self._known(word) + self._end(chunk[len(word) :])
         ids = self._plain(chunk, self.lead)
         return self.whole(self.lead + chunk) if ids is None else ids
