@@ -6,8 +6,9 @@ sum the normal equations; the driver solves the ridge system, of the features' s
 calibration over score bins.  The score is the calibrated probability of label 1.
 
 Edge cases: a null or empty text has statistics zero and a score; rows without an id are scored, never learnt from;
-repeated rows are scored row by row and learnt once for each label row; without labels of both kinds every score is
-the share of label 1 (a half without labels); an empty table gives no rows; other columns are never read.
+repeated rows are scored row by row, equal label rows count once and all texts with their id are learnt from; without
+labels of both kinds every score is the share of label 1 (a half without labels); an empty table gives no rows; other
+columns are never read.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .windows import Rolling
+from ..sources.storage import scratch, stored
+from .windows import mixed, unit_names
 
 #: Labelled rows to learn from, at most about so many (an even hash sample of the ids beyond it).
 MAX_LABELLED = 200_000
@@ -66,7 +67,7 @@ def _pieces(data: np.ndarray, inside: np.ndarray, doc_starts: np.ndarray) -> tup
     """Maximal runs of ``inside``, cut at document starts: start, length, document, hash of the bytes."""
     edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    hashes = Rolling(data.astype(np.uint64)).of(start, end)
+    hashes = mixed(unit_names(data, start, end)[0])
     return start, end - start, np.searchsorted(doc_starts, start, "right") - 1, hashes
 
 
@@ -112,26 +113,31 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, stats array<double>, rhash) of whole texts; rhash is the text's hash."""
-    kind = pa.list_(pa.float64())
+def batch_statistics(texts: pa.Array) -> np.ndarray:
+    """The statistics of a batch of whole texts, ``BLOCK`` bytes of them at once."""
+    rows, block, size = [], [], 0
+    for t in texts.cast(pa.binary()).to_pylist():
+        block.append(t or b"")
+        size += len(block[-1])
+        if size >= BLOCK:
+            rows.append(statistics(block))
+            block, size = [], 0
+    if block:
+        rows.append(statistics(block))
+    return np.concatenate(rows) if rows else np.zeros((0, N_STATS))
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(stats, label) of the documents that the bounded ``labels`` (doc_id, label) name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            rows, block, size = [], [], 0
-            for k, t in enumerate(texts):
-                block.append(t or b"")
-                size += len(block[-1])
-                if size >= BLOCK or k + 1 == len(texts):
-                    rows.append(statistics(block))
-                    block, size = [], 0
-            flat = np.concatenate(rows) if rows else np.zeros((0, N_STATS))
+            flat = batch_statistics(batch.column(0))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * N_STATS, pa.int32()), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(kind), batch.column(2)], names=["doc_id", "stats", "rhash"])
+            yield pa.RecordBatch.from_arrays([lists.cast(pa.list_(pa.float64())), batch.column(1)], names=["stats", "label"])
 
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text", f"xxhash64(coalesce(`{text_col}`, '')) as rhash")
-    return rows.mapInArrow(run, "doc_id long, stats array<double>, rhash long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(labels), "doc_id").select("text", "label").mapInArrow(run, "stats array<double>, label double")
 
 
 @dataclass
@@ -224,22 +230,41 @@ def _binned(raw: np.ndarray, y: np.ndarray, low: float, high: float) -> np.ndarr
     return np.concatenate([np.bincount(k, w, BINS) for w in (np.ones(len(y)), y, raw)])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", learn_from=None, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted, rhash).  ``learn_from``: condition on ``doc_id`` that label rows must meet.
-    A label other than 0 and 1 is ignored."""
-    stats = stored(document_statistics(docs, id_col, text_col), "stats")
+def learnt(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str, label_col: str, learn_from):
+    """The model, broadcast.  Only the texts that the label rows taken name are read for it, and their statistics kept."""
     own = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).filter("label in (0, 1)")
-    own = own if learn_from is None else own.filter(learn_from)
+    own = (own if learn_from is None else own.filter(learn_from)).distinct()
     n = own.count()
     if n > MAX_LABELLED:
-        own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / n))
-    blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(stored(stats.join(own, "doc_id").select("stats", "label"), "labelled"))))
+        own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(1_000_000_000 * MAX_LABELLED / n))
+    with scratch(docs.sparkSession):
+        model = fit(stored(labelled_statistics(docs, own, id_col, text_col), "labelled"))
+    return docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", learn_from=None, threshold: float = 0.7) -> DataFrame:
+    """(doc_id, score, predicted), in one pass.  ``learn_from``: condition on ``doc_id`` that label rows must meet.
+    A label other than 0 and 1 is ignored."""
+    blob = learnt(docs, labels, id_col, text_col, label_id_col, label_col, learn_from)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(blob.value)
         for b in batches:
-            if b.num_rows:
-                scores = model.score(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), b.column(2)], names=["doc_id", "score", "predicted", "rhash"])
+            scores = model.score(batch_statistics(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", learn_from=None) -> DataFrame:
+    """The documents, all columns, that are scored ``threshold`` or more: each row is judged where it lies."""
+    blob = learnt(docs, labels, id_col, text_col, label_id_col, label_col, learn_from)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(blob.value)
+        for b in batches:
+            yield b.filter(pa.array(model.score(batch_statistics(b.column(place))) >= threshold))
 
-    return stats.mapInArrow(run, "doc_id long, score double, predicted int, rhash long")
+    return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..sources.storage import scratch, stored
 from .windows import ANCHORS, NO_ID, RUNS, Rolling, batch_of, bool_runs, document_spans, full_runs, hot_anchors, mixed, open_segments, open_texts, runs_of, segments, sliding_min, texts_of, union_of, whole
 
 MIN_BYTES = 400
@@ -220,13 +220,14 @@ def decide(rows: DataFrame, w: int, width: int, max_segments: int) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, w: int, max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """(rid, rhash, spans) of the texts with repeated windows."""
-    anchors = hot_anchors(texts, anchor_extract(w))
-    segs = segments(anchors)
-    body = F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.col("n") + (w - 1))
-    rows = open_texts(texts, open_segments(segs), ["key", "a", "b", "c", "at", "n", "d", "n_segs"]).select("text", F.inline("segs"))
-    rows = rows.select("key", "a", "b", "c", "n", "d", body.alias("body"), "n_segs")
-    runs = full_runs(segs).unionByName(decide(stored(rows, "bodies"), w, max(1, w // 5), max_segments))
-    return document_spans(anchors, runs, w)
+    with scratch(texts.sparkSession):
+        anchors = hot_anchors(texts, anchor_extract(w))
+        segs = segments(anchors)
+        body = F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.col("n") + (w - 1))
+        rows = open_texts(texts, open_segments(segs), ["key", "a", "b", "c", "at", "n", "d", "n_segs"]).select("text", F.inline("segs"))
+        rows = rows.select("key", "a", "b", "c", "n", "d", body.alias("body"), "n_segs")
+        runs = full_runs(segs).unionByName(decide(stored(rows, "bodies"), w, max(1, w // 5), max_segments))
+        return stored(document_spans(anchors, runs, w), "spans", keep=True)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -243,10 +244,44 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for rid, rhash, body, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 cut = union_of(found, len(body))
-                kept = body if not cut else b"".join(body[s:e] for s, e in zip([0, *(e for _, e in cut)], [*(s for s, _ in cut), len(body)], strict=True))
+                kept = without(body, cut)
                 row = (None if rid == NO_ID else rid, len(body), len(body) - len(kept), len(cut), hashlib.sha256(kept).hexdigest())
                 out.append((*row, rhash, kept.decode("utf-8", "ignore")) if with_text else row)
             kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.string()]
             yield batch_of([pa.array([x[i] for x in out], kinds[i]) for i in range(7 if with_text else 5)], ddl)
 
     return texts.join(spans.hint("shuffle_hash"), ["rid", "rhash"], "left").select("rid", "rhash", "text", "spans").mapInArrow(run, ddl)
+
+
+def without(body: bytes, cut: list[tuple[int, int]]) -> bytes:
+    """The bytes outside the disjoint runs ``cut``."""
+    return body if not cut else b"".join(body[s:e] for s, e in zip([0, *(e for _, e in cut)], [*(s for s, _ in cut), len(body)], strict=True))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, chars_col: str | None = None) -> DataFrame:
+    """The documents, all columns, their texts without the repeated bytes (a character cut in two is dropped); a null
+    text stays null.  ``chars_col``: a column that holds the text's number of characters, set anew where that changes."""
+    spans = repeated_spans(texts_of(docs, id_col, text_col), min_bytes)
+    name = "spans"
+    while name in docs.columns:
+        name += "_"
+    same = (F.coalesce(F.col(f"d.`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col("s.rid")) & (F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))) == F.col("s.rhash"))
+    joined = docs.alias("d").join(spans.hint("shuffle_hash").alias("s"), same, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("s.spans").alias(name))
+    place, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns[:-1])
+            texts, counts = columns[place].to_pylist(), columns[chars].to_pylist() if chars_col else []
+            for i, found in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if found:
+                    body = texts[i].encode()
+                    texts[i] = without(body, union_of(found, len(body))).decode("utf-8", "ignore")
+                    if chars_col:
+                        counts[i] = len(texts[i])
+            columns[place] = pa.array(texts, columns[place].type)
+            if chars_col:
+                columns[chars] = pa.array(counts, columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)

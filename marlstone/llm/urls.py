@@ -1,8 +1,8 @@
 """Operator 10: allow and block lists of hosts and paths, judged by a trie.
 
 The trie's edges are the host's labels from the right, then the path's segments; a node where a rule ends holds it.
-The url's own labels and segments walk it, and the deepest rule met wins.  The trie of a bounded rule list travels
-to the tasks with the function.
+The url's own labels and segments walk it, and the deepest rule met wins.  The trie of a bounded rule list is
+broadcast, once an executor.
 
 A rule ``host/path`` fits its host and all subdomains if the url's path starts with the rule's (which starts with a
 slash and may end within a segment).  Hosts: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Rules that may travel with the function.
+#: Rules that may be broadcast.
 MAX_RULES = 1_000_000
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
@@ -78,9 +78,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     """One row per page, ``SCHEMA``; the verdict is the rule's, else ``default``."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules")
-    trie = Trie(rules)
+    blob = pages.sparkSession.sparkContext.broadcast(Trie(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = blob.value
         for batch in batches:
             split = [split_url(u) for u in batch.column(1).to_pylist()]
             judged = [trie.judge(*x) or (default, None) for x in split]

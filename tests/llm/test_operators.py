@@ -71,19 +71,111 @@ def test_kept_text(odd_docs, odd_rows):
     assert {(r["doc_id"], r["kept"]) for r in got} <= {(d, t or "") for d, t in odd_rows}
 
 
-@pytest.mark.parametrize("size", [35, 15])
+@pytest.mark.parametrize("size", [35, 15, 10, 2, 1])
 def test_recompression(odd_docs, odd_rows, size):
     same(recompression.remove_repeated_words(odd_docs, window=size), brute.word_dedup(odd_rows, size))
 
 
-def test_recompression_rejects_short_windows(odd_docs):
-    with pytest.raises(ValueError):
-        recompression.remove_repeated_words(odd_docs, window=10)
+def thue_morse(n):
+    """Two words of 2**n letters whose sums of powers agree modulo 2**64 for every odd base."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
 
 
-@pytest.mark.parametrize("group", [2_000_000, 300])
-def test_near_dups(odd_docs, odd_rows, group):
-    same(near_dups.find_near_dups(odd_docs, group_shingles=group), brute.near_dups(odd_rows), 4)
+def test_words_whose_power_sums_agree(spark):
+    x, y = thue_morse(10)
+    shared = " ".join(f"w{i}" for i in range(34))
+    own = [(1, f"{shared} {x}"), (2, f"{shared} {y}"), (3, f"a b c {x}"), (4, f"a b c {y}"), (5, " ".join(thue_morse(6)[0])), (6, " ".join(thue_morse(6)[1]))]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    same(recompression.remove_repeated_words(docs), brute.word_dedup(own, 35))
+    same(near_dups.find_near_dups(docs), brute.near_dups(own), 4)
+
+
+def test_unit_names_tell_words_apart():
+    rng = random.Random(2)
+    words = sorted({bytes(rng.choice(b"ab\0\xff") for _ in range(rng.randint(1, 40))) for _ in range(20_000)})
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    x, y = windows.unit_names(data, ends - [len(w) for w in words], ends)
+    assert len(set(x.tolist())) == len(set(y.tolist())) == len(words)
+    again = windows.unit_names(np.frombuffer(b"zz" + words[7] + b"q", np.uint8), np.array([2]), np.array([2 + len(words[7])]))
+    assert (again[0][0], again[1][0]) == (x[7], y[7])
+
+
+@pytest.mark.parametrize(("letters", "w"), [(1, 5), (2, 15), (3, 35), (30, 35), (8, 100)])
+def test_windows_share_symbols_whatever_surrounds_them(letters, w, monkeypatch):
+    """Equal windows have equal keys at equal places and equal names, runs of any length and block ends included."""
+    rng = random.Random(letters)
+    for most in (1 << 18, 9):
+        monkeypatch.setattr(recompression, "WORDS", most)
+        for _ in range(10):
+            say = lambda k: [rng.choice("abcdefghijklmnopqrstuvwxyzABCD"[:letters]) for _ in range(k)]
+            core, seen = say(w + 20), []
+            for _ in range(3):
+                before = say(rng.randint(0, 30))
+                text = " ".join(before + core + say(rng.randint(0, 30)))
+                _, _, x, y = recompression.words_of(np.frombuffer(text.encode(), np.uint8), np.array([len(text)]))
+                at = len(before) + np.arange(21)
+                parse = recompression.parsed(x, None, np.array([len(x)]), 0, len(x), w)
+                place = parse.anchors(w)[at]
+                key = np.where(place < 0, parse.run_keys(np.minimum(place, -1)), parse.keys(np.maximum(place, 0)))
+                far = np.where(place < 0, 0, parse.starts[np.maximum(place, 0)] - at)
+                names = recompression.window_names(x, y, at, w)
+                seen.append((key.tolist(), far.tolist(), names.tolist()))
+                words = text.split()
+                every = recompression.window_names(x, y, np.arange(len(words) - w + 1), w)
+                assert len({tuple(r) for r in every.tolist()}) == len({tuple(words[i : i + w]) for i in range(len(words) - w + 1)})
+            assert seen[0] == seen[1] == seen[2]
+
+
+def test_levels_shrink_texts():
+    words = np.random.default_rng(1).integers(0, 1 << 62, 20_000, dtype=np.uint64)
+    sizes = [len(x) for x in recompression.Parse(words, None, np.zeros(len(words), bool), 6).names]
+    assert all(b < 0.8 * a for a, b in zip(sizes, sizes[1:]))
+    assert [len(x) for x in recompression.Parse(words[:1].repeat(5000), None, np.zeros(5000, bool), 1).names] == [5000, 1]
+
+
+@pytest.mark.parametrize(("group", "region"), [(2_000_000, 64), (300, 64), (2_000_000, 2), (300, 2)])
+def test_near_dups(odd_docs, odd_rows, group, region):
+    same(near_dups.find_near_dups(odd_docs, group_shingles=group, region=region), brute.near_dups(odd_rows), 4)
+
+
+def test_regions_of_sorted_orders(spark):
+    """Regions and their depth against grouping by prefixes, on orders spread over several tasks."""
+    rng = random.Random(3)
+    rows = [(bytes(2 * rng.choice(x) // 2 for _ in range(9) for x in ((0,), range(2))), i) for i in range(400)]
+    depth, most = 2, 20
+    found = near_dups.regions(spark.createDataFrame([(bytearray(s), i) for s, i in rows], "seq binary, cid long"), depth, most).collect()
+    unit = {i: tuple(s[j : j + 2] for j in range(0, 18, 2)) for s, i in rows}
+    base = Counter(unit[i][: 1 + depth] for i in unit)
+    by_region, by_first = {}, {}
+    for r in found:
+        by_region.setdefault(r["region"], set()).add(r["cid"])
+        by_first.setdefault((r["region"], r["first"]), []).append(r["cid"])
+    assert {frozenset(x) for x in by_region.values() if len(x) > 1} == {frozenset(i for i in unit if unit[i][: 1 + depth] == p) for p in base if base[p] > 1}
+    for (_, first), own in by_first.items():
+        assert all(unit[i][: 1 + depth] == unit[first][: 1 + depth] for i in own)
+    assert any(r["deeper"] for r in found)
+
+
+def test_forest_finds_links_against_all_pairs(spark):
+    """Documents of one shared passage, none alike, with a few near pairs among them: regions are read deeper, the next
+    forests and the blocks in the end find the pairs."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    own = []
+    for i in range(120):
+        mine = [f"u{i}x{j}" for j in range(60)]
+        own.append((i, " ".join(passage + mine)))
+        if i % 10 == 0:
+            mine[rng.randrange(60)] = "other"
+            own.append((1000 + i, " ".join(passage + mine)))
+    want = brute.near_dups(own)
+    assert sum(not r[3] for r in want) == 12
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    for region, group in ((64, 2_000_000), (3, 2_000_000), (3, 2000)):
+        same(near_dups.find_near_dups(docs, region=region, group_shingles=group), want, 4)
 
 
 def test_near_dups_of_one_large_group(spark):
@@ -177,6 +269,30 @@ def test_fingerprints_of_buckets_and_ties(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found) == sorted(brute.fingerprint_texts(own))
 
 
+def test_fingerprints_of_one_id(spark, monkeypatch):
+    """Most rows have one id, in buckets cut by their texts' hashes, and many are equal."""
+    monkeypatch.setattr(syncmers, "BUCKET_DOCS", 7)
+    own = [(5, f"text number {i % 40} with some words") for i in range(120)] + [(i, f"other text {i} of words") for i in (1, 2, 9)] + [(None, f"nameless {i}") for i in range(30)]
+    texts = spark.createDataFrame(own, "doc_id long, text string")
+    hashed = {r[1]: r[2] for r in texts.selectExpr("doc_id", "text", "xxhash64(text)").collect()}
+    order = sorted(own, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]), reverse=True)
+    want = []
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        k = len(t) // 2
+        want.append((d, len(t), brute.sha(t[: len(t) - k] + n[:k])))
+    found = syncmers.fingerprint_edits(texts).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found), key=str) == sorted(want, key=str)
+
+
+def test_buckets_by_binary_search(spark):
+    rng = random.Random(1)
+    cuts = sorted({(rng.randrange(20) - 10, rng.randrange(10) - 5) for _ in range(60)})
+    rows = [(a, b) for a in range(-12, 13) for b in range(-6, 7)]
+    for some in (cuts, cuts[:1], cuts[:2], []):
+        got = spark.createDataFrame(rows, "rid long, rhash long").withColumn("b", syncmers.bucket_of(some)).collect()
+        assert all(r["b"] == sum(c < (r["rid"], r["rhash"]) for c in some) for r in got)
+
+
 def test_fingerprints_are_native(spark):
     plan = syncmers.fingerprint_edits(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -198,7 +314,16 @@ def test_chunk_encoder(spark, name):
     enc = ChunkEncoder(public.path(name))
     own = ODD + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     for t in own + own:
-        assert enc.encode(t) == enc.whole(t), t[:80]
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == encoded(name, t, 0)[:-1], t[:80] if t else t
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunk_encoder_on_random_strings(name):
+    rng, enc = random.Random(11), ChunkEncoder(public.path(name))
+    bits = ["a", "the", "B", " ", " ", "  ", "\n", "\t", "é", "İ", "ſ", "\u0301", "'s", "n't", ".", ",", "12", "日本", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "_", "-", "\u00a0", "\0", "ΑΣ"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == encoded(name, t, 0)[:-1], repr(t)
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -209,9 +334,14 @@ def test_chunk_encoder_on_added_tokens(name):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+_plain = {}
+
+
 def encoded(name, text, end):
-    tok = ChunkEncoder(public.path(name))
-    return np.frombuffer(tok.whole(text or "") if text else b"", "<u4").tolist() + [end]
+    """The ids by a tokenizer of its own, loaded as any user would."""
+    if name not in _plain:
+        _plain[name] = Tokenizer.from_file(public.path(name))
+    return _plain[name].encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_packing(odd_docs, odd_rows):
@@ -241,7 +371,8 @@ def test_token_store(spark, odd_docs, odd_rows):
     found = sorted((tuple(r) for r in idstore.scan_store(spark, path).collect()), key=lambda r: r[1])
     assert len(found) == len(odd_rows)
     at = 0
-    want = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    hashed = {r[0]: r[1] for r in spark.createDataFrame([(t or "",) for _, t in odd_rows], "t string").selectExpr("t", "xxhash64(t)").collect()}
+    want = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1] or ""]))
     for (d, start, n, crc), (key, text) in zip(found, want, strict=True):
         ids = encoded("word_bpe_49k.json", text, 2)
         assert (d, start, n, crc) == (key, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -251,12 +382,36 @@ def test_token_store(spark, odd_docs, odd_rows):
     assert [r["ids"] for r in got if r["doc_id"] == 7] == [encoded("word_bpe_49k.json", dict(odd_rows)[7], 2)]
 
 
-def test_perfect_hash():
-    keys = np.unique(np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 20_000))
-    slots = idstore.PerfectHash(idstore.PerfectHash.build(keys)).slots(keys)
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 257, 20_000])
+def test_perfect_hash(n):
+    keys = np.unique(np.random.default_rng(1).integers(-(1 << 63), 1 << 63, n))
+    slots = idstore.PerfectHash(*idstore.PerfectHash.build(keys)).slots(keys)
     assert sorted(slots) == list(range(len(keys)))
 
 
+def test_token_store_of_one_key(spark, monkeypatch):
+    """Most rows have one id, or none: shards end inside a key, and tasks share it."""
+    monkeypatch.setattr(idstore, "SHARD_DOCS", 64)
+    texts = [(7, f"text {i % 900}") for i in range(3000)] + [(None, f"null {i % 50}") for i in range(1000)] + [(i, f"own {i}") for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    path = idstore.write_store(docs, public.path("word_bpe_49k.json"), 2)
+    store = idstore.read_store(spark, path)
+    assert store.agg(F.max("n_docs")).first()[0] <= 64 and store.filter("first_key <= 7 and last_key >= 7").count() > 40
+    found = idstore.scan_store(spark, path).orderBy("start").collect()
+    assert len(found) == len(texts) and found[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:]))
+    assert [r["doc_id"] for r in found] == sorted((d for d, _ in texts), key=lambda d: (d is not None, d or 0))
+    got = Counter(tuple(r["ids"]) for r in idstore.lookup(spark, path, [7, 9]).collect())
+    assert got == Counter(tuple(encoded("word_bpe_49k.json", t, 2)) for d, t in texts if d in (7, 9))
+
+
+def test_write_tasks_grow(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert idstore.write_tasks(docs) == 4 == idstore.write_tasks(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    monkeypatch.setattr(idstore, "TASK_BYTES", 10_000)
+    assert idstore.write_tasks(docs) > 4
+
+
 # 6
 
 
@@ -329,13 +484,39 @@ def test_decontamination(spark, odd_docs, odd_rows, monkeypatch):
     want = brute.contamination(odd_rows, items)
     assert any(x[5] for x in want) and not all(x[5] for x in want)
     same(decontaminate.find_contamination(odd_docs, bench), want, 6)
+    clean = [d for d, t in odd_rows if not dict(zip(odd_rows, want, strict=True))[d, t][5]]
+    assert sorted(map(str, (r["doc_id"] for r in decontaminate.without_contaminated(odd_docs, bench).collect()))) == sorted(map(str, clean))
+    # A benchmark that takes several automata, of items in several parts.
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
-    scan = decontaminate.Scanner(items)
-    assert len(scan.automata) > 3
-    assert [(n, int(h.sum()), len(s)) for n, h, s in (scan.scan(t) for _, t in odd_rows)] == [w[1:4] for w in want]
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 5)
+    assert decontaminate.parts_table(bench, "item_id", ("text",), 13)[1] > 3
+    same(decontaminate.find_contamination(odd_docs, bench), want, 6)
+    assert sorted(map(str, (r["doc_id"] for r in decontaminate.without_contaminated(odd_docs, bench).collect()))) == sorted(map(str, clean))
     assert decontaminate.find_contamination(odd_docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_scans_against_brute_force():
+    """Few words, so that windows overlap, repeat and touch; windows of several sizes, items shorter, as long and longer."""
+    rng = random.Random(7)
+    say = lambda k: " ".join(rng.choice(["a", "b", "ab", "C"]) for _ in range(k))
+    for size in (1, 2, 3, 6, 13):
+        for _ in range(40):
+            items = [(i, say(rng.randint(0, 2 * size + 3))) for i in range(rng.randint(0, 5))]
+            docs = [(i, say(rng.randint(0, 40))) for i in range(5)] + [(9, items[0][1] if items else "")]
+            scan = decontaminate.Scanner(items, size).scan
+            got = [(n, int(h.sum()), len(s), brute.sha(",".join(sorted(s)))) for n, h, s in (scan(t) for _, t in docs)]
+            assert got == [w[1:5] for w in brute.contamination(docs, items, size)]
+
+
+def test_automaton_stays_small():
+    """A word of the benchmark lies in one pattern: the automaton of 300,000 characters takes far under 50 MB."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(500))) for i in range(100)]
+    scan = decontaminate.Scanner(items)
+    size = sum(len(t) for _, t in items)
+    assert scan.automaton.get_stats()["total_size"] < 60 * size
+
+
 def test_hits_map_to_the_original():
     scan = decontaminate.Scanner([(1, "zwei Drei")])
     for text, want in (("Éins ZWEI, (drei)! und zwei", ["ZWEI, (drei"]), ("ZWEI, \u00a0 drei; zwei -- drei", ["zwei -- drei"]), ("", [])):
