@@ -1,8 +1,9 @@
 """A corpus pipeline over ``documents``: quality, near-duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes it as Parquet and reads it again as
-the next stage's docs.  All but the last return the columns of documents.  Decisions go back to rows by doc_id and the
-text's hash, null-safe, so that repeated and null ids need no special case:
+the next stage's docs.  All but the last return the columns of documents.  Quality and leaks are decided where a row
+lies, without a shuffle; decisions on groups go back to rows by doc_id and the text's hash, null-safe, so that
+repeated and null ids need no special case:
 
 * a null text is scored, packed and compared like an empty one and stays null;
 * rows that agree in doc_id and text are one document: near-dedup keeps one of them;
@@ -15,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stored, table
-from marlstone.llm.decontaminate import find_contamination
+from marlstone.llm.decontaminate import without_contaminated
 from marlstone.llm.near_dups import find_near_dups
 from marlstone.llm.packing import pack_documents
-from marlstone.llm.quality import score_documents
+from marlstone.llm.quality import accepted_documents
 from marlstone.llm.queries import tokenizer
-from marlstone.llm.suffix_dedup import remove_repeats
+from marlstone.llm.suffix_dedup import without_repeats
+from marlstone.sources.storage import scratch, stored, table
 
 #: Documents scored below this are rejected: label 1 must not be the less likely one.
 LEAST_SCORE = 0.5
@@ -38,34 +39,31 @@ def _same_row() -> list[Column]:
     return [F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("k.rhash")]
 
 
-def _rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    return docs.alias("d").join(keys.select("doc_id", "rhash").distinct().alias("k"), _same_row(), how)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels of these documents, doesn't reject."""
-    scores = score_documents(docs, table(spark, sf_dir, "labels"), threshold=LEAST_SCORE)
-    return _rows(docs, scores.filter("predicted = 1"), "left_semi")
+    return accepted_documents(docs, table(spark, sf_dir, "labels"), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id (null last)."""
-    kept = stored(find_near_dups(docs, shingle=SHINGLE, similarity=SIMILARITY).filter("stays").select("doc_id", "rhash"), "kept")
-    return _rows(docs, kept, "left_semi").dropDuplicates(["doc_id", "text"])
+    with scratch(spark):
+        stays = find_near_dups(docs, shingle=SHINGLE, similarity=SIMILARITY).filter("stays")
+        kept = stored(stays.groupBy("doc_id", "rhash").agg(F.count("*").alias("copies")), "kept", keep=True)
+    rows = lambda which: docs.alias("d").join(kept.filter(which).alias("k"), _same_row(), "left_semi")
+    if kept.filter("copies > 1").isEmpty():
+        return rows("true")
+    # Rows that agree in id and text are one document.
+    return rows("copies = 1").unionByName(rows("copies > 1").dropDuplicates(["doc_id", "text"]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the byte strings that also occur elsewhere."""
-    cut = remove_repeats(docs, min_bytes=PASSAGE_BYTES, with_text=True).filter("n_removed > 0").select("doc_id", "rhash", "kept").dropDuplicates(["doc_id", "rhash"])
-    joined = docs.alias("d").join(cut.alias("k"), _same_row(), "left")
-    text = F.coalesce(F.col("k.kept"), F.col("d.text"))
-    changed = {"text": text, "n_chars": F.when(F.col("k.kept").isNull(), F.col("d.n_chars")).otherwise(F.length(F.col("k.kept")))} if "n_chars" in docs.columns else {"text": text}
-    return joined.select(*(changed[c].cast(t).alias(c) if c in changed else F.col(f"d.`{c}`") for c, t in docs.dtypes))
+    return without_repeats(docs, min_bytes=PASSAGE_BYTES, chars_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    return _rows(docs, find_contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"), "left_anti")
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,7 +84,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; what a stage stored for itself is deleted once its result is stored."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return docs
