@@ -111,6 +111,20 @@ def fraction(text: Column) -> Column:
     return F.get(parts, 0).cast("double") / F.greatest(F.lit(1.0), F.coalesce(F.get(parts, 1).cast("double"), F.lit(1.0)))
 
 
+def extrapolated_size(probe: Column, sampled: Column, frames: Column, bias: float = 1.02) -> Column:
+    """The size of all frames from the size of a sample."""
+    return probe / sampled * frames * bias
+
+
+def probe_target(init: Column, mid: Column | float = MID, most: Column | float = TARGET_MAX) -> Column:
+    """The size a probe steers to: never nearer than 3 per cent to the source's."""
+    return F.least(col(mid), col(most), F.when(init > 0, init * 0.97).otherwise(col(mid)))
+
+
+def scale_key(scale: Column) -> Column:
+    return F.bround(scale, 4)
+
+
 def quotename(x: Column) -> Column:
     return F.concat(F.lit("["), F.replace(x, F.lit("]"), F.lit("]]")), F.lit("]"))
 

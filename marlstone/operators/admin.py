@@ -76,9 +76,9 @@ def fill_factors(indexes: DataFrame, objects: DataFrame, schemas: DataFrame) ->
     return rows.select("schema_name", "object_name", "index_name", "fill_factor").orderBy(F.col("fill_factor").desc(), "schema_name", "object_name", "index_name")
 
 
-def datetime_index_columns(indexes: DataFrame, index_columns: DataFrame, columns: DataFrame, types: DataFrame) -> DataFrame:
+def datetime_index_columns(indexes: DataFrame, index_columns: DataFrame, columns: DataFrame, types: DataFrame, kinds: tuple[str, ...] = ("datetime",)) -> DataFrame:
     rows = indexes.join(index_columns, ["object_id", "index_id"]).join(columns, ["object_id", "column_id"]).join(types, "user_type_id")
-    return rows.filter(F.col("type_name").isin("datetime", "datetime2", "smalldatetime", "date")).select("object_name", "index_name", "column_name", "type_name")
+    return rows.filter(F.col("type_name").isin(*kinds)).select("object_name", "index_name", "column_name", "type_name")
 
 
 def cached_statements(stats: DataFrame, texts: DataFrame) -> DataFrame:
@@ -112,3 +112,28 @@ def listeners(processes: DataFrame, connections: DataFrame, name: str | Column)
 def free_space_gained(before: DataFrame, after: DataFrame) -> DataFrame:
     gained = before.withColumnRenamed("free", "b").join(after.withColumnRenamed("free", "a"), "disk")
     return gained.select("disk", F.bround((F.col("a") - F.col("b")) / (1024**3), 2).alias("gained_gb"))
+
+
+def operation_status(operations: DataFrame, resource: str = "distribution") -> DataFrame:
+    """A resource's operations, the latest first."""
+    return operations.filter(F.col("major_resource_id") == resource).orderBy(F.col("start_time").desc())
+
+
+def status_summary(results: DataFrame) -> DataFrame:
+    """One row of counts: results by status (any other status is a failure), and sources deleted or not after those that
+    succeeded.  ``deleted`` null: not tried."""
+    done = F.col("status").isin("converted", "exists")
+    return results.agg(
+        F.count_if(F.col("status") == "converted").alias("converted"), F.count_if(F.col("status") == "exists").alias("existing"), F.count_if(~F.coalesce(done, F.lit(False))).alias("failed"),
+        F.count_if(done & F.col("deleted")).alias("source_deleted"), F.count_if(done & ~F.col("deleted")).alias("source_delete_failed"),
+    )
+
+
+def complete_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null in ``columns``."""
+    return rows.dropna(subset=columns)
+
+
+def scope_buckets(files: DataFrame, path: str, scope: Column) -> DataFrame:
+    """(folder, n), the folders in case-insensitive order."""
+    return files.groupBy(scope.alias("folder")).agg(F.count(path).alias("n")).orderBy(F.lower("folder"), "folder")

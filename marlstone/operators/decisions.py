@@ -134,3 +134,12 @@ def probe_raise(predicted: Column, fast: Column, ratio: Column) -> Column:
 def direct_fast(init: Column, growth: float = 1.10, safety: float = 0.96) -> Column:
     """Whether a file's first encode may go straight to the fast method: expected growth stays under the limit."""
     return init * growth <= TARGET_MAX * safety
+
+
+def encoder_method(method: Column) -> Column:
+    return clamp(method, 0, 6)
+
+
+def exploratory_fast(direct: Column, frames: Column, method: Column, fast_method: Column, enabled: bool = True, least_frames: int = 120) -> Column:
+    """Whether the first encodes of a long file, not known from statistics, may use the fast method."""
+    return F.lit(enabled) & ~direct & (F.coalesce(frames, F.lit(0)) >= least_frames) & (encoder_method(method) != encoder_method(fast_method))

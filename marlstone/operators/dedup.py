@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
+from .graph import components
 
 #: Most bands of a 64-bit signature.
 BANDS = 8
+#: Items of a component whose leaders are found by one scan.
+MOST_ITEMS = 1_000_000
 
 
 def exact_groups(rows: DataFrame, key: str, item: str, scope: list[str] | None = None) -> DataFrame:
@@ -51,11 +56,50 @@ def near_pairs(sigs: DataFrame, item: str, sig: str, threshold: int) -> DataFram
     return found.filter((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.alias("distance")).distinct()
 
 
-def leader_clusters(pairs: DataFrame, items: DataFrame, item: str) -> DataFrame:
+def leader_clusters(pairs: DataFrame, items: DataFrame, item: str, most: int = MOST_ITEMS) -> DataFrame:
     """(leader, member) of greedy leader clusters in order of ``item``: an item is a leader unless an earlier leader is
-    near it, and joins the first such leader.  The leaders are the first maximal independent set of the pairs; a round
-    settles every item whose earlier neighbours are settled, so a few rounds suffice.  Leaders alone are left out."""
+    near it, and joins the first such leader.  Leaders alone are left out.
+
+    Components of the pairs don't touch each other.  One of up to ``most`` items is settled by a scan of its pairs in
+    order, in which a task holds the members found so far; larger ones by rounds, each of which settles the items whose
+    earlier neighbours are settled, so their number grows with the longest chain."""
     known = stored(pairs.select("a", "b").join(items.select(F.col(item).alias("a")), "a", "left_semi"), "pairs")
+    parts = components(known.selectExpr("a as u", "b as v"))
+    sizes = parts.groupBy("root").agg(F.count("*").alias("n"))
+    sized = stored(known.join(parts.withColumnRenamed("u", "a"), "a").join(sizes, "root"), "sized")
+    kind = dict(sized.dtypes)["a"]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, at, first, members = None, None, None, set()
+        out: list[tuple] = []
+
+        def close() -> None:
+            if first is not None:
+                members.add(at)
+                out.append((first, at))
+
+        for batch in batches:
+            for r, b, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (r, b) != (root, at):
+                    close()
+                    if r != root:
+                        members = set()
+                    root, at, first = r, b, None
+                if first is None and a not in members:
+                    first = a
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], batch.schema.field(1).type) for i in range(2)], names=["leader", "member"])
+            out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], batch.schema.field(1).type) for i in range(2)], names=["leader", "member"])
+
+    small = sized.filter(F.col("n") <= most).select("root", "b", "a").repartition("root").sortWithinPartitions("root", "b", "a")
+    found = small.mapInArrow(settle, f"leader {kind}, member {kind}")
+    large = sized.filter(F.col("n") > most).select("a", "b")
+    return found if large.isEmpty() else found.unionByName(_leaders_by_rounds(stored(large, "large")))
+
+
+def _leaders_by_rounds(known: DataFrame) -> DataFrame:
     state = stored(known.select(F.col("a").alias("id")).union(known.select(F.col("b").alias("id"))).distinct().withColumn("kind", F.lit(None).cast("string")), "state")
     while True:
         before = known.join(state.selectExpr("id as a", "kind as earlier"), "a")
@@ -68,20 +112,43 @@ def leader_clusters(pairs: DataFrame, items: DataFrame, item: str) -> DataFrame:
     return led.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("leader")).select("leader", "member")
 
 
+def signature_clusters(sigs: DataFrame, item: str, sig: str, threshold: int) -> DataFrame:
+    """(leader, member) of the leader clusters of signatures.  Items with one signature are clustered as its first item:
+    the others join the leader that item has, or is, so copies are never paired with each other."""
+    firsts = stored(sigs.groupBy(sig).agg(F.min(item).alias("id")), "firsts")
+    led = leader_clusters(near_pairs(firsts, "id", sig, threshold), firsts, "id").withColumnRenamed("member", "id")
+    leader = firsts.join(led, "id", "left").select(sig, F.coalesce("leader", "id").alias("leader"))
+    return sigs.join(leader, sig).filter(F.col(item) != F.col("leader")).select("leader", F.col(item).alias("member"))
+
+
 def plan_totals(plan: DataFrame, sizes: DataFrame, item: str, size: str) -> DataFrame:
     """Number of deletions and the size they free."""
     return plan.join(sizes.select(F.col(item).alias("dup"), F.col(size).alias("size")), "dup").agg(F.count("*").alias("n_deleted"), F.coalesce(F.sum("size"), F.lit(0)).alias("freed"))
 
 
-def numbered_pairs(pairs: DataFrame) -> DataFrame:
-    """Report lines ``n. a  <=>  b``, numbered in order.  Numbers are a task's offset plus the row within the task."""
-    task = F.spark_partition_id()
-    ordered = stored(pairs.orderBy("a", "b").withColumn("task", task).withColumn("place", F.monotonically_increasing_id()), "ordered")
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with their number ``i`` in order, from 1: a task's offset plus the row within the task."""
+    ordered = rows.orderBy(*order).withColumn("task", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+    ordered = stored(ordered, "ordered")
     sizes = ordered.groupBy("task").agg(F.count("*").alias("n"))
-    offsets = sizes.select("task", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     row = F.row_number().over(Window.partitionBy("task").orderBy("place"))
-    numbered = ordered.join(F.broadcast(offsets), "task").withColumn("i", F.col("base") + row)
-    return numbered.select("i", F.format_string("%d. %s  <=>  %s", "i", F.col("a").cast("string"), F.col("b").cast("string")).alias("line"))
+    return ordered.join(F.broadcast(offsets), "task").withColumn("i", F.col("base") + row).drop("task", "place", "base")
+
+
+def numbered_pairs(pairs: DataFrame) -> DataFrame:
+    """Report lines ``n. a  <=>  b``, numbered in order."""
+    line = F.format_string("%d. %s  <=>  %s", "i", F.col("a").cast("string"), F.col("b").cast("string"))
+    return numbered(pairs, "a", "b").select("i", line.alias("line"))
+
+
+def plan_lines(plan: DataFrame, mark: str = "") -> DataFrame:
+    """(i, part, line): two report lines for each (keep, dup) of a plan, ``n. KEEP`` and ``DEL`` below it.  ``mark`` stands
+    before the number, and the second line is indented by as much more."""
+    keep = F.format_string(f"{mark}%d. KEEP %s", "i", F.col("keep").cast("string"))
+    drop = F.concat(F.lit(" " * (4 + len(mark)) + "DEL  "), F.col("dup").cast("string"))
+    return numbered(plan, "keep", "dup").select("i", F.posexplode(F.array(keep, drop)).alias("part", "line"))
 
 
 def live_rows(rows: DataFrame, inventory: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:

@@ -18,11 +18,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
     return latest(old.unionByName(new, allowMissingColumns=True), keys, order)
 
 
-def compact(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key, with ``count`` the number of rows it stands for (not a sum of earlier counts)."""
+def compact(rows: DataFrame, keys: list[str], order: list[str], scale: str | None = None, default: float = 0.75) -> DataFrame:
+    """The last row of each key, with ``count`` the number of rows it stands for (not a sum of earlier counts).  Where the
+    last of several rows has no ``scale``, it gets their mean, a missing one counting as ``default``."""
     rest = [c for c in rows.columns if c not in keys and c not in order and c != "count"]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("r"), F.count("*").alias("count"))
-    return best.select(*keys, "r.*", "count")
+    best = [F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("r"), F.count("*").alias("count")]
+    mean = [F.avg(F.coalesce(F.col(scale), F.lit(default))).alias("mean_scale")] if scale else []
+    rows = rows.groupBy(*keys).agg(*best, *mean).select(*keys, "r.*", "count", *(["mean_scale"] if scale else []))
+    if not scale:
+        return rows
+    return rows.withColumn(scale, F.when(F.col(scale).isNull() & (F.col("count") > 1), F.col("mean_scale")).otherwise(F.col(scale))).drop("mean_scale")
 
 
 def decayed_mean(rows: DataFrame, keys: list[str], value: str, age_seconds: Column, half_life: float = 86_400.0) -> DataFrame:

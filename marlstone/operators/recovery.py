@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import quoted, quotename
+from ..sources.storage import stored
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -36,7 +37,10 @@ def from_clause(media: DataFrame) -> DataFrame:
 
 def recovery_script(base: DataFrame, logs: DataFrame, clauses: DataFrame) -> DataFrame:
     """(db, step, line_no, line): script rows of every key, ordered by step and line_no, rather than one text of
-    unbounded length.  ``clauses``: (db, kind, clause); ``logs``: (db, set_id, start, path)."""
+    unbounded length.  ``clauses``: (db, kind, clause); ``logs``: (db, set_id, start, path).  A key whose full backup has
+    no clause has no script but an error, see :func:`recovery_errors`."""
+    clauses, logs = stored(clauses, "clauses"), stored(logs, "logs")
+    base = stored(base.join(clauses.filter("kind = 'D'").select("db"), "db", "left_semi"), "base")
     name = quotename(F.col("db"))
     at = lambda c: F.date_format(c, STAMP)
     head = base.select("db", F.lit(0).alias("step"), F.array(
@@ -54,6 +58,38 @@ def recovery_script(base: DataFrame, logs: DataFrame, clauses: DataFrame) -> Dat
     return fixed.unionByName(log).unionByName(warn)
 
 
+def recovery_errors(databases: DataFrame, base: DataFrame, clauses: DataFrame) -> DataFrame:
+    """(db, line_no, line): why a key among ``databases`` (db) has no script: no full backup, or one without media."""
+    none = databases.join(base.select("db"), "db", "left_anti").select("db", F.posexplode(F.array(
+        F.concat(F.lit("ERROR: No FULL backup found for database "), quotename(F.col("db")), F.lit(" (latest FULL lookup returned none).")),
+        F.lit("HINT: Available FULL backups for this database:"))).alias("line_no", "line"))
+    lost = base.join(databases, "db", "left_semi").join(clauses.filter("kind = 'D'").select("db"), "db", "left_anti")
+    text = F.concat(F.lit("ERROR: No media family files found for the chosen FULL backup (media_set_id="), F.col("full_id").cast("string"), F.lit(")."))
+    return none.unionByName(lost.select("db", F.lit(0).alias("line_no"), text.alias("line")))
+
+
+def logs_after_script(logs: DataFrame, completion: DataFrame) -> DataFrame:
+    """(db, step, set_id, line_no, line): script rows of every key of ``completion`` (db, completed) with the logs of
+    :func:`logs_after`, ordered by step, the log's start, finish and set_id, and line_no."""
+    logs = stored(logs, "logs")
+    name = quotename(F.col("db"))
+    none = F.lit(None)
+    counts = completion.join(logs.groupBy("db").agg(F.count("*").alias("n")), "db", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    head = counts.select("db", F.lit(0).alias("step"), none.cast("bigint").alias("set_id"), F.posexplode(F.array_compact(F.array(
+        F.lit("/* RESTORE LOG CHAIN AFTER COMPLETION TIME */"), F.concat(F.lit("-- Database: "), name),
+        F.concat(F.lit("-- Completion time: "), F.date_format("completed", "yyyy-MM-dd'T'HH:mm:ss")),
+        F.concat(F.lit("-- LOG backups selected: "), F.col("n").cast("string")), F.lit(""),
+        F.when(F.col("n") == 0, "-- WARNING: No LOG backups found after completion time.")))).alias("line_no", "line"))
+    span = F.concat(F.lit(" (start="), F.date_format("start", STAMP), F.lit(", finish="), F.date_format("finish", STAMP), F.lit(")"))
+    found = F.array(
+        F.concat(F.lit("-- LOG backup set id: "), F.col("set_id").cast("string"), span), F.concat(F.lit("RESTORE LOG "), name),
+        F.concat(F.lit("    FROM DISK = N'"), quoted(F.col("path")), F.lit("'")), F.lit("    WITH NORECOVERY, REPLACE, STATS = 10;"), F.lit(""))
+    lost = F.array(F.concat(F.lit("-- WARNING: No media files found for LOG backup_set_id="), F.col("set_id").cast("string"), F.lit(".")))
+    body = logs.select("db", F.lit(1).alias("step"), F.col("set_id").cast("bigint").alias("set_id"), F.posexplode(F.when(F.col("path").isNotNull(), found).otherwise(lost)).alias("line_no", "line"))
+    foot = F.lit("-- After applying these logs, DB remains in RESTORING (NORECOVERY).").alias("line")
+    return head.unionByName(body).unionByName(completion.select("db", F.lit(2).alias("step"), none.cast("bigint").alias("set_id"), F.lit(0).alias("line_no"), foot))
+
+
 def logs_after(sets: DataFrame, media: DataFrame, completion: DataFrame) -> DataFrame:
     """(db, set_id, start, finish, path): logs that finish after a key's completion time, with the last file of each;
     a null path means no file was found."""

@@ -1,10 +1,9 @@
-"""Bracketed searches over observations and over an injected size model."""
+"""Bracketed searches over observations."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,29 +59,13 @@ def next_quality(quality: Column, size: Column, target: Column | float, under: C
     return F.when((over - under) > 1, F.floor((over + under) / 2).cast("int")).otherwise(q)
 
 
-def search_scales(files: DataFrame, size_of: Callable[[float, float], float], id_col: str, full_col: str, steps: int = 10) -> DataFrame:
-    """Per file, scales tried until the size lies in the band: a step-capped root correction inside the bracket, else
-    its midpoint.  ``size_of(full_size, scale)`` is the injected size model; files are independent, so the search is a
-    map over them."""
-    mid = rules.MID
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for file_id, full in zip(batch[id_col], batch[full_col], strict=True):
-                scale, low, high, n, size = 1.0, 0.01, 4.0, 0, size_of(full, 1.0)
-                while n < steps and not rules.TARGET_MIN <= size <= rules.TARGET_MAX + rules.TOLERANCE:
-                    low, high = (low, scale) if size > rules.TARGET_MAX else (scale, high)
-                    wish = scale * (mid / size) ** 0.5
-                    most = 0.35 * scale
-                    wish = wish if abs(wish - scale) <= most else scale + (most if wish > scale else -most)
-                    scale = wish if low < wish < high else (low + high) / 2
-                    n, size = n + 1, size_of(full, scale)
-                out.append((file_id, n, scale, size))
-            yield pd.DataFrame(out, columns=[id_col, "steps", "scale", "size"])
-
-    kind = dict(files.dtypes)[id_col]
-    return files.select(id_col, full_col).mapInPandas(run, f"{id_col} {kind}, steps int, scale double, size double")
+def scale_step(scale: Column, size: Column, low: Column, high: Column, ratio: float = 0.35) -> tuple[Column, Column, Column]:
+    """One step of the search for a scale: the bracket's ends after a result of ``size``, and the next scale to try, a
+    step-capped root correction inside the bracket, else its midpoint; null where the size lies in the band."""
+    over = size > rules.TARGET_MAX
+    low, high = F.when(over, low).otherwise(scale), F.when(over, scale).otherwise(high)
+    wish = rules.step_cap(scale, rules.suggested_scale(scale, rules.MID, size), ratio)
+    return low, high, F.when(~rules.in_band(size), rules.bracket_clamp(wish, low, high))
 
 
 def scale_decision(source: Column, it: Column, fast: Column, predicted: Column, ratio_known: Column, fresh: Column) -> Column:

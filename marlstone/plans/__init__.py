@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import catalog, reports
+from . import catalog, reports, scalars
 from .registry import oracle_sql, queries
 
-__all__ = ["catalog", "oracle_sql", "queries", "reports"]
+__all__ = ["catalog", "oracle_sql", "queries", "reports", "scalars"]

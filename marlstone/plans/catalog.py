@@ -89,10 +89,19 @@ def sig_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_pairs(signatures(spark, sf_dir), "vec_id", "sig", NEAR_BITS)
 
 
-@query()
+#: The items in order, each with the earlier ones near it; a step of the recursion adds an item to the leaders or not.
+LEADERS_SQL = f"""WITH RECURSIVE s AS (SELECT vec_id::BIGINT AS vec_id, {BITS} AS bits, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),
+ near AS (SELECT b.rn AS rn, list(a.vec_id) AS ids FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE hamming(a.bits, b.bits) <= {NEAR_BITS} GROUP BY 1),
+ st AS (SELECT s.rn, s.vec_id, coalesce(near.ids, []::BIGINT[]) AS ids FROM s LEFT JOIN near ON near.rn = s.rn),
+ r AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS leaders
+  UNION ALL SELECT r.rn + 1, CASE WHEN list_has_any(r.leaders, st.ids) THEN r.leaders ELSE list_append(r.leaders, st.vec_id) END FROM r JOIN st ON st.rn = r.rn + 1),
+ l AS (SELECT leaders FROM r ORDER BY rn DESC LIMIT 1)
+ SELECT list_min(list_intersect(l.leaders, st.ids)) AS leader, st.vec_id AS member FROM st, l WHERE list_has_any(l.leaders, st.ids)"""
+
+
+@query(LEADERS_SQL)
 def sig_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sigs = signatures(spark, sf_dir)
-    return dedup.leader_clusters(dedup.near_pairs(sigs, "vec_id", "sig", NEAR_BITS), sigs, "vec_id")
+    return dedup.signature_clusters(signatures(spark, sf_dir), "vec_id", "sig", NEAR_BITS)
 
 
 # History
@@ -259,16 +268,6 @@ def largest_q_under_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("partkey"), search.largest_under(part, lambda q: F.col("p_retailprice") * q / 100, F.lit(700), 50, 100).alias("q"))
 
 
-def square_size(full: float, scale: float) -> float:
-    return full * scale * scale
-
-
-@query()
-def iterate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "part").selectExpr("p_partkey as partkey", "p_retailprice / 25.0 as full")
-    return search.search_scales(files, square_size, "partkey", "full")
-
-
 @query("""SELECT partkey, CASE WHEN ov - un > 1 THEN floor((ov + un) / 2)::INT ELSE least(greatest(greatest(least(trunc(q * CASE WHEN size / 14.245 > 1.2 OR size / 14.245 < 0.8 THEN greatest(least(sqrt(14.245 / size), 1.3), 0.7) ELSE greatest(least(sqrt(14.245 / size), 1.12), 0.88) END)::INT, 100), 1), un + 1), ov - 1) END AS next_q
  FROM (SELECT p_partkey AS partkey, p_size + 45 AS q, p_size / 2.0 AS size, CASE WHEN p_partkey % 3 > 0 THEN p_size + 30 END AS un, CASE WHEN p_partkey % 5 > 0 THEN p_size + 50 END AS ov FROM part)""")
 def next_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ..functions.rules import MB, PROCESS_ABOVE, STATIC_BYTES, suffix
 
@@ -22,25 +20,26 @@ def images(inventory: DataFrame) -> DataFrame:
     return inventory.filter(suffix(F.col("path")).isin(*IMAGES))
 
 
-def is_animated(data: bytes) -> bool:
-    """Whether a RIFF/WEBP file's first eight chunks hold the animation flag or an ANIM chunk."""
-    if len(data or b"") < 12 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
-        return False
-    at = 12
-    for _ in range(8):
-        head = data[at : at + 8]
-        if len(head) < 8:
-            return False
-        size = int.from_bytes(head[4:], "little")
-        if head[:4] == b"ANIM" or head[:4] == b"VP8X" and data[at + 8 : at + 9] and data[at + 8] & 2:
-            return True
-        at += 8 + size + size % 2
-    return False
-
-
-@F.pandas_udf(BooleanType())
-def animated(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: is_animated(bytes(b)) if b is not None else False)
+def animated(content: Column) -> Column:
+    """Whether a RIFF/WEBP file's first eight chunks hold the animation flag or an ANIM chunk; false for other files and
+    null.  A walk over chunk heads in built-in functions: a chunk's size says where the next one starts."""
+    size = F.length(content)
+    part = lambda at, n: F.substring(content, at + 1, F.lit(n))
+    number = lambda *at: F.conv(F.concat(*(F.hex(part(x, 1)) for x in at)), 16, 10).cast("bigint")
+
+    def chunk(state: Column, _: Column) -> Column:
+        at = state["at"]
+        whole = size >= at + 8
+        flagged = (part(at, 4) == F.lit(bytearray(b"VP8X"))) & (size > at + 8) & (number(at + 8).bitwiseAND(2) > 0)
+        hit = whole & ((part(at, 4) == F.lit(bytearray(b"ANIM"))) | flagged)
+        length = number(at + 7, at + 6, at + 5, at + 4)
+        follow = F.when(whole, F.least(at + 8 + length + length % 2, size.cast("bigint"))).otherwise(size).cast("int")
+        return F.struct(follow.alias("at"), F.coalesce(state["found"] | hit, F.lit(False)).alias("found"))
+
+    start = F.struct(F.lit(12).alias("at"), F.lit(False).alias("found"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, chunk, lambda s: s["found"])
+    riff = (size >= 12) & (F.substring(content, 1, 4) == F.lit(bytearray(b"RIFF"))) & (F.substring(content, 9, 4) == F.lit(bytearray(b"WEBP")))
+    return F.when(riff, walk).otherwise(False)
 
 
 def route(ext: Column, size: Column, is_anim: Column) -> Column:

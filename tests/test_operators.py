@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import rules
-from marlstone.operators import admin, dedup, history, predict, recovery, search
-from marlstone.sources import history_json, media
-from marlstone.streaming.upsert import stream_upsert
+from marlstone.operators import admin, dedup, graph, history, predict, recovery, search
+from marlstone.sources import history_json, media, storage
+from marlstone.streaming.upsert import read_upserted, stream_upsert
 
 
 def one(spark, expr):
@@ -93,7 +93,40 @@ def test_near_pairs_and_leaders(spark, threshold):
             mine = [j for j, _ in sigs if j > i and j not in used and (i, j) in near]
             used |= set(mine)
             led += [(i, j) for j in mine]
-    assert sorted(map(tuple, dedup.leader_clusters(pairs, df, "id").collect())) == sorted(led)
+    for most in (1_000_000, 3):  # by scans, and by rounds in larger components
+        assert sorted(map(tuple, dedup.leader_clusters(pairs, df, "id", most).collect())) == sorted(led)
+
+
+def test_signature_clusters_against_a_scan(spark):
+    """Many items of few signatures, in a chain of near ones: the greedy scan of all items."""
+    rng = random.Random(8)
+    own = [(i, (1 << rng.randrange(12)) - 1) for i in range(150)]
+    want, used = [], set()
+    for i, x in own:
+        if i not in used:
+            mine = [j for j, y in own if j > i and j not in used and (x ^ y).bit_count() <= 2]
+            used |= set(mine)
+            want += [(i, j) for j in mine]
+    df = spark.createDataFrame(own, "id long, sig long")
+    assert sorted(map(tuple, dedup.signature_clusters(df, "id", "sig", 2).collect())) == sorted(want)
+
+
+def test_components_of_chains(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(1000), 300)
+    edges = [(ids[i], ids[i + 1]) for i in range(299) if i % 60 != 59] + [(7_000, 7_000)]
+    want = {v: min(ids[k : k + 60]) for k in range(0, 300, 60) for v in ids[k : k + 60]}
+    got = {r["u"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == want
+
+
+def test_scratch_deletes_tables(spark):
+    before = set(storage.children(spark, storage.shared_dir(spark)))
+    with storage.scratch(spark):
+        storage.stored(spark.range(5).toDF("id"), "inner")
+        kept = storage.stored(spark.range(7).toDF("id"), "outer", keep=True)
+    after = set(storage.children(spark, storage.shared_dir(spark)))
+    assert [x.split("-")[0] for x in after - before] == ["outer"] and kept.count() == 7
 
 
 def test_keep_delete_partitions_groups(spark):
@@ -111,6 +144,18 @@ def test_pairs_of_four(spark):
 def test_compact_counts_rows_not_counts(spark):
     df = spark.createDataFrame([(1, 1.0, 0.5, 1), (1, 2.0, 0.6, 5), (1, 3.0, 0.7, 1), (2, 1.0, None, 1)], "k int, ts double, scale double, count int")
     assert sorted(map(tuple, history.compact(df, ["k"], ["ts"]).collect())) == [(1, 3.0, 0.7, 3), (2, 1.0, None, 1)]
+    df = spark.createDataFrame([(1, 1.0, 0.5, 1), (1, 2.0, None, 5), (1, 3.0, None, 1), (2, 1.0, None, 1)], "k int, ts double, scale double, count int")
+    assert sorted(map(tuple, history.compact(df, ["k"], ["ts"], "scale").collect())) == [(1, 3.0, 2.0 / 3, 3), (2, 1.0, None, 1)]
+
+
+def test_scale_steps_reach_the_band(spark):
+    """The repeated step, on sizes that go with the square of the scale."""
+    rows = [(i, 9.0 + 7 * i, 1.0, 0.01, 4.0) for i in range(1, 30)]
+    for _ in range(14):
+        df = spark.createDataFrame(rows, "id int, full double, scale double, low double, high double").withColumn("size", F.col("full") * F.col("scale") ** 2)
+        low, high, then = search.scale_step(F.col("scale"), F.col("size"), F.col("low"), F.col("high"))
+        rows = [tuple(r) for r in df.select("id", "full", F.coalesce(then, "scale"), F.when(then.isNull(), F.col("low")).otherwise(low), F.when(then.isNull(), F.col("high")).otherwise(high)).collect()]
+    assert all(13.5 <= full * scale**2 <= 14.995 for _, full, scale, _, _ in rows)
 
 
 def test_upsert_is_idempotent(spark):
@@ -187,7 +232,7 @@ def test_webp_header(spark, tmp_path):
     still = b"RIFF\0\0\0\0WEBP" + chunk(b"VP8 ", bytes(10))
     for name, data in (("a.webp", moving), ("b.webp", later), ("c.webp", still), ("d.txt", b"x")):
         (tmp_path / name).write_bytes(data)
-    found = media.images(media.files(spark, str(tmp_path))).select("path", media.animated("content").alias("anim")).collect()
+    found = media.images(media.files(spark, str(tmp_path))).select("path", media.animated(F.col("content")).alias("anim")).collect()
     assert sorted((r["path"][-6:], r["anim"]) for r in found) == [("a.webp", True), ("b.webp", True), ("c.webp", False)]
 
 
@@ -224,7 +269,11 @@ def test_datetime_columns_and_files(spark):
 def test_stream_upsert(spark, tmp_path):
     src, target = tmp_path / "in", tmp_path / "out"
     schema = "k int, ts double, v string"
-    for i, rows in enumerate(([(1, 1.0, "a"), (1, 2.0, "b")], [(1, 3.0, "c"), (2, 1.0, "d")])):
+    for i, rows in enumerate(([(1, 1.0, "a"), (1, 2.0, "b"), (5, 1.0, "e")], [(1, 3.0, "c"), (2, 1.0, "d")], [(1, 2.5, "late")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-        stream_upsert(spark.readStream.schema(schema).parquet(str(src)), str(target), ["k"], ["ts"], str(tmp_path / "cp")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{target}/v=1").select("k", "ts", "v").collect())) == [(1, 3.0, "c"), (2, 1.0, "d")]
+        stream_upsert(spark.readStream.schema(schema).parquet(str(src)), str(target), ["k"], ["ts"], str(tmp_path / "cp"), buckets=4).awaitTermination()
+    assert sorted(map(tuple, read_upserted(spark, str(target), schema).collect())) == [(1, 3.0, "c"), (2, 1.0, "d"), (5, 1.0, "e")]
+    assert read_upserted(spark, str(tmp_path / "none"), schema).count() == 0
+    left = sorted(str(p.relative_to(target)) for p in target.glob("v=*/bucket_=*"))
+    versions = [json.loads(next((target / "manifest" / str(n)).glob("part*")).read_text()) for n in (1, 2)]
+    assert left == sorted({f"v={v}/bucket_={b}" for m in versions for b, v in m.items()})
