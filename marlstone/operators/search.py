@@ -4,39 +4,94 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources.storage import stored
+
+
+def in_blocks(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``_block``: ranges of (key, order), dealt by Spark, so that a key of very many rows is several blocks
+    and none is a task's alone.  Running values are taken within blocks; what earlier blocks of the key add is small."""
+    ranges = rows.repartitionByRange(key, *order).withColumn("_block", F.spark_partition_id())
+    return stored(ranges, "blocks")
+
+
+def _within(key: str, order: list[str]) -> WindowSpec:
+    return Window.partitionBy(key, "_block").orderBy(*order)
+
+
+def _earlier(key: str) -> WindowSpec:
+    return Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _carried(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    same = F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}")) & (F.col("r._block") == F.col("c._block"))
+    return rows.alias("r").join(blocks.alias("c"), same).select("r.*", *(f"c.{x}" for x in blocks.columns if x not in (key, "_block")))
 
 
 def running_bracket(rows: DataFrame, key: str, order: list[str], value: str, low: float, high: float) -> DataFrame:
     """After each observation: the largest value under ``low`` and the smallest over ``high`` so far."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = in_blocks(rows, key, order)
     v = F.col(value)
-    return rows.withColumn("under", F.max(F.when(v < low, v)).over(w)).withColumn("over", F.min(F.when(v > high, v)).over(w))
+    under, over = F.max(F.when(v < low, v)), F.min(F.when(v > high, v))
+    blocks = rows.groupBy(key, "_block").agg(under.alias("_u"), over.alias("_o"))
+    blocks = blocks.select(key, "_block", F.max("_u").over(_earlier(key)).alias("_under"), F.min("_o").over(_earlier(key)).alias("_over"))
+    own = _within(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _carried(rows.withColumn("under", under.over(own)).withColumn("over", over.over(own)), blocks, key)
+    return rows.withColumn("under", F.greatest("under", "_under")).withColumn("over", F.least("over", "_over")).drop("_block", "_under", "_over")
+
+
+def _run_ends(blocks: DataFrame, key: str, goes_on: Column) -> DataFrame:
+    """(key, _block, _carry): the run that is open where a block of (_n, _tail) begins.  ``goes_on``: the block is all one run
+    that continues the block before; its rows _n then add to that run, else _tail rows at its end start a new one."""
+    w = Window.partitionBy(key).orderBy("_block")
+    blocks = blocks.withColumn("_on", F.coalesce(goes_on, F.lit(False)) & (F.row_number().over(w) > 1))
+    blocks = blocks.withColumn("_chain", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w))
+    chain = Window.partitionBy(key, "_chain").orderBy("_block")
+    blocks = blocks.withColumn("_end", F.sum(F.when(F.col("_on"), F.col("_n")).otherwise(F.col("_tail"))).over(chain))
+    return blocks.withColumn("_carry", F.coalesce(F.lag("_end").over(w), F.lit(0)))
 
 
 def run_lengths(rows: DataFrame, key: str, order: list[str], same: str) -> DataFrame:
     """``run``: how many rows in a row, so far, have the same value."""
-    w = Window.partitionBy(key).orderBy(*order)
+    rows = in_blocks(rows, key, order)
+    w = _within(key, order)
     new = F.when(F.col(same).eqNullSafe(F.lag(same).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     rows = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w))
-    return rows.withColumn("run", F.row_number().over(Window.partitionBy(key, "_island").orderBy(*order))).drop("_new", "_island")
+    rows = rows.withColumn("run", F.row_number().over(Window.partitionBy(key, "_block", "_island").orderBy(*order)))
+    last = F.max_by(F.struct(F.col(same).alias("v"), F.col("run").alias("tail")), F.struct(*order))
+    first = F.min_by(F.struct(F.col(same).alias("v")), F.struct(*order))
+    blocks = rows.groupBy(key, "_block").agg(F.count("*").alias("_n"), F.max("_island").alias("_islands"), first.alias("_first"), last.alias("_last"))
+    before = Window.partitionBy(key).orderBy("_block")
+    blocks = blocks.withColumn("_joins", F.lag("_last.v").over(before).eqNullSafe(F.col("_first.v")) & (F.row_number().over(before) > 1)).withColumn("_tail", F.col("_last.tail"))
+    blocks = _run_ends(blocks, key, F.col("_joins") & (F.col("_islands") == 1)).select(key, "_block", F.when(F.col("_joins"), F.col("_carry")).otherwise(0).alias("_carry"))
+    rows = _carried(rows, blocks, key)
+    run = F.col("run") + F.when(F.col("_island") == 1, F.col("_carry")).otherwise(0)
+    return rows.withColumn("run", run.cast("int")).drop("_new", "_island", "_block", "_carry")
 
 
 def guard_hits(rows: DataFrame, key: str, order: list[str], hit: Column, limit: int) -> DataFrame:
     """``hits``: consecutive hits so far, reset by any other row; ``tripped`` once they reach ``limit``."""
-    w = Window.partitionBy(key).orderBy(*order)
+    rows = in_blocks(rows, key, order)
+    w = _within(key, order)
     rows = rows.withColumn("_hit", F.coalesce(hit.cast("int"), F.lit(0))).withColumn("_island", F.sum(1 - F.col("_hit")).over(w))
-    inner = Window.partitionBy(key, "_island").orderBy(*order)
-    return rows.withColumn("hits", F.sum("_hit").over(inner)).withColumn("tripped", F.col("hits") >= limit).drop("_hit", "_island")
+    rows = rows.withColumn("hits", F.sum("_hit").over(Window.partitionBy(key, "_block", "_island").orderBy(*order)))
+    blocks = rows.groupBy(key, "_block").agg(F.count("*").alias("_n"), F.sum("_hit").alias("_k"), F.max_by("hits", F.struct(*order)).alias("_tail"))
+    blocks = _run_ends(blocks, key, F.col("_n") == F.col("_k")).select(key, "_block", "_carry")
+    rows = _carried(rows, blocks, key)
+    rows = rows.withColumn("hits", F.col("hits") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0))
+    return rows.withColumn("tripped", F.col("hits") >= limit).drop("_hit", "_island", "_block", "_carry")
 
 
 def index_buckets(rows: DataFrame, key: str, order: list[str], k: int, duration: str, first: str) -> DataFrame:
     """Every ``k`` rows of a key become one: the first row's value and the summed duration, 20 at least."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = rows.withColumn("_rn", F.row_number().over(w) - 1).withColumn("bucket", F.floor(F.col("_rn") / max(1, k)).cast("int"))
+    rows = in_blocks(rows, key, order)
+    blocks = rows.groupBy(key, "_block").agg(F.count("*").alias("_n"))
+    blocks = blocks.select(key, "_block", F.coalesce(F.sum("_n").over(_earlier(key)), F.lit(0)).alias("_before"))
+    rows = _carried(rows.withColumn("_rn", F.row_number().over(_within(key, order)) - 1), blocks, key).withColumn("_rn", F.col("_rn") + F.col("_before"))
+    rows = rows.withColumn("bucket", F.floor(F.col("_rn") / max(1, k)).cast("int"))
     return rows.groupBy(key, "bucket").agg(F.min_by(first, "_rn").alias("first"), F.greatest(F.lit(20.0), F.sum(duration)).alias("duration"))
 
 

@@ -277,3 +277,27 @@ def test_stream_upsert(spark, tmp_path):
     left = sorted(str(p.relative_to(target)) for p in target.glob("v=*/bucket_=*"))
     versions = [json.loads(next((target / "manifest" / str(n)).glob("part*")).read_text()) for n in (1, 2)]
     assert left == sorted({f"v={v}/bucket_={b}" for m in versions for b, v in m.items()})
+
+
+def test_running_values_over_blocks(spark):
+    """A key of most rows, cut into many blocks, with runs that go on over several of them."""
+    rng = random.Random(4)
+    rows = [(7, i, float(v)) for i, v in enumerate([1] * 40 + [rng.randrange(3) for _ in range(60)] + [2] * 90 + [0])] + [(k, i, float(rng.randrange(3))) for k in (1, None) for i in range(5)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "k int, at int, v double")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        runs = {(r["k"], r["at"]): r["run"] for r in search.run_lengths(df, "k", ["at"], "v").collect()}
+        hits = {(r["k"], r["at"]): (r["hits"], r["tripped"]) for r in search.guard_hits(df, "k", ["at"], F.col("v") == 2, 4).collect()}
+        ends = {(r["k"], r["at"]): (r["under"], r["over"]) for r in search.running_bracket(df, "k", ["at"], "v", 1.5, 1.5).collect()}
+        sums = {(r["k"], r["bucket"]): (r["first"], r["duration"]) for r in search.index_buckets(df, "k", ["at"], 7, "v", "at").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for k in (7, 1, None):
+        own, run, hit = [(i, v) for x, i, v in rows if x == k], 0, 0
+        for n, (i, v) in enumerate(own):
+            run = run + 1 if n and own[n - 1][1] == v else 1
+            hit = hit + 1 if v == 2 else 0
+            seen = [x for _, x in own[: n + 1]]
+            assert runs[k, i] == run and hits[k, i] == (hit, hit >= 4)
+            assert ends[k, i] == (max((x for x in seen if x < 1.5), default=None), min((x for x in seen if x > 1.5), default=None))
+        assert all(sums[k, b] == (own[7 * b][0], max(20.0, sum(v for _, v in own[7 * b : 7 * b + 7]))) for b in range((len(own) + 6) // 7))
