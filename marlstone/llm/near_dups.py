@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..sources.storage import scratch, stored
 from .recompression import blocks, words_of
 from .windows import NO_ID, batch_of, mixed, texts_of, twisted
@@ -41,7 +42,7 @@ SHINGLE, SIMILARITY = 4, 80
 #: Trees and depth of the forests, the first for all classes, the others for regions that need them.
 FORESTS = ((24, 4), (72, 8), (180, 12))
 #: Minimum hashes by which an order goes on beyond the depth; classes of a region that is not read deeper.
-MORE, REGION = 4, 64
+MORE, REGION = 4, 2048
 #: Shingles of the sets that one task compares at once; more are split.
 GROUP_SHINGLES = 2_000_000
 #: Leaders of a split group.
@@ -181,28 +182,6 @@ def regions(rows: DataFrame, depth: int, most: int) -> DataFrame:
     return rows.repartitionByRange("seq", "cid").sortWithinPartitions("seq", "cid").mapInArrow(run, REGIONS)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, root) of every vertex of (u, v): alternating large-star and small-star steps, no neighbourhood is gathered."""
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.unionByName(edges.selectExpr("v as u", "u as v")) if large else edges.selectExpr("greatest(u, v) as u", "least(u, v) as v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        hung = both.join(least, "u")
-        hung = hung.filter("v > u").selectExpr("v as u", "m as v") if large else hung.selectExpr("v as u", "m as v").unionByName(least.selectExpr("u", "m as v"))
-        return hung.filter("u != v").distinct()
-
-    mark = None
-    edges = stored(edges.filter("u != v").distinct(), "edges")
-    while True:
-        edges = stored(star(star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.unionByName(edges.selectExpr("v as u", "v as root").distinct())
-
-
 def linked_parts(sets: list[np.ndarray], similarity: int) -> np.ndarray:
     """The connected parts of sets linked at ``similarity`` per cent: for each set, the first of its part."""
     n = len(sets)

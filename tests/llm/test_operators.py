@@ -136,7 +136,7 @@ def test_levels_shrink_texts():
     assert [len(x) for x in recompression.Parse(words[:1].repeat(5000), None, np.zeros(5000, bool), 1).names] == [5000, 1]
 
 
-@pytest.mark.parametrize(("group", "region"), [(2_000_000, 64), (300, 64), (2_000_000, 2), (300, 2)])
+@pytest.mark.parametrize(("group", "region"), [(2_000_000, 2048), (300, 64), (2_000_000, 2)])
 def test_near_dups(odd_docs, odd_rows, group, region):
     same(near_dups.find_near_dups(odd_docs, group_shingles=group, region=region), brute.near_dups(odd_rows), 4)
 
@@ -174,7 +174,7 @@ def test_forest_finds_links_against_all_pairs(spark):
     want = brute.near_dups(own)
     assert sum(not r[3] for r in want) == 12
     docs = spark.createDataFrame(own, "doc_id long, text string")
-    for region, group in ((64, 2_000_000), (3, 2_000_000), (3, 2000)):
+    for region, group in ((2048, 2_000_000), (3, 2000)):
         same(near_dups.find_near_dups(docs, region=region, group_shingles=group), want, 4)
 
 
@@ -366,6 +366,38 @@ def test_packing(odd_docs, odd_rows):
     assert len(by_doc[None]) >= 2
 
 
+def test_tiers_and_step_groups(spark):
+    """Every sequence fills its tier; the step groups of a tier hold equal token counts, but one a task."""
+    rng = random.Random(2)
+    own = [(i, " ".join(rng.choice(["alpha", "beta", "x"]) for _ in range(rng.choice([3, 40, 300, 1500])))) for i in range(400)]
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(2)
+    found = packing.pack_documents(docs, public.path("byte_bpe_50k.json"), step_tokens=2048).collect()
+    seqs, groups = {}, {}
+    for r in found:
+        key = (r["sequence_id"], r["tier"], r["step_group"])
+        seqs[key] = seqs.get(key, 0) + r["length"]
+    assert len({k[0] for k in seqs}) == len(seqs) and all(n == tier for (_, tier, _), n in seqs.items())
+    for (_, tier, group), n in seqs.items():
+        groups.setdefault((tier, group >> 40), {}).setdefault(group, []).append(n)
+    for (tier, _), own in groups.items():
+        assert sorted(sum(x) for x in own.values())[1:] == [max(2048, tier)] * (len(own) - 1)
+    assert {1024, 512, 256, 128} <= {k[1] for k in seqs}
+
+
+def test_gaps_are_filled_best_fit():
+    out = []
+    packer = packing.Packer((4, 8), lambda tier, parts: out.append((tier, [p[2] for p in parts])))
+    for i, n in enumerate((6, 5, 2, 2, 1)):
+        packer.add(n, i, 0)
+    packer.pack(last=True)
+    assert out == [(8, [6, 2]), (8, [5, 2, 1])]
+    packer.add(7, "a", 0)
+    packer.add(6, "b", 0)
+    packer.pack(last=True)
+    # Nothing fits a gap of one: a piece is cut; the rest goes to powers of two.
+    assert out[2:] == [(8, [7, 1]), (4, [4]), (1, [1])]
+
+
 def test_token_store(spark, odd_docs, odd_rows):
     path = idstore.write_store(odd_docs, public.path("word_bpe_49k.json"), 2)
     found = sorted((tuple(r) for r in idstore.scan_store(spark, path).collect()), key=lambda r: r[1])
@@ -536,6 +568,41 @@ def test_urls(spark):
 # all
 
 
+def test_urls_of_odd_rows(spark):
+    rows = [(1, "x://a.com/"), (1, "x://a.com/"), (None, None), (None, "x://b.net/es/1"), (2, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    want = [(1, "a.com", "/", "com/", "allow")] * 2 + [(None, "", "", None, "allow"), (None, "b.net", "/es/1", "net/es/", "block"), (2, "", "", None, "allow")]
+    same(urls.judge_urls(df, [("allow", "com", "/"), ("block", "net", "/es/")]), want)
+    assert urls.judge_urls(df.limit(0), []).count() == 0
+
+
+def test_likeness_of_empty_texts(spark):
+    docs = spark.createDataFrame([(3, "some words of a text here"), (2, None), (1, " ")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in syncmers.fingerprint_edits(docs).collect()}
+    assert found[3][1] == 0 and found[2] == (1, 1) and found[1][1] == 0
+
+
+def test_texts_longer_than_a_block(spark, monkeypatch):
+    """One text of several blocks among short ones, and many rows of one id, of none, and equal rows."""
+    rng = random.Random(21)
+    say = lambda k: " ".join(rng.choice(["ab", "cd", "efg", "h"]) + str(rng.randrange(30)) for _ in range(k))
+    long, passage = say(1500), say(45)
+    own = [(1, long + " " + passage + " " + say(700)), (2, say(20) + " " + passage), (3, long[2000:5000])]
+    own += [(9, f"{say(30)} {passage if i % 3 else ''}") for i in range(25)] + [(9, "equal rows of one id " * 12)] * 25 + [(None, say(40) + passage) for _ in range(10)]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1500)
+    same(suffix_dedup.remove_repeats(docs, min_bytes=60), brute.suffix_dedup(own, 60))
+    monkeypatch.setattr(recompression, "BLOCK", 1500)
+    monkeypatch.setattr(recompression, "WORDS", 200)
+    same(recompression.remove_repeated_words(docs), brute.word_dedup(own, 35))
+    same(near_dups.find_near_dups(docs), brute.near_dups(own), 4)
+    monkeypatch.setattr(quality, "BLOCK", 1500)
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    assert quality.score_documents(docs, labels).count() == len(own)
+    items = [(7, passage), (8, long[3000:3400])]
+    same(decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string")), brute.contamination(own, items), 6)
+
+
 def test_empty_tables(spark, no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
     assert recompression.remove_repeated_words(no_docs).count() == 0
