@@ -109,9 +109,15 @@ def listeners(processes: DataFrame, connections: DataFrame, name: str | Column)
     return connections.join(own, "OwningProcess")
 
 
+def free_space(disks: DataFrame) -> DataFrame:
+    """(disk, free_gb) from (disk, free) in bytes, to two places."""
+    return disks.select("disk", F.bround(F.col("free") / (1024**3), 2).alias("free_gb"))
+
+
 def free_space_gained(before: DataFrame, after: DataFrame) -> DataFrame:
-    gained = before.withColumnRenamed("free", "b").join(after.withColumnRenamed("free", "a"), "disk")
-    return gained.select("disk", F.bround((F.col("a") - F.col("b")) / (1024**3), 2).alias("gained_gb"))
+    """The difference of the rounded sizes, as they are shown."""
+    gained = free_space(before).withColumnRenamed("free_gb", "b").join(free_space(after).withColumnRenamed("free_gb", "a"), "disk")
+    return gained.select("disk", (F.col("a") - F.col("b")).alias("gained_gb"))
 
 
 def operation_status(operations: DataFrame, resource: str = "distribution") -> DataFrame:

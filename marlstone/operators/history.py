@@ -13,6 +13,11 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, "r.*").select(rows.columns)
 
 
+def latest_in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key, the oldest of them first."""
+    return latest(rows, keys, order).orderBy(*order)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """History with ``new`` rows in place of older ones of their key."""
     return latest(old.unionByName(new, allowMissingColumns=True), keys, order)

@@ -171,10 +171,34 @@ def adm_datetime_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.datetime_index_columns(indexes, numbered.select("object_id", "index_id", place.alias("column_id")), columns, types)
 
 
-@query("SELECT s_name AS disk, round_even((b - a) / 1073741824.0::DOUBLE, 2) AS gained_gb FROM (SELECT s_name, (s_acctbal * 1000000)::BIGINT AS a, (s_acctbal * 1000000)::BIGINT + s_suppkey * 12345678 AS b FROM supplier)")
+@query("SELECT s_name AS disk, round(round_even(b / 1073741824.0::DOUBLE, 2) - round_even(a / 1073741824.0::DOUBLE, 2), 6) AS gained_gb FROM (SELECT s_name, (s_acctbal * 1000000)::BIGINT AS a, (s_acctbal * 1000000)::BIGINT + s_suppkey * 12345678 AS b FROM supplier)")
 def adm_free_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     disks = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("disk"), F.round(F.col("s_acctbal") * 1000000).cast("bigint").alias("free"), "s_suppkey")
-    return admin.free_space_gained(disks.drop("s_suppkey"), disks.select("disk", (F.col("free") + F.col("s_suppkey") * 12345678).alias("free")))
+    after = disks.select("disk", (F.col("free") + F.col("s_suppkey") * 12345678).alias("free"))
+    return admin.free_space_gained(disks.drop("s_suppkey"), after).withColumn("gained_gb", F.round("gained_gb", 6))
+
+
+@query("SELECT s_name AS disk, round(round_even((s_acctbal * 1000000)::BIGINT / 1073741824.0::DOUBLE, 2), 6) AS free_gb FROM supplier")
+def adm_free_gb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    disks = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("disk"), F.round(F.col("s_acctbal") * 1000000).cast("bigint").alias("free"))
+    return admin.free_space(disks).withColumn("free_gb", F.round("free_gb", 6))
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id % 50 ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def history_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", (F.col("user_id") % 50).alias("kind"))
+    return history.latest_in_order(rows, ["event_type", "kind"], ["ts", "event_id"]).drop("kind")
+
+
+@query("""WITH f AS (SELECT p_partkey, p_brand, p_retailprice / 60.0::DOUBLE AS size FROM part), h AS (SELECT p_brand, arg_max(40 + p_size, (p_retailprice, p_partkey)) AS q FROM part WHERE p_size > 48 GROUP BY 1)
+ SELECT f.p_partkey AS partkey, h.q IS NOT NULL AS known, coalesce(h.q, greatest(least(trunc(sqrt(14.245::DOUBLE / size) * 95 * 1.02::DOUBLE)::INT, 95), 45)) AS quality FROM f LEFT JOIN h ON f.p_brand = h.p_brand""")
+def startup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first quality of every file: its brand's best known one, else one seeded by the ratio of sizes."""
+    part = table(spark, sf_dir, "part")
+    best = part.filter("p_size > 48").groupBy("p_brand").agg(F.max_by(40 + F.col("p_size"), F.struct("p_retailprice", "p_partkey")).alias("q"))
+    rows = part.select("p_partkey", "p_brand", (F.col("p_retailprice") / 60.0).alias("size")).join(best, "p_brand", "left")
+    quality = F.coalesce("q", rules.seeded_quality(F.col("size"), rules.MID, 45, 95))
+    return rows.select(F.col("p_partkey").alias("partkey"), F.col("q").isNotNull().alias("known"), quality.alias("quality"))
 
 
 ERROR_SQL = f"""{BASE_SQL}, w AS (SELECT DISTINCT db FROM s WHERE db NOT LIKE '%7')

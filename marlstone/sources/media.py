@@ -20,6 +20,11 @@ def images(inventory: DataFrame) -> DataFrame:
     return inventory.filter(suffix(F.col("path")).isin(*IMAGES))
 
 
+def file_count(inventory: DataFrame) -> DataFrame:
+    """The number of files, without their content."""
+    return inventory.agg(F.count("path").alias("n"))
+
+
 def animated(content: Column) -> Column:
     """Whether a RIFF/WEBP file's first eight chunks hold the animation flag or an ANIM chunk; false for other files and
     null.  A walk over chunk heads in built-in functions: a chunk's size says where the next one starts."""

@@ -11,10 +11,11 @@ def write_report(lines: DataFrame, order: str, path: str) -> None:
     lines.orderBy(order).select(F.col("line").cast("string").alias("value")).write.text(path)
 
 
-def export_history(sections: dict[str, DataFrame], path: str) -> None:
-    """One JSON folder for each section, with its name and a version."""
+def export_history(sections: dict[str, DataFrame], path: str, created: str | None = None) -> None:
+    """One JSON folder for each section, with its name, a version and when it was made (now, if not stated)."""
+    stamp = F.lit(created) if created else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     for name, rows in sections.items():
-        rows.withColumn("_schema_version", F.lit(1)).write.mode("overwrite").json(f"{path}/{name}")
+        rows.withColumn("_schema_version", F.lit(1)).withColumn("_created", stamp).write.mode("overwrite").json(f"{path}/{name}")
 
 
 def append_batches(batches: list[DataFrame], path: str) -> None:

@@ -232,6 +232,7 @@ def test_webp_header(spark, tmp_path):
     still = b"RIFF\0\0\0\0WEBP" + chunk(b"VP8 ", bytes(10))
     for name, data in (("a.webp", moving), ("b.webp", later), ("c.webp", still), ("d.txt", b"x")):
         (tmp_path / name).write_bytes(data)
+    assert media.file_count(media.files(spark, str(tmp_path))).first()["n"] == 4
     found = media.images(media.files(spark, str(tmp_path))).select("path", media.animated(F.col("content")).alias("anim")).collect()
     assert sorted((r["path"][-6:], r["anim"]) for r in found) == [("a.webp", True), ("b.webp", True), ("c.webp", False)]
 
