@@ -39,8 +39,14 @@ def adm_int_div_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey AS database_id, n_name AS database_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'log' ELSE 'data' END AS kind, c_acctbal AS size FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE n_name NOT IN ('NATION_1', 'NATION_2')")
 def adm_left_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").filter(~F.col("n_name").isin("NATION_1", "NATION_2"))
-    return rows.select(F.col("c_custkey").alias("database_id"), F.col("n_name").alias("database_name"), F.when(F.col("c_mktsegment") == "BUILDING", "log").otherwise("data").alias("kind"), F.col("c_acctbal").alias("size"))
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "LOG").otherwise("ROWS")
+    files = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("database_id"), F.lit(None).cast("int").alias("data_space_id"), kind.alias("type_desc"), F.col("c_custkey").alias("physical_name"), F.col("c_acctbal").alias("size")
+    )
+    name = F.when(F.col("n_name") == "NATION_1", "master").when(F.col("n_name") == "NATION_2", "tempdb").otherwise(F.col("n_name"))
+    databases = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("database_id"), name.alias("name"))
+    groups = table(spark, sf_dir, "region").selectExpr("int(r_regionkey) as data_space_id", "r_name as name")
+    return admin.database_files(files, databases, groups).select(F.col("physical_name").alias("database_id"), "database_name", "kind", "size")
 
 
 @query("SELECT p_partkey AS job_id, p_name AS name, 1 AS enabled, s_name AS srvname, p_size AS step_id, p_brand AS step_name, p_type AS command, l_linenumber AS schedule FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1 LEFT JOIN (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey WHERE p_type ILIKE '%s%'")

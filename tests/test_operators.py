@@ -267,6 +267,11 @@ def test_datetime_columns_and_files(spark):
     assert gained["gained_gb"] == 2.0
 
 
+def test_tool_version(spark):
+    rows = spark.createDataFrame([("import os\nVERSION = \"1.4.2\"\n",), ("VERSION='2'",), ("x = 1",)], "value string")
+    assert [r["version"] for r in history_json.tool_version(rows).collect()] == ["1.4.2", "2", ""]
+
+
 def test_stream_upsert(spark, tmp_path):
     src, target = tmp_path / "in", tmp_path / "out"
     schema = "k int, ts double, v string"
