@@ -11,7 +11,8 @@ from ..sources.storage import table
 from .registry import query
 
 
-@query("SELECT r_name AS group_name, n_name AS replica_server_name, c_name AS database_name, o_orderstatus AS synchronization_state_desc, o_orderpriority AS synchronization_health_desc FROM orders JOIN nation ON n_nationkey = o_orderkey % 25 JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_custkey = o_custkey")
+@query("""SELECT r_name AS group_name, n_name AS replica_server_name, c_name AS database_name, o_orderstatus AS synchronization_state_desc, o_orderpriority AS synchronization_health_desc
+ FROM orders JOIN nation ON n_nationkey = o_orderkey % 25 JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_custkey = o_custkey""")
 def adm_sync_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = table(spark, sf_dir, "orders").selectExpr("int(o_orderkey % 25) as replica_id", "o_custkey as database_id", "o_orderstatus as synchronization_state_desc", "o_orderpriority as synchronization_health_desc")
     replicas = table(spark, sf_dir, "nation").selectExpr("n_nationkey as replica_id", "n_regionkey as group_id", "n_name as replica_server_name")
@@ -20,7 +21,9 @@ def adm_sync_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.sync_states(states, replicas, groups, names)
 
 
-@query("SELECT r_name, n_name, c_mktsegment, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3")
+@query("""SELECT r_name, n_name, c_mktsegment, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem
+ JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+ JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3""")
 def adm_multi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by region, nation and segment.  Lines are added up by order's customer before the small tables join."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
@@ -29,7 +32,8 @@ def adm_multi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("r_name", "n_name", "c_mktsegment").agg(F.sum("n").alias("n"), F.round(F.sum("v"), 2).alias("revenue"))
 
 
-@query("SELECT p_brand AS name, sum(CASE WHEN p_partkey % 3 > 0 THEN p_size * 8 // 1024 ELSE 0 END)::BIGINT AS data_mb, sum(CASE WHEN p_partkey % 3 = 0 THEN p_size * 8 // 1024 ELSE 0 END)::BIGINT AS log_mb FROM (SELECT p_partkey, p_brand, p_size * 97 AS p_size FROM part) WHERE p_brand > 'Brand#1' GROUP BY 1")
+@query("""SELECT p_brand AS name, sum(CASE WHEN p_partkey % 3 > 0 THEN p_size * 8 // 1024 ELSE 0 END)::BIGINT AS data_mb, sum(CASE WHEN p_partkey % 3 = 0 THEN p_size * 8 // 1024 ELSE 0 END)::BIGINT AS log_mb
+ FROM (SELECT p_partkey, p_brand, p_size * 97 AS p_size FROM part) WHERE p_brand > 'Brand#1' GROUP BY 1""")
 def adm_int_div_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands stand for databases; their ids start at 5, above the system's."""
     part = table(spark, sf_dir, "part").filter("p_brand > 'Brand#1'").withColumn("database_id", F.pmod(F.xxhash64("p_brand"), F.lit(1 << 40)) + 5)
@@ -37,7 +41,8 @@ def adm_int_div_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.database_sizes(files, part.select("database_id", F.col("p_brand").alias("name")).distinct())
 
 
-@query("SELECT c_custkey AS database_id, n_name AS database_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'log' ELSE 'data' END AS kind, c_acctbal AS size FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE n_name NOT IN ('NATION_1', 'NATION_2')")
+@query("""SELECT c_custkey AS database_id, n_name AS database_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'log' ELSE 'data' END AS kind, c_acctbal AS size
+ FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE n_name NOT IN ('NATION_1', 'NATION_2')""")
 def adm_left_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("c_mktsegment") == "BUILDING", "LOG").otherwise("ROWS")
     files = table(spark, sf_dir, "customer").select(
@@ -49,7 +54,9 @@ def adm_left_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.database_files(files, databases, groups).select(F.col("physical_name").alias("database_id"), "database_name", "kind", "size")
 
 
-@query("SELECT p_partkey AS job_id, p_name AS name, 1 AS enabled, s_name AS srvname, p_size AS step_id, p_brand AS step_name, p_type AS command, l_linenumber AS schedule FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1 LEFT JOIN (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey WHERE p_type ILIKE '%s%'")
+@query("""SELECT p_partkey AS job_id, p_name AS name, 1 AS enabled, s_name AS srvname, p_size AS step_id, p_brand AS step_name, p_type AS command, l_linenumber AS schedule
+ FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1 LEFT JOIN (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem
+ WHERE l_quantity > 45) ON l_partkey = p_partkey WHERE p_type ILIKE '%s%'""")
 def adm_like_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     jobs = part.selectExpr("p_partkey as job_id", "p_name as name", "1 as enabled", "p_partkey % 10 + 1 as originating_server_id")
@@ -60,7 +67,8 @@ def adm_like_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.job_search(jobs, steps, servers, "%s%", schedules, links).drop("schedule_enabled").withColumnRenamed("schedule_name", "schedule")
 
 
-@query("SELECT n_name AS database_name, s_name AS replica_server_name, s_suppkey * 1000 // 1024 AS log_send_queue_mb, s_suppkey * 3000 // 1024 AS redo_queue_mb FROM supplier JOIN nation ON n_regionkey = s_nationkey % 5 WHERE s_suppkey % 2 = 1")
+@query("""SELECT n_name AS database_name, s_name AS replica_server_name, s_suppkey * 1000 // 1024 AS log_send_queue_mb, s_suppkey * 3000 // 1024 AS redo_queue_mb
+ FROM supplier JOIN nation ON n_regionkey = s_nationkey % 5 WHERE s_suppkey % 2 = 1""")
 def adm_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     states = s.selectExpr("s_suppkey as replica_id", "int(s_suppkey % 2) as is_local", "s_suppkey * 1000 as log_send_queue_size", "s_suppkey * 3000 as redo_queue_size")
@@ -68,7 +76,8 @@ def adm_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.queue_sizes(states, replicas, table(spark, sf_dir, "nation").selectExpr("n_regionkey as group_id", "n_name as database_name"))
 
 
-@query("SELECT 'db' || user_id % 20 AS name, event_type AS loginame, 'h' || user_id % 7 AS hostname, 'p' || user_id % 3 AS program_name, count(*) AS connections FROM events WHERE event_id > 50 GROUP BY 1, 2, 3, 4")
+@query("""SELECT 'db' || user_id % 20 AS name, event_type AS loginame, 'h' || user_id % 7 AS hostname, 'p' || user_id % 3 AS program_name,
+ count(*) AS connections FROM events WHERE event_id > 50 GROUP BY 1, 2, 3, 4""")
 def adm_group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").selectExpr("event_id as spid", "user_id % 20 as dbid", "event_type as loginame", "concat('h', user_id % 7) as hostname", "concat('p', user_id % 3) as program_name")
     names = spark.range(20).selectExpr("id as database_id", "concat('db', id) as name")
@@ -80,7 +89,9 @@ def adm_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter("event_id > 50 and event_type = 'click'").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT DISTINCT name, changes FROM (SELECT o_orderpriority AS name, o_custkey % 11 AS schema_id, o_custkey AS stats_name, sum(floor(o_totalprice)::BIGINT)::BIGINT AS changes FROM orders, (SELECT date_trunc('day', max(o_orderdate)) - INTERVAL 3 DAY AS cutoff FROM orders)
+@query("""SELECT DISTINCT name, changes
+  FROM (SELECT o_orderpriority AS name, o_custkey % 11 AS schema_id, o_custkey AS stats_name, sum(floor(o_totalprice)::BIGINT)::BIGINT AS changes
+  FROM orders, (SELECT date_trunc('day', max(o_orderdate)) - INTERVAL 3 DAY AS cutoff FROM orders)
  WHERE o_orderdate < cutoff AND floor(o_totalprice) * 1.0 / nullif(o_orderkey % 7 * 100000, 0) * 100 > 4 GROUP BY 1, 2, 3)""")
 def adm_stale_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
@@ -89,14 +100,17 @@ def adm_stale_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.stale_statistics(stats, rules.day_floor(F.col("now")))
 
 
-@query("SELECT doc_id AS plan_handle, lang AS creation_time, CASE WHEN e = -1 THEN substring(text, s // 2 + 1) ELSE substring(text, s // 2 + 1, greatest(0, (e - s) // 2 + 1)) END AS statement FROM (SELECT *, doc_id % 40 AS s, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id % 40 + 61 END AS e FROM documents)")
+@query("""SELECT doc_id AS plan_handle, lang AS creation_time, CASE WHEN e = -1 THEN substring(text, s // 2 + 1) ELSE substring(text, s // 2 + 1,
+ greatest(0, (e - s) // 2 + 1)) END AS statement FROM (SELECT *, doc_id % 40 AS s, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id % 40 + 61 END AS e
+ FROM documents)""")
 def adm_lateral_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     stats = docs.selectExpr("doc_id as sql_handle", "doc_id as plan_handle", "lang as creation_time", "doc_id % 40 as statement_start_offset", "case when doc_id % 3 = 0 then -1 else doc_id % 40 + 61 end as statement_end_offset")
     return admin.cached_statements(stats, docs.selectExpr("doc_id as sql_handle", "text"))
 
 
-@query("SELECT 'orders' AS database_name, max(o_orderdate) AS last_modified FROM orders UNION ALL SELECT 'lineitem', max(l_shipdate) FROM lineitem UNION ALL SELECT 'events', max(ts) FROM events")
+@query("""SELECT 'orders' AS database_name, max(o_orderdate) AS last_modified FROM orders UNION ALL SELECT 'lineitem', max(l_shipdate) FROM lineitem UNION ALL
+ SELECT 'events', max(ts) FROM events""")
 def adm_union_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
     return admin.last_modified({t: table(spark, sf_dir, t).select(F.col(c).alias("modify_date")) for t, c in dates.items()})
@@ -118,7 +132,8 @@ def adm_generate_cmd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.job_commands(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")), 0)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey AS \"OwningProcess\", p_brand AS \"Name\", p_name AS \"CommandLine\" FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = (SELECT min(p_brand) FROM part)")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey AS "OwningProcess", p_brand AS "Name", p_name AS "CommandLine" FROM lineitem
+ JOIN part ON l_partkey = p_partkey WHERE p_brand = (SELECT min(p_brand) FROM part)""")
 def adm_semi_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     least = part.agg(F.min("p_brand").alias("b"))
@@ -126,14 +141,16 @@ def adm_semi_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.listeners(processes, table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey as OwningProcess"), F.col("Name"))
 
 
-@query("SELECT c_custkey, coalesce(n, 0) AS n_orders, CASE WHEN n IS NULL THEN 'no orders' ELSE 'ok' END AS message FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+@query("""SELECT c_custkey, coalesce(n, 0) AS n_orders, CASE WHEN n IS NULL THEN 'no orders' ELSE 'ok' END AS message FROM customer LEFT JOIN (SELECT o_custkey,
+ count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
 def adm_exists_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     rows = table(spark, sf_dir, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
     return rows.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.when(F.col("n").isNull(), "no orders").otherwise("ok").alias("message"))
 
 
-@query("SELECT l_returnflag AS table_name, l_linenumber AS partition_number, r_name AS value, count(*) AS rows FROM lineitem JOIN region ON r_regionkey = l_linenumber - 1 GROUP BY 1, 2, 3")
+@query("""SELECT l_returnflag AS table_name, l_linenumber AS partition_number, r_name AS value, count(*) AS rows FROM lineitem
+ JOIN region ON r_regionkey = l_linenumber - 1 GROUP BY 1, 2, 3""")
 def adm_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each partition; those without a boundary, the last ones, are not listed."""
     parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("table_name"), F.col("l_linenumber").alias("partition_number")).agg(F.count("*").alias("rows"))
@@ -145,7 +162,8 @@ def adm_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.partition_counts(names, parts.drop("table_name"), one, scheme, function, bounds)
 
 
-@query("SELECT n_name AS schema_name, c_name AS object_name, c_mktsegment AS index_name, c_custkey % 4 * 25 AS fill_factor FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IS NOT NULL")
+@query("""SELECT n_name AS schema_name, c_name AS object_name, c_mktsegment AS index_name, c_custkey % 4 * 25 AS fill_factor FROM customer
+ JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IS NOT NULL""")
 def adm_fill_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     indexes = c.selectExpr("c_custkey as object_id", "c_mktsegment as index_name", "c_custkey % 4 * 25 as fill_factor")
@@ -157,7 +175,8 @@ def adm_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.sessions(table(spark, sf_dir, "events").selectExpr("event_id as session_id", "event_type as login_name", "ts as login_time"))
 
 
-@query("SELECT event_id AS session_id, event_type AS command, 't' || user_id AS text, value AS percent_complete, event_id * 7 // 1000 AS left_s, event_id * 11 // 1000 AS elapsed_s FROM events WHERE event_type ILIKE 'Pur%'")
+@query("""SELECT event_id AS session_id, event_type AS command, 't' || user_id AS text, value AS percent_complete, event_id * 7 // 1000 AS left_s, event_id * 11 // 1000 AS elapsed_s
+ FROM events WHERE event_type ILIKE 'Pur%'""")
 def adm_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").selectExpr("event_id as session_id", "event_type as command", "user_id as sql_handle", "value as percent_complete", "event_id * 7 as estimated_completion_time", "event_id * 11 as total_elapsed_time")
     texts = events.select("sql_handle").distinct().withColumn("text", F.concat(F.lit("t"), F.col("sql_handle").cast("string")))

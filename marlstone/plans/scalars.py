@@ -38,7 +38,8 @@ def clamped_sql(x: str, low: str, high: str) -> str:
  d AS (SELECT *, CASE WHEN raw > q THEN least(raw, trunc(q * 1.2::DOUBLE)::INT, q + 12, 100) ELSE raw END AS cap FROM c)
  SELECT partkey, round({SUGGESTED_SQL}, 6) AS suggested, round({clamped_sql(capped_sql(SUGGESTED_SQL, 0.35), '0.3::DOUBLE', '1.2::DOUBLE')}, 6) AS safe,
  greatest(least(trunc(sqrt(14.245::DOUBLE / size) * 95 * 1.02::DOUBLE)::INT, 95), 45) AS seeded, round(least(3600.0::DOUBLE, greatest(600.0::DOUBLE, frames * 0.52::DOUBLE)), 6) AS timeout,
- CASE WHEN abs(cap - q) >= 3 THEN cap END AS corrected, round(size / 12 * frames * 1.02::DOUBLE, 6) AS extrapolated, round(least(14.245::DOUBLE, 14.99::DOUBLE, size * 0.97::DOUBLE), 6) AS probe_target,
+ CASE WHEN abs(cap - q) >= 3 THEN cap END AS corrected, round(size / 12 * frames * 1.02::DOUBLE, 6) AS extrapolated,
+  round(least(14.245::DOUBLE, 14.99::DOUBLE, size * 0.97::DOUBLE), 6) AS probe_target,
  round(1.1::DOUBLE + sz * 0.05::DOUBLE / 256, 6) AS bias, round(size * (sz * 20 / 320.0::DOUBLE) * (24 / 12.0::DOUBLE) * 2.0::DOUBLE, 6) AS proxy, round(round_even(scale, 4), 6) AS scale_key,
  round({clamped_sql(capped_sql('(scale * sqrt(14.245::DOUBLE / predicted))', 0.45), '0.2::DOUBLE', '1.5::DOUBLE')}, 6) AS skip,
  round(CASE WHEN abs(0.2::DOUBLE + 14.245::DOUBLE * (1.2::DOUBLE - 0.2::DOUBLE) / 20.0::DOUBLE - scale) <= scale * 0.15::DOUBLE THEN 0.2::DOUBLE + 14.245::DOUBLE * (1.2::DOUBLE - 0.2::DOUBLE) / 20.0::DOUBLE END, 6) AS secant,
@@ -66,8 +67,11 @@ def scale_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH f AS ({FILE_SQL}), n AS (SELECT *, CASE WHEN size > 14.99 THEN 0.01::DOUBLE ELSE scale END AS lo, CASE WHEN size > 14.99 THEN scale ELSE 4.0::DOUBLE END AS hi FROM f)
- SELECT partkey, round(lo, 6) AS low, round(hi, 6) AS high, round(CASE WHEN size < 13.5 OR size > 14.99::DOUBLE + 0.005::DOUBLE THEN {clamped_sql(capped_sql(SUGGESTED_SQL, 0.35), 'lo', 'hi')} END, 6) AS next FROM n""")
+@query(f"""WITH f AS ({FILE_SQL}), n AS (SELECT *, CASE WHEN size > 14.99 THEN 0.01::DOUBLE ELSE scale END AS lo,
+  CASE WHEN size > 14.99 THEN scale ELSE 4.0::DOUBLE END AS hi FROM f)
+ SELECT partkey, round(lo, 6) AS low, round(hi, 6) AS high,
+  round(CASE WHEN size < 13.5 OR size > 14.99::DOUBLE + 0.005::DOUBLE THEN {clamped_sql(capped_sql(SUGGESTED_SQL, 0.35), 'lo', 'hi')} END, 6) AS next
+  FROM n""")
 def iterate_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The step that the search for a scale repeats, for every file."""
     low, high, then = search.scale_step(F.col("scale"), F.col("size"), F.lit(0.01), F.lit(4.0))
@@ -75,9 +79,11 @@ def iterate_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH f AS ({FILE_SQL}) SELECT partkey, array_to_string(list_transform(range(0, 4), lambda i: floor(i * sz / 4.0)::INT), ',') AS starts,
- array_to_string(list_filter(range(0, sz), lambda x: x % greatest(1, sz // 5) = 0)[1:5], ',') AS every, CASE WHEN sz * 10 <= 12 THEN sz * 10 ELSE greatest(least(trunc(sqrt(sz * 10) * 1.25::DOUBLE)::INT, 36), 12) END AS samples,
+ array_to_string(list_filter(range(0, sz), lambda x: x % greatest(1, sz // 5) = 0)[1:5], ',') AS every,
+  CASE WHEN sz * 10 <= 12 THEN sz * 10 ELSE greatest(least(trunc(sqrt(sz * 10) * 1.25::DOUBLE)::INT, 36), 12) END AS samples,
  (sz::DOUBLE) / greatest(1, k % 4) AS fraction, lower(lpad(to_hex(k), 16, '0')) || '|' || lower(lpad(to_hex(k * 7919), 16, '0')) AS hex_key,
- round_even((bit_count(xor(k::BIGINT, k::BIGINT * 31)) + bit_count(xor(k::BIGINT, k::BIGINT * 17)) + bit_count(xor(k::BIGINT, 5::BIGINT))) / 3.0::DOUBLE, 0)::INT AS distance FROM f""")
+ round_even((bit_count(xor(k::BIGINT, k::BIGINT * 31)) + bit_count(xor(k::BIGINT, k::BIGINT * 17)) + bit_count(xor(k::BIGINT, 5::BIGINT))) / 3.0::DOUBLE, 0)::INT AS distance
+  FROM f""")
 def sampling_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames to sample, fractions, and signatures of several parts, the shorter padded with its last."""
     sz, k = F.col("sz"), F.col("k").cast("bigint")
@@ -112,13 +118,15 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""SELECT page_id, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS suffix, regexp_replace(path, '\.[^./]+$', '') || '.gif' AS renamed,
- CASE WHEN path LIKE '%/%' THEN split_part(path, '/', 1) ELSE '.' END AS top, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS parent FROM ({PATH_SQL})""")
+ CASE WHEN path LIKE '%/%' THEN split_part(path, '/', 1) ELSE '.' END AS top,
+  CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS parent FROM ({PATH_SQL})""")
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
     return paths(spark, sf_dir).select("page_id", rules.suffix(p).alias("suffix"), rules.with_suffix(p, ".gif").alias("renamed"), rules.top_folder(p).alias("top"), rules.parent_folder(p).alias("parent"))
 
 
-@query(f"SELECT CASE WHEN path LIKE '%/%' THEN split_part(path, '/', 1) ELSE '.' END AS folder, count(*) AS n FROM ({PATH_SQL}) WHERE path IS NOT NULL GROUP BY 1")
+@query(f"""SELECT CASE WHEN path LIKE '%/%' THEN split_part(path, '/', 1) ELSE '.' END AS folder, count(*) AS n FROM ({PATH_SQL}) WHERE path IS NOT NULL
+ GROUP BY 1""")
 def scope_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.scope_buckets(paths(spark, sf_dir).filter("path is not null"), "path", rules.top_folder(F.col("path")))
 
@@ -129,8 +137,10 @@ def dup_plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.plan_lines(deletions(spark, sf_dir), mark="D")
 
 
-@query("""SELECT user_id, event_type, n AS count, round(CASE WHEN scale IS NULL AND n > 1 THEN mean ELSE scale END, 6) AS scale FROM (SELECT *, row_number() OVER w AS rn, count(*) OVER g AS n, avg(coalesce(scale, 0.75::DOUBLE)) OVER g AS mean
- FROM (SELECT user_id, event_type, ts, event_id, CASE WHEN event_id % 3 > 0 THEN value END AS scale FROM events) WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC), g AS (PARTITION BY user_id, event_type)) WHERE rn = 1""")
+@query("""SELECT user_id, event_type, n AS count, round(CASE WHEN scale IS NULL AND n > 1 THEN mean ELSE scale END, 6) AS scale FROM (SELECT *,
+  row_number() OVER w AS rn, count(*) OVER g AS n, avg(coalesce(scale, 0.75::DOUBLE)) OVER g AS mean
+ FROM (SELECT user_id, event_type, ts, event_id, CASE WHEN event_id % 3 > 0 THEN value END AS scale FROM events)
+  WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC), g AS (PARTITION BY user_id, event_type)) WHERE rn = 1""")
 def history_compact_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("scale"))
     found = history.compact(rows, ["user_id", "event_type"], ["ts", "event_id"], scale="scale")
@@ -143,7 +153,8 @@ def adm_operation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.operation_status(operations, "purchase").drop("major_resource_id")
 
 
-@query("""SELECT count(*) FILTER (s = 'F') AS converted, count(*) FILTER (s = 'O') AS existing, count(*) FILTER (s = 'P') AS failed, count(*) FILTER (s <> 'P' AND k % 3 = 0) AS source_deleted,
+@query("""SELECT count(*) FILTER (s = 'F') AS converted, count(*) FILTER (s = 'O') AS existing, count(*) FILTER (s = 'P') AS failed,
+  count(*) FILTER (s <> 'P' AND k % 3 = 0) AS source_deleted,
  count(*) FILTER (s <> 'P' AND k % 3 = 1) AS source_delete_failed FROM (SELECT o_orderstatus AS s, o_orderkey AS k FROM orders)""")
 def adm_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "converted").when(F.col("o_orderstatus") == "O", "exists").otherwise("failed")
@@ -151,13 +162,15 @@ def adm_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.status_summary(table(spark, sf_dir, "orders").select(status.alias("status"), deleted.alias("deleted")))
 
 
-@query("SELECT lang, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 > 0 THEN lang END AS lang, CASE WHEN doc_id % 7 > 0 THEN n_chars END AS n_chars FROM documents) WHERE lang IS NOT NULL AND n_chars IS NOT NULL GROUP BY 1")
+@query("""SELECT lang, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 > 0 THEN lang END AS lang, CASE WHEN doc_id % 7 > 0 THEN n_chars END AS n_chars
+ FROM documents) WHERE lang IS NOT NULL AND n_chars IS NOT NULL GROUP BY 1""")
 def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 7 > 0, F.col("n_chars")).alias("n_chars"))
     return admin.complete_rows(docs, ["lang", "n_chars"]).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT c_name AS object_name, 'ix' || o_orderkey AS index_name, p_name AS column_name, 'datetime' AS type_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+@query("""SELECT c_name AS object_name, 'ix' || o_orderkey AS index_name, p_name AS column_name, 'datetime' AS type_name FROM orders
+  JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
  JOIN part ON p_partkey = l_partkey WHERE p_size % 5 = 1""")
 def adm_datetime_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name as object_name")
@@ -171,7 +184,8 @@ def adm_datetime_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.datetime_index_columns(indexes, numbered.select("object_id", "index_id", place.alias("column_id")), columns, types)
 
 
-@query("SELECT s_name AS disk, round(round_even(b / 1073741824.0::DOUBLE, 2) - round_even(a / 1073741824.0::DOUBLE, 2), 6) AS gained_gb FROM (SELECT s_name, (s_acctbal * 1000000)::BIGINT AS a, (s_acctbal * 1000000)::BIGINT + s_suppkey * 12345678 AS b FROM supplier)")
+@query("""SELECT s_name AS disk, round(round_even(b / 1073741824.0::DOUBLE, 2) - round_even(a / 1073741824.0::DOUBLE, 2), 6) AS gained_gb
+ FROM (SELECT s_name, (s_acctbal * 1000000)::BIGINT AS a, (s_acctbal * 1000000)::BIGINT + s_suppkey * 12345678 AS b FROM supplier)""")
 def adm_free_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     disks = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("disk"), F.round(F.col("s_acctbal") * 1000000).cast("bigint").alias("free"), "s_suppkey")
     after = disks.select("disk", (F.col("free") + F.col("s_suppkey") * 12345678).alias("free"))
@@ -184,14 +198,17 @@ def adm_free_gb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.free_space(disks).withColumn("free_gb", F.round("free_gb", 6))
 
 
-@query("SELECT event_id, ts, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id % 50 ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+@query("""SELECT event_id, ts, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id % 50
+ ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def history_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", (F.col("user_id") % 50).alias("kind"))
     return history.latest_in_order(rows, ["event_type", "kind"], ["ts", "event_id"]).drop("kind")
 
 
-@query("""WITH f AS (SELECT p_partkey, p_brand, p_retailprice / 60.0::DOUBLE AS size FROM part), h AS (SELECT p_brand, arg_max(40 + p_size, (p_retailprice, p_partkey)) AS q FROM part WHERE p_size > 48 GROUP BY 1)
- SELECT f.p_partkey AS partkey, h.q IS NOT NULL AS known, coalesce(h.q, greatest(least(trunc(sqrt(14.245::DOUBLE / size) * 95 * 1.02::DOUBLE)::INT, 95), 45)) AS quality FROM f LEFT JOIN h ON f.p_brand = h.p_brand""")
+@query("""WITH f AS (SELECT p_partkey, p_brand, p_retailprice / 60.0::DOUBLE AS size FROM part),
+  h AS (SELECT p_brand, arg_max(40 + p_size, (p_retailprice, p_partkey)) AS q FROM part WHERE p_size > 48 GROUP BY 1)
+ SELECT f.p_partkey AS partkey, h.q IS NOT NULL AS known, coalesce(h.q,
+  greatest(least(trunc(sqrt(14.245::DOUBLE / size) * 95 * 1.02::DOUBLE)::INT, 95), 45)) AS quality FROM f LEFT JOIN h ON f.p_brand = h.p_brand""")
 def startup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first quality of every file: its brand's best known one, else one seeded by the ratio of sizes."""
     part = table(spark, sf_dir, "part")
@@ -202,9 +219,11 @@ def startup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ERROR_SQL = f"""{BASE_SQL}, w AS (SELECT DISTINCT db FROM s WHERE db NOT LIKE '%7')
- SELECT w.db, 0 AS line_no, 'ERROR: No FULL backup found for database ' || {NAME_SQL.format('w')} || ' (latest FULL lookup returned none).' AS line FROM w WHERE db NOT IN (SELECT db FROM f WHERE db NOT LIKE '%3')
+ SELECT w.db, 0 AS line_no, 'ERROR: No FULL backup found for database ' || {NAME_SQL.format('w')} || ' (latest FULL lookup returned none).' AS line
+  FROM w WHERE db NOT IN (SELECT db FROM f WHERE db NOT LIKE '%3')
  UNION ALL SELECT w.db, 1, 'HINT: Available FULL backups for this database:' FROM w WHERE db NOT IN (SELECT db FROM f WHERE db NOT LIKE '%3')
- UNION ALL SELECT w.db, 0, 'ERROR: No media family files found for the chosen FULL backup (media_set_id=' || full_id || ').' FROM w JOIN b ON w.db = b.db WHERE w.db NOT LIKE '%3' AND full_id % 2 = 0"""
+ UNION ALL SELECT w.db, 0, 'ERROR: No media family files found for the chosen FULL backup (media_set_id=' || full_id || ').' FROM w
+  JOIN b ON w.db = b.db WHERE w.db NOT LIKE '%3' AND full_id % 2 = 0"""
 
 
 @query(ERROR_SQL)
@@ -216,11 +235,15 @@ def recovery_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.recovery_errors(sets.select("db").distinct().filter("db not like '%7'"), base, clauses)
 
 
-@query(f"""WITH s AS (SELECT event_id AS set_id, 'db]' || user_id AS db, ts AS start, ts + INTERVAL 5 MINUTE AS finish, event_type FROM events), c AS (SELECT DISTINCT db, (SELECT date_trunc('day', max(ts)) - INTERVAL 10 DAY FROM events) AS completed FROM s),
- l AS (SELECT s.*, set_id % 3 > 0 AS found, strftime(start, '%Y-%m-%d %H:%M:%S') AS a, strftime(finish, '%Y-%m-%d %H:%M:%S') AS b FROM s JOIN c ON s.db = c.db WHERE event_type = 'click' AND finish > completed),
+@query(f"""WITH s AS (SELECT event_id AS set_id, 'db]' || user_id AS db, ts AS start, ts + INTERVAL 5 MINUTE AS finish, event_type FROM events),
+  c AS (SELECT DISTINCT db, (SELECT date_trunc('day', max(ts)) - INTERVAL 10 DAY FROM events) AS completed FROM s),
+ l AS (SELECT s.*, set_id % 3 > 0 AS found, strftime(start, '%Y-%m-%d %H:%M:%S') AS a, strftime(finish, '%Y-%m-%d %H:%M:%S') AS b FROM s
+  JOIN c ON s.db = c.db WHERE event_type = 'click' AND finish > completed),
  r AS (SELECT db, 0 AS step, NULL::BIGINT AS set_id, list_filter(['/* RESTORE LOG CHAIN AFTER COMPLETION TIME */', '-- Database: ' || {NAME_SQL.format('c')}, '-- Completion time: ' || strftime(completed, '%Y-%m-%dT%H:%M:%S'),
-   '-- LOG backups selected: ' || (SELECT count(*) FROM l WHERE l.db = c.db), '', CASE WHEN db NOT IN (SELECT db FROM l) THEN '-- WARNING: No LOG backups found after completion time.' END], lambda x: x IS NOT NULL) AS lines FROM c
-  UNION ALL SELECT db, 1, set_id, CASE WHEN found THEN ['-- LOG backup set id: ' || set_id || ' (start=' || a || ', finish=' || b || ')', 'RESTORE LOG ' || {NAME_SQL.format('l')}, '    FROM DISK = N''/b/' || set_id || '_2.bak''', '    WITH NORECOVERY, REPLACE, STATS = 10;', '']
+   '-- LOG backups selected: ' || (SELECT count(*) FROM l WHERE l.db = c.db), '', CASE WHEN db NOT IN (SELECT db
+  FROM l) THEN '-- WARNING: No LOG backups found after completion time.' END], lambda x: x IS NOT NULL) AS lines FROM c
+  UNION ALL SELECT db, 1, set_id,
+  CASE WHEN found THEN ['-- LOG backup set id: ' || set_id || ' (start=' || a || ', finish=' || b || ')', 'RESTORE LOG ' || {NAME_SQL.format('l')}, '    FROM DISK = N''/b/' || set_id || '_2.bak''', '    WITH NORECOVERY, REPLACE, STATS = 10;', '']
    ELSE ['-- WARNING: No media files found for LOG backup_set_id=' || set_id || '.'] END FROM l
   UNION ALL SELECT db, 2, NULL, ['-- After applying these logs, DB remains in RESTORING (NORECOVERY).'] FROM c)
  SELECT db, step, set_id, unnest(range(0, len(lines)))::INT AS line_no, unnest(lines) AS line FROM r""")
@@ -231,7 +254,8 @@ def recovery_logs_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.logs_after_script(recovery.logs_after(sets, files, done), done)
 
 
-@query(f"""WITH n AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS i FROM (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id))
+@query(f"""WITH n AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS i FROM (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x
+  JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id))
  SELECT i || '. ' || a || '  <=>  ' || b AS line FROM n""")
 def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of duplicate pairs, written as text and read back."""
