@@ -50,7 +50,9 @@ def database_sizes(files: DataFrame, databases: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.sum(F.when(F.col("type_desc") == "ROWS", mb).otherwise(0)).alias("data_mb"), F.sum(F.when(F.col("type_desc") == "LOG", mb).otherwise(0)).alias("log_mb"))
 
 
-def job_search(jobs: DataFrame, steps: DataFrame, servers: DataFrame, pattern: str, schedules: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+def job_search(
+    jobs: DataFrame, steps: DataFrame, servers: DataFrame, pattern: str, schedules: DataFrame | None = None, links: DataFrame | None = None,
+) -> DataFrame:
     rows = jobs.join(steps, "job_id").join(servers, F.col("originating_server_id") == F.col("srvid")).filter(F.col("command").ilike(pattern))
     cols = ["job_id", "name", "enabled", "srvname", "step_id", "step_name", "command"]
     if schedules is None or links is None:
@@ -59,7 +61,10 @@ def job_search(jobs: DataFrame, steps: DataFrame, servers: DataFrame, pattern: s
     return rows.join(named, "job_id", "left").select(*cols, "schedule_name", "schedule_enabled")
 
 
-def partition_counts(tables: DataFrame, partitions: DataFrame, indexes: DataFrame, schemes: DataFrame, functions: DataFrame, bounds: DataFrame, all_partitions: bool = False) -> DataFrame:
+def partition_counts(
+    tables: DataFrame, partitions: DataFrame, indexes: DataFrame, schemes: DataFrame, functions: DataFrame, bounds: DataFrame,
+    all_partitions: bool = False,
+) -> DataFrame:
     """Rows of each partition with its boundary.  The last partition has none and is left out, unless ``all_partitions``."""
     rows = tables.join(partitions, "object_id").join(indexes, ["object_id", "index_id"]).filter("index_id <= 1").join(schemes, "data_space_id").join(functions, "function_id")
     rows = rows.join(bounds.withColumnRenamed("boundary_id", "partition_number"), ["function_id", "partition_number"], "left" if all_partitions else "inner")
@@ -76,7 +81,9 @@ def fill_factors(indexes: DataFrame, objects: DataFrame, schemas: DataFrame) ->
     return rows.select("schema_name", "object_name", "index_name", "fill_factor").orderBy(F.col("fill_factor").desc(), "schema_name", "object_name", "index_name")
 
 
-def datetime_index_columns(indexes: DataFrame, index_columns: DataFrame, columns: DataFrame, types: DataFrame, kinds: tuple[str, ...] = ("datetime",)) -> DataFrame:
+def datetime_index_columns(
+    indexes: DataFrame, index_columns: DataFrame, columns: DataFrame, types: DataFrame, kinds: tuple[str, ...] = ("datetime",),
+) -> DataFrame:
     rows = indexes.join(index_columns, ["object_id", "index_id"]).join(columns, ["object_id", "column_id"]).join(types, "user_type_id")
     return rows.filter(F.col("type_name").isin(*kinds)).select("object_name", "index_name", "column_name", "type_name")
 
