@@ -27,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import scratch, stored
-from .windows import ANCHORS, NO_ID, RUNS, Rolling, batch_of, bool_runs, document_spans, full_runs, hot_anchors, mixed, open_segments, open_texts, runs_of, segments, sliding_min, texts_of, union_of, whole
+from .windows import (
+    ANCHORS, NO_ID, RUNS, Rolling, batch_of, bool_runs, document_spans, full_runs, hot_anchors, mixed, open_segments, open_texts, runs_of, segments,
+    sliding_min, texts_of, trimmed, union_of, whole,
+)
 
 MIN_BYTES = 400
 #: Window starts handled at once; at most 2**22 less a window.
 BLOCK = 1 << 19
 #: Distinct segments of a key in one block, and bytes of a block's groups.
-MAX_SEGMENTS, BLOCK_BYTES = 2048, 1 << 20
+MAX_SEGMENTS, BLOCK_BYTES = 1024, 1 << 19
 PLACE = np.uint64((1 << 22) - 1)
 
 
@@ -64,7 +67,8 @@ def anchor_extract(w: int):
             name = b"".join([xxhash.xxh3_128_digest(view[s:e]) for s, e in zip((start + x).tolist(), (end + x + w).tolist(), strict=True)])
             ab = np.frombuffer(name, "<i8").reshape(-1, 2)
             rid, rhash = (batch.column(i).to_numpy()[doc] for i in (0, 1))
-            yield batch_of([rid, rhash, (start + x - offs[doc]).astype(np.int32), (end - start + 1).astype(np.int32), (p - start).astype(np.int32), key, ab[:, 0], ab[:, 1]], ANCHORS)
+            places = [v.astype(np.int32) for v in (start + x - offs[doc], end - start + 1, p - start)]
+            yield batch_of([rid, rhash, *places, key, ab[:, 0], ab[:, 1]], ANCHORS)
 
     return extract
 
@@ -80,18 +84,20 @@ def suffix_order(units: np.ndarray, short: np.ndarray, depth: int) -> np.ndarray
         key = (key << np.uint64(9)) | np.where(alive, padded[i : i + n], 0).astype(np.uint64)
         alive &= padded[i : i + n] != 0
     order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     while True:
-        new = np.ones(n, np.int64)
+        new = np.ones(n, bool)
         k = key[order]
         new[1:] = (k[1:] != k[:-1]) | (short[order][1:] <= step)
-        rank[order] = np.cumsum(new) - 1
+        del k
+        rank[order] = np.cumsum(new, dtype=np.int32) - 1
         if step >= depth or rank[order[-1]] == n - 1:
             return order
-        later = np.concatenate((rank[step:], np.zeros(step, np.int64)))[:n]
-        key = rank * n + later
+        key = rank.astype(np.int64) * n
+        if step < n:
+            key[: n - step] += rank[step:]
         # Only suffixes that still share their rank move.
-        tied = np.flatnonzero(np.concatenate((new == 0, [False]))[1:] | (new == 0))
+        tied = np.flatnonzero(np.concatenate((~new, [False]))[1:] | ~new)
         rows = order[tied]
         order[tied] = rows[np.argsort(key[rows], kind="stable")]
         step *= 2
@@ -104,13 +110,14 @@ def long_prefixes(units: np.ndarray, names: np.ndarray, order: np.ndarray, limit
     n = len(order)
     bwt = names[order - 1]  # the unit before the first is the last separator
     by_symbol = np.argsort(bwt, kind="stable")
-    step = np.empty(n, np.int64)  # LF: the row of the suffix one unit longer
+    step = np.empty(n, np.int32)  # LF: the row of the suffix one unit longer
     step[by_symbol] = np.arange(n)
     symbol = bwt[by_symbol]
     same = symbol[1:] == symbol[:-1]
-    prev, follow = np.full(n, -1), np.full(n, n)  # rows with the same symbol next above and below
+    prev, follow = np.full(n, -1, np.int32), np.full(n, n, np.int32)  # rows with the same symbol next above and below
     prev[by_symbol[1:][same]] = by_symbol[:-1][same]
     follow[by_symbol[:-1][same]] = by_symbol[1:][same]
+    del bwt, by_symbol, symbol, same
     unset = np.ones(n + 1, bool)
     unset[0] = unset[n] = False
     lo, hi = np.array([0]), np.array([n])
@@ -131,11 +138,11 @@ def repeated_starts(texts: list[bytes], w: int) -> list[np.ndarray]:
     """For each text, for each window start, whether its w bytes also start elsewhere among the texts."""
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes + 1) - 1
-    units = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
+    units = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int32) + 1
     units[ends] = 0
-    place = np.arange(len(units))
-    short = ends[np.searchsorted(ends, place)] - place + 1
+    short = np.repeat(ends, sizes + 1).astype(np.int32) - np.arange(len(units), dtype=np.int32) + 1
     order = suffix_order(units, short, w)
+    del short
     names = units + len(texts)
     names[ends] = np.arange(len(texts))
     long = long_prefixes(units, names, order, w)
@@ -172,6 +179,7 @@ def decide_blocks(rows: DataFrame, w: int) -> DataFrame:
         block += [(at, *ab, *cb) for ab, cb in group.items()]
         if block:
             yield decide()
+        trimmed()
 
     ordered = rows.select("key", "a", "b", "c", "body").repartition("key").sortWithinPartitions("key")
     return ordered.mapInArrow(run, RUNS)
@@ -233,7 +241,10 @@ def repeated_spans(texts: DataFrame, w: int, max_segments: int = MAX_SEGMENTS) -
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, with_text: bool = False, max_segments: int = MAX_SEGMENTS) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, with_text: bool = False,
+    max_segments: int = MAX_SEGMENTS,
+) -> DataFrame:
     """One row per document, ``DIGEST`` (and ``kept`` as text on request: a character cut in two is dropped)."""
     texts = texts_of(docs, id_col, text_col)
     spans = repeated_spans(texts, min_bytes, max_segments)
@@ -242,7 +253,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for rid, rhash, body, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            columns = batch.set_column(2, "text", batch.column(2).cast(pa.binary())).columns
+            for rid, rhash, body, found in zip(*(c.to_pylist() for c in columns), strict=True):
                 cut = union_of(found, len(body))
                 kept = without(body, cut)
                 row = (None if rid == NO_ID else rid, len(body), len(body) - len(kept), len(cut), hashlib.sha256(kept).hexdigest())
@@ -258,14 +270,17 @@ def without(body: bytes, cut: list[tuple[int, int]]) -> bytes:
     return body if not cut else b"".join(body[s:e] for s, e in zip([0, *(e for _, e in cut)], [*(s for s, _ in cut), len(body)], strict=True))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, chars_col: str | None = None) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, chars_col: str | None = None,
+) -> DataFrame:
     """The documents, all columns, their texts without the repeated bytes (a character cut in two is dropped); a null
     text stays null.  ``chars_col``: a column that holds the text's number of characters, set anew where that changes."""
     spans = repeated_spans(texts_of(docs, id_col, text_col), min_bytes)
     name = "spans"
     while name in docs.columns:
         name += "_"
-    same = (F.coalesce(F.col(f"d.`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col("s.rid")) & (F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))) == F.col("s.rhash"))
+    rid = F.coalesce(F.col(f"d.`{id_col}`").cast("long"), F.lit(NO_ID))
+    same = (rid == F.col("s.rid")) & (F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))) == F.col("s.rhash"))
     joined = docs.alias("d").join(spans.hint("shuffle_hash").alias("s"), same, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("s.spans").alias(name))
     place, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col else None
 

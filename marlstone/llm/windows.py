@@ -13,6 +13,7 @@ distances.  Consecutive windows with one anchor form a segment.  So:
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -145,6 +146,13 @@ def whole(ends: np.ndarray, n: int, first: int, w: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) == 0
 
 
+def trimmed() -> None:
+    """Gives memory that arrays have freed back to the system, where the C library can: a Python worker serves many tasks."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def batch_of(columns: list[np.ndarray | pa.Array], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[c.split()[0] for c in ddl.split(", ")])
 
