@@ -9,9 +9,10 @@ Neighbours in an order are candidates if their longest common prefix reaches ``d
 of more than ``REGION`` classes is read deeper, a minimum hash at a time, until its runs are small.  Runs become
 groups whose full sets are compared exactly; a group of too many shingles is first compared with common leaders.
 Then every region is looked at that was read deeper, or lies in such a group, and still holds classes that aren't
-connected: its classes go to the next forest, of longer prefixes and as many more trees as keep the same certainty, and
-in the last one to an exact comparison in blocks.  So no pair that shares a prefix is given up, and a region of
-documents that merely share a passage costs more signatures instead of all its pairs.
+connected: it is compared exactly in blocks where a task can hold it; else its classes go to the next forest, of longer
+prefixes and as many more trees as keep the same certainty, and in the last one to the comparison in blocks, too.  So no
+pair that shares a prefix is given up, and a region of documents that merely share a passage costs more signatures
+instead of all its pairs.
 
 A pair of similarity 0.8 shares no prefix in any tree of a forest with probability (1 - 0.8**depth)**trees, at most 3
 in a million; this is the only way to lose a link.
@@ -36,15 +37,17 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..sources.storage import scratch, stored
 from .recompression import blocks, words_of
-from .windows import NO_ID, batch_of, mixed, texts_of, twisted
+from .windows import NO_ID, batch_of, mixed, texts_of, trimmed, twisted
 
 SHINGLE, SIMILARITY = 4, 80
 #: Trees and depth of the forests, the first for all classes, the others for regions that need them.
 FORESTS = ((24, 4), (72, 8), (180, 12))
 #: Minimum hashes by which an order goes on beyond the depth; classes of a region that is not read deeper.
-MORE, REGION = 4, 2048
+MORE, REGION = 4, 8192
+#: Rows of the sorted orders that a task holds, 26 bytes each.
+TASK_ROWS = 4_000_000
 #: Shingles of the sets that one task compares at once; more are split.
-GROUP_SHINGLES = 2_000_000
+GROUP_SHINGLES = 1_000_000
 #: Leaders of a split group.
 LEADERS = 8
 LOWER = np.arange(256, dtype=np.uint8)
@@ -99,7 +102,8 @@ def signed(texts: DataFrame, k: int) -> DataFrame:
             for x, y in blocks(col, offs):
                 hashes, bounds = shingle_sets(data[offs[x] : offs[y]], offs[x + 1 : y + 1] - offs[x], k)
                 sizes = np.diff(bounds)
-                names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(hashes[s:e].tobytes()) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]), "<i8").reshape(-1, 2)
+                digests = [xxhash.xxh3_128_digest(hashes[s:e].tobytes()) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                names = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 rows = iter(signatures(hashes, bounds, 0))
                 sig = pa.array([next(rows).tobytes() if n else None for n in sizes], pa.binary())
                 yield batch_of([batch.column(0)[x:y], batch.column(1)[x:y], sizes, names[:, 0], names[:, 1], sig], ddl)
@@ -134,7 +138,7 @@ def orders(classes: DataFrame, forest: int) -> DataFrame:
             # A few rows at a time: a class has a row in every tree.
             for x in range(0, batch.num_rows, 2048):
                 cids = batch.column(0)[x : x + 2048].to_numpy()
-                sig = np.frombuffer(b"".join(batch.column(1)[x : x + 2048].to_pylist()), ">u2").reshape(len(cids), -1)
+                sig = fixed_rows(batch.column(1)[x : x + 2048])
                 seq = np.empty((len(cids), trees, 1 + depth + MORE), ">u2")
                 seq[:, :, 0], seq[:, :, 1:] = np.arange(trees), sig[:, read]
                 seq = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * seq.shape[2]), seq.shape[0] * trees, [None, pa.py_buffer(seq.tobytes())])
@@ -143,20 +147,28 @@ def orders(classes: DataFrame, forest: int) -> DataFrame:
     return classes.select("cid", "sig").mapInArrow(run, "seq binary, cid long")
 
 
+def fixed_rows(col: pa.Array) -> np.ndarray:
+    """A column of byte strings of one length as rows of 16-bit units."""
+    col = col.cast(pa.large_binary())
+    ends = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(">u2").reshape(len(col), -1)
+
+
 REGIONS = "cid long, region long, first long, deeper boolean, edge boolean"
 
 
-def regions(rows: DataFrame, depth: int, most: int) -> DataFrame:
+def regions(rows: DataFrame, depth: int, most: int, n_rows: int = 0) -> DataFrame:
     """``REGIONS`` of the sorted orders: for each class that shares ``depth`` minimum hashes with a neighbour, the
     region (named by these), the first class of the run it was put into, and whether the region was read deeper.
-    ``edge``: the first class of a task's first and last regions, which may go on in other tasks."""
+    ``edge``: the first class of a task's first and last regions, which may go on in other tasks.  ``n_rows``: rows
+    known to come, so that a task holds about ``TASK_ROWS`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         cid = np.concatenate([b.column(1).to_numpy() for b in got])
-        seq = np.frombuffer(b"".join([x for b in got for x in b.column(0).to_pylist()]), ">u2").reshape(len(cid), -1)
+        seq = np.concatenate([fixed_rows(b.column(0)) for b in got])
         prefix = np.zeros(len(cid), int)  # units in common with the row before
         prefix[1:] = np.logical_and.accumulate(seq[1:] == seq[:-1], axis=1).sum(axis=1)
 
@@ -179,7 +191,9 @@ def regions(rows: DataFrame, depth: int, most: int) -> DataFrame:
         out = (size > 1) | edge
         yield batch_of([cid[out], name[out].view(np.int64), first[out], (size > most)[out], edge[out]], REGIONS)
 
-    return rows.repartitionByRange("seq", "cid").sortWithinPartitions("seq", "cid").mapInArrow(run, REGIONS)
+    tasks = n_rows // TASK_ROWS
+    more = [tasks] if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    return rows.repartitionByRange(*more, "seq", "cid").sortWithinPartitions("seq", "cid").mapInArrow(run, REGIONS)
 
 
 def linked_parts(sets: list[np.ndarray], similarity: int) -> np.ndarray:
@@ -236,6 +250,7 @@ def confirmed(groups: DataFrame, k: int, similarity: int) -> DataFrame:
                 sets.append(shingle_sets(raw, np.array([len(raw)]), k)[0])
         if cids:
             yield decide()
+        trimmed()
 
     return groups.select("grp", "cid", "text").repartition("grp").sortWithinPartitions("grp", "cid").mapInArrow(run, "u long, v long")
 
@@ -251,7 +266,8 @@ def led(texts: DataFrame, large: DataFrame, near: DataFrame, k: int, similarity:
     large = large.withColumn("chunks", F.ceil(2 * F.col("total") / group_shingles)).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
     score = near.groupBy("cid").agg(F.count("*").alias("score"))
     slot = F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(LEADERS))
-    leads = large.join(score, "cid").withColumn("slot", slot).groupBy("grp", "chunks", "slot").agg(F.max_by(F.struct("cid", "rid", "rhash"), F.struct("score", "cid")).alias("x"))
+    best = F.max_by(F.struct("cid", "rid", "rhash"), F.struct("score", "cid")).alias("x")
+    leads = large.join(score, "cid").withColumn("slot", slot).groupBy("grp", "chunks", "slot").agg(best)
     leads = leads.select("grp", "x.*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     cols = ["grp", "chunk", "cid", "rid", "rhash"]
     rows = large.select(cols).unionByName(leads.select(cols)).withColumn("grp", F.xxhash64("grp", "chunk"))
@@ -273,10 +289,13 @@ def compared(texts: DataFrame, rest: DataFrame, k: int, similarity: int, group_s
     return confirmed(with_text(texts, every.select(grp, "cid", "rid", "rhash").unionByName(guests.select(grp, "cid", "rid", "rhash"))), k, similarity)
 
 
-def forest_links(texts: DataFrame, classes: DataFrame, known: DataFrame | None, forest: int, k: int, similarity: int, group_shingles: int, region: int) -> tuple[DataFrame, bool]:
+def forest_links(
+    texts: DataFrame, classes: DataFrame, known: DataFrame | None, forest: int, k: int, similarity: int, group_shingles: int, region: int,
+) -> tuple[DataFrame, bool]:
     """Links (u, v) of the classes (cid, rid, rhash, n_shingles, sig), and whether each class has one, to its part's
     first.  ``known``: (cid, root) of classes that are connected already."""
-    near = stored(regions(orders(classes, forest), FORESTS[forest][1], region), "regions")
+    trees, depth = FORESTS[forest]
+    near = stored(regions(orders(classes, forest), depth, region, classes.count() * trees), "regions")
     if known is not None:  # regions of one part are settled
         near = near.join(known, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         parts = near.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("region")
@@ -304,14 +323,23 @@ def forest_links(texts: DataFrame, classes: DataFrame, known: DataFrame | None,
     rest = stored(rest.join(parts, "region").join(classes.select("cid", "rid", "rhash", "n_shingles"), "cid"), "rest")
     if rest.isEmpty():
         return links, done
-    if forest + 1 == len(FORESTS):
+    # Regions that a task can hold, and all that the last forest leaves, are compared; the others go to the next forest.
+    sizes = rest.groupBy("region").agg(F.sum("n_shingles").alias("total"))
+    huge = sizes.filter(F.col("total") > group_shingles).select("region")
+    if forest + 1 == len(FORESTS) or huge.isEmpty():
         return links.unionByName(compared(texts, rest, k, similarity, group_shingles)), False
+    huge = stored(huge, "huge")
+    links = links.unionByName(compared(texts, rest.join(huge, "region", "left_anti"), k, similarity, group_shingles))
+    rest = stored(rest.join(huge, "region"), "rest")
     again = stored(signed_again(texts, rest.select("cid", "rid", "rhash", "n_shingles").distinct(), k, forest + 1), "again")
     roots = stored(rest.select("cid", "root").distinct(), "roots")
     return links.unionByName(forest_links(texts, again, roots, forest + 1, k, similarity, group_shingles, region)[0]), False
 
 
-def find_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY, group_shingles: int = GROUP_SHINGLES, region: int = REGION) -> DataFrame:
+def find_near_dups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY,
+    group_shingles: int = GROUP_SHINGLES, region: int = REGION,
+) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, rhash (the text's hash), stays.  ``similarity``:
     least 100 * intersection / union of linked sets.  ``stays`` marks one (doc_id, text) of each component, the least by
     doc_id (null last) and rhash, and all documents without a shingle."""
