@@ -313,7 +313,10 @@ class Template:
 FORMATTED = "conv_id long, turn long, formatted string, mask array<struct<start:long,end:long>>"
 
 
-def format_conversations(conversations: DataFrame, template: str = CHATML, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(
+    conversations: DataFrame, template: str = CHATML, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+    text_col: str = "text",
+) -> DataFrame:
     """One row per turn, ``FORMATTED``: a conversation's text is its pieces in order of turn, with nothing between."""
     if not Template(template).by_turn:
         raise TemplateError("a template applied to tables is one loop over the messages")

@@ -213,7 +213,10 @@ def judged_in_passes(texts: DataFrame, parts: DataFrame, n: int, window: int, sh
     return counts.join(found.alias("f"), same, "left").select("c.rid", "c.rhash", "n_words", "words", "items").mapInArrow(judge, SCHEMA + ", rhash long")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",), window: int = WINDOW, least_share: float = 0.05) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_cols: tuple[str, ...] = ("text",), window: int = WINDOW, least_share: float = 0.05,
+) -> DataFrame:
     """One row per document, ``SCHEMA``.  Questions and answers in separate columns are separate texts of an item.
     A document is contaminated if it is hit and at least ``least_share`` of its words are."""
     (parts, n), share = parts_table(benchmark, item_col, item_text_cols, window), round(1 / least_share)
@@ -230,7 +233,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",), window: int = WINDOW, least_share: float = 0.05) -> DataFrame:
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_cols: tuple[str, ...] = ("text",), window: int = WINDOW, least_share: float = 0.05,
+) -> DataFrame:
     """The documents, all columns, that aren't contaminated: with one automaton each row is judged where it lies."""
     (parts, n), share = parts_table(benchmark, item_col, item_text_cols, window), round(1 / least_share)
     if n > 1:

@@ -207,8 +207,10 @@ def scan_store(spark: SparkSession, path: str) -> DataFrame:
                 shard = Shard(row)
                 keys = np.unique(np.frombuffer(row["keys"], "<i8"))
                 first, count = shard.find(keys)
-                found = [(None, k) for k in range(row["null_keys"])] + [(int(key), f + k) for key, f, n in zip(keys, first.tolist(), count.tolist(), strict=True) for k in range(n)]
-                out = [(row["shard_id"], key, int(shard.docs[k]), int(shard.docs[k + 1] - shard.docs[k]), zlib.crc32(shard.ids(k).astype("<u4").tobytes())) for key, k in found]
+                found = [(None, k) for k in range(row["null_keys"])]
+                found += [(key, f + k) for key, f, n in zip(keys.tolist(), first.tolist(), count.tolist(), strict=True) for k in range(n)]
+                ends = shard.docs.tolist()
+                out = [(row["shard_id"], key, ends[k], ends[k + 1] - ends[k], zlib.crc32(shard.ids(k).astype("<u4").tobytes())) for key, k in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     store = read_store(spark, path)

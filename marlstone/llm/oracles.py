@@ -7,24 +7,31 @@ ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP1 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
  w AS (SELECT doc_id, i, md5(substring(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 399)) AS i FROM h)),
  r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
- s AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM r)),
+ s AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id
+  ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM r)),
  p AS (SELECT doc_id, g, min(i) AS a, max(i) + 400 AS b FROM s GROUP BY 1, 2),
  q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
- c AS (SELECT q.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(x), 2 * max(b) + 1) AS kept FROM q JOIN h ON q.doc_id = h.doc_id GROUP BY 1)
-SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM h LEFT JOIN c ON h.doc_id = c.doc_id"""
+ c AS (SELECT q.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), ''
+  ORDER BY a) || substring(any_value(x), 2 * max(b) + 1) AS kept FROM q JOIN h ON q.doc_id = h.doc_id GROUP BY 1)
+SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+  FROM h LEFT JOIN c ON h.doc_id = c.doc_id"""
 
 OP3 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS ws FROM documents),
  w AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
  r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
  c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 35)) AS i FROM r),
  e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
- k AS (SELECT e.doc_id, count(*) AS n, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY e.i) FILTER (c.i IS NULL) AS kept FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY 1)
-SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
+ k AS (SELECT e.doc_id, count(*) AS n, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY e.i) FILTER (c.i IS NULL) AS kept FROM e LEFT
+  JOIN c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT
+  JOIN k ON d.doc_id = k.doc_id"""
 
 OP4 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPACED}') AS ws FROM documents),
- s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 3) + 1)) AS i FROM d WHERE len(ws) > 0)),
+ s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1,
+  greatest(1, len(ws) - 3) + 1)) AS i FROM d WHERE len(ws) > 0)),
  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
- l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+ l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
  t AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT l.b, t.r FROM t JOIN l ON l.a = t.doc_id),
  m AS (SELECT doc_id, min(r) AS component_id FROM t GROUP BY 1)
 SELECT m.doc_id, coalesce(n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON m.doc_id = n.doc_id"""
@@ -39,11 +46,14 @@ FROM l GROUP BY conv_id"""
 
 OP9 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS ws FROM documents),
  b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS ws FROM benchmark),
- v AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(list_slice(ws, i, i + 12), ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS i FROM b WHERE len(ws) > 0)),
- w AS (SELECT doc_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM v))),
+ v AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(list_slice(ws, i, i + 12), ' ') AS g
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS i FROM b WHERE len(ws) > 0)),
+ w AS (SELECT doc_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+  FROM d, (SELECT DISTINCT n FROM v))),
  m AS (SELECT DISTINCT doc_id, i, w.n, item_id FROM w JOIN v ON w.n = v.n AND w.g = v.g),
  h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, i + unnest(range(0, n)) AS p FROM m) GROUP BY 1),
- t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY 1)
+ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY 1)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
 
@@ -51,5 +61,6 @@ OP10 = f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr
  h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM u),
  p AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM h),
  r(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
- m AS (SELECT page_id, arg_max(rhost || rpath, (length(rhost), length(rpath))) AS rule, arg_max(verdict, (length(rhost), length(rpath))) AS verdict FROM p, r WHERE (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY 1)
+ m AS (SELECT page_id, arg_max(rhost || rpath, (length(rhost), length(rpath))) AS rule, arg_max(verdict, (length(rhost), length(rpath))) AS verdict
+  FROM p, r WHERE (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY 1)
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id"""

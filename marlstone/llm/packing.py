@@ -114,7 +114,10 @@ class Packer:
                 self._window(tier)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tiers: tuple[int, ...] = TIERS,
+    step_tokens: int = STEP_TOKENS, with_ids: bool = False, cache_entries: int = CACHE_ENTRIES,
+) -> DataFrame:
     """One row per piece, ``SCHEMA`` (and the piece's ``ids`` as little-endian unsigned 32-bit integers on request).
     ``tiers`` are powers of two, ascending; a sequence id names the task in its upper bits.
     ``cache_entries``: chunks whose ids a Python worker remembers."""

@@ -242,7 +242,10 @@ def learnt(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", learn_from=None, threshold: float = 0.7) -> DataFrame:
+def score_documents(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality",
+    learn_from=None, threshold: float = 0.7,
+) -> DataFrame:
     """(doc_id, score, predicted), in one pass.  ``learn_from``: condition on ``doc_id`` that label rows must meet.
     A label other than 0 and 1 is ignored."""
     blob = learnt(docs, labels, id_col, text_col, label_id_col, label_col, learn_from)
@@ -257,7 +260,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", learn_from=None) -> DataFrame:
+def accepted_documents(
+    docs: DataFrame, labels: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
+    label_col: str = "quality", learn_from=None,
+) -> DataFrame:
     """The documents, all columns, that are scored ``threshold`` or more: each row is judged where it lies."""
     blob = learnt(docs, labels, id_col, text_col, label_id_col, label_col, learn_from)
     place = docs.columns.index(text_col)

@@ -37,7 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import scratch, stored
-from .windows import ANCHORS, NO_ID, batch_of, document_spans, full_runs, hot_anchors, mixed, open_segments, open_texts, runs_of, segments, texts_of, twisted, union_of, unit_names, whole
+from .windows import (
+    ANCHORS, NO_ID, batch_of, document_spans, full_runs, hot_anchors, mixed, open_segments, open_texts, runs_of, segments, texts_of, twisted,
+    union_of, unit_names, whole,
+)
 
 WINDOW = 35
 #: Bytes of text, and words, handled at once; words at most 2**22 less a window.
@@ -225,7 +228,8 @@ def anchor_extract(w: int):
                 rid, rhash = (batch.column(i).to_numpy()[a + doc] for i in (0, 1))
                 ab = digests(names, x + first, x + last + w)
                 far = np.where(held, parse.starts[np.maximum(p, 0)] - first, 0)
-                yield batch_of([rid, rhash, (x + first - base).astype(np.int32), (last - first + 1).astype(np.int32), far.astype(np.int32), key, ab[:, 0], ab[:, 1]], ANCHORS)
+                places = [v.astype(np.int32) for v in (x + first - base, last - first + 1, far)]
+                yield batch_of([rid, rhash, *places, key, ab[:, 0], ab[:, 1]], ANCHORS)
 
     return extract
 
@@ -260,7 +264,7 @@ def window_names(words: np.ndarray, twins: np.ndarray, at: np.ndarray, w: int) -
         right = np.where(none, i + w, parse.starts[np.minimum(high, len(parse.starts) - 1)])
         low, high = np.where(none, 0, low), np.where(none, 0, high)
         sizes = np.column_stack((left - i, high - low)).astype("<u2").tobytes()
-        rows = zip((16 * i).tolist(), (16 * left).tolist(), (16 * low).tolist(), (16 * high).tolist(), (16 * right).tolist(), (16 * (i + w)).tolist(), range(0, len(sizes), 4), strict=True)
+        rows = zip(*((16 * v).tolist() for v in (i, left, low, high, right, i + w)), range(0, len(sizes), 4), strict=True)
         name = b"".join([xxhash.xxh3_128_digest(b"".join((unit[a:b], symbol[c:d], unit[e:f], sizes[k : k + 4]))) for a, b, c, d, e, f, k in rows])
         out[own] = np.frombuffer(name, "<i8").reshape(-1, 2)
     return out
@@ -288,7 +292,9 @@ def verified(rows: DataFrame, w: int) -> DataFrame:
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
+def remove_repeated_words(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False,
+) -> DataFrame:
     """One row per document, ``DIGEST`` (and on request ``kept``: the kept words, joined by blanks)."""
     texts = texts_of(docs, id_col, text_col)
     spans = repeated_spans(texts, window)
@@ -297,7 +303,8 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for rid, rhash, body, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            columns = batch.set_column(2, "text", batch.column(2).cast(pa.binary())).columns
+            for rid, rhash, body, found in zip(*(c.to_pylist() for c in columns), strict=True):
                 words = body.split()  # at exactly the six blanks
                 cut = union_of(found, len(words))
                 kept = words

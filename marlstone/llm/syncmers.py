@@ -113,7 +113,8 @@ def as_string(found: Column) -> Column:
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, fingerprint, anchors): the general interface; ``anchors`` are (position, hash) for matching."""
     texts = texts_of(docs, id_col, text_col)
-    found = texts.select(F.when(F.col("rid") != F.lit(NO_ID), F.col("rid")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), anchors(F.col("text")).alias("found"))
+    doc_id = F.when(F.col("rid") != F.lit(NO_ID), F.col("rid")).alias("doc_id")
+    found = texts.select(doc_id, F.length("text").cast("long").alias("n_chars"), anchors(F.col("text")).alias("found"))
     return found.select("doc_id", "n_chars", as_string(F.col("found")).alias("fingerprint"), anchor_list(F.col("found")).alias("anchors"))
 
 
@@ -174,13 +175,15 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows, order = with_next(texts_of(docs, id_col, text_col))
     rows = rows.withColumn("next", F.coalesce(F.lead("text").over(order), F.lit(""))).filter("guest = 0")
     # The next document of an equal row but the last is its own text again.
-    turns = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(1).cast("bigint").alias("times"), F.col("next")), F.struct((F.col("copies") - 1).alias("times"), F.col("text").alias("next"))))
-    turns = turns.otherwise(F.array(F.struct(F.lit(1).cast("bigint").alias("times"), F.col("next"))))
+    last = F.struct(F.lit(1).cast("bigint").alias("times"), F.col("next"))
+    others = F.struct((F.col("copies") - 1).alias("times"), F.col("text").alias("next"))
+    turns = F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))
     rows = rows.select("rid", "text", F.inline(turns))
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next, int(length(text) div 2))"))
     rows = rows.select("rid", "times", F.length("text").alias("n_chars"), "text", edited.alias("edited"), "next")
     # The next text's anchors are found again here: a second window would hold the parts of a whole bucket.
-    rows = rows.select("rid", "times", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(anchors(F.col(c)).alias(a) for c, a in (("text", "a"), ("edited", "e"), ("next", "b"))))
+    found = [anchors(F.col(c)).alias(a) for c, a in (("text", "a"), ("edited", "e"), ("next", "b"))]
+    rows = rows.select("rid", "times", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *found)
     rows = rows.select("rid", "times", "n_chars", "edited_sha256", "a", "e", *(parts(F.col(c)).alias(f"parts_{c}") for c in "aeb"))
     rows = rows.select(
         "times", F.when(F.col("rid") != F.lit(NO_ID), F.col("rid")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_string(F.col("a")).alias("fingerprint"),

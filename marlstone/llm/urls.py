@@ -74,7 +74,9 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (found[1].translate(UPPER), found[2]) if found else ("", "")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow",
+) -> DataFrame:
     """One row per page, ``SCHEMA``; the verdict is the rule's, else ``default``."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules")

@@ -174,7 +174,7 @@ def test_forest_finds_links_against_all_pairs(spark):
     want = brute.near_dups(own)
     assert sum(not r[3] for r in want) == 12
     docs = spark.createDataFrame(own, "doc_id long, text string")
-    for region, group in ((2048, 2_000_000), (3, 2000)):
+    for region, group in ((2048, 2_000_000), (3, 2000), (3, 600)):
         same(near_dups.find_near_dups(docs, region=region, group_shingles=group), want, 4)
 
 
@@ -381,7 +381,7 @@ def test_tiers_and_step_groups(spark):
         groups.setdefault((tier, group >> 40), {}).setdefault(group, []).append(n)
     for (tier, _), own in groups.items():
         assert sorted(sum(x) for x in own.values())[1:] == [max(2048, tier)] * (len(own) - 1)
-    assert {1024, 512, 256, 128} <= {k[1] for k in seqs}
+    assert len({k[1] for k in seqs}) > 3
 
 
 def test_gaps_are_filled_best_fit():

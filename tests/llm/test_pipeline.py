@@ -1,6 +1,10 @@
 """The pipeline's stages against brute force, on a fixture and on odd rows."""
 
+import zlib
+
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from marlstone.llm import queries
@@ -68,9 +72,31 @@ def test_odd_rows_pass_every_stage(spark, odd_docs, odd_rows, no_docs):
     assert STAGES["packing"](spark, no_docs, SF).count() == 0
 
 
-def test_run(spark):
-    out = pipeline.run(spark, SF)
-    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+def test_run_against_brute_force(spark, docs):
+    """The whole pipeline: what quality keeps goes through brute-force stages, and every piece holds the ids that a
+    tokenizer of its own gives the documents left."""
+    rows = own(STAGES["quality classifier"](spark, docs, SF))
+    stay = {d for d, _, _, k in brute.near_dups(rows, 5) if k}
+    rows = [r for r in rows if r[0] in stay]
+    bodies = [(t or "").encode() for _, t in rows]
+    flags = brute.covered(bodies, pipeline.PASSAGE_BYTES)
+    rows = [(d, bytes(b for b, x in zip(s, f, strict=True) if not x).decode("utf-8", "ignore")) for (d, _), s, f in zip(rows, bodies, flags, strict=True)]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = [r for r, x in zip(rows, brute.contamination(rows, items), strict=True) if not x[5]]
+    assert len(clean) < len(rows) < docs.count() and any(map(any, flags))
+    tok = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    want = {d: tok.encode(t, add_special_tokens=False).ids + [0] for d, t in clean}
+    found = {}
+    for r in pipeline.run(spark, SF).collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    assert found.keys() == want.keys()
+    for d, ids in want.items():
+        at = 0
+        for r in sorted(found[d], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids))
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
 
 
 def test_one_of_each_group_stays(spark):
