@@ -158,7 +158,8 @@ def statement_slice(text: Column, start: Column, end: Column) -> Column:
 
 
 def size_label(n_bytes: Column) -> Column:
-    return F.when(n_bytes >= MB, F.format_string("%.2f MB", n_bytes / MB)).otherwise(F.format_string("%.1f KB", n_bytes / 1024))
+    """Half-even like all rounding here; the formatter alone would round halves up."""
+    return F.when(n_bytes >= MB, F.format_string("%.2f MB", F.bround(n_bytes / MB, 2))).otherwise(F.format_string("%.1f KB", F.bround(n_bytes / 1024, 1)))
 
 
 def duration_label(seconds: Column) -> Column:

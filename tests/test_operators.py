@@ -267,6 +267,12 @@ def test_datetime_columns_and_files(spark):
     assert gained["gained_gb"] == 2.0
 
 
+def test_size_labels_round_half_even(spark):
+    want = {428288: "418.2 KB", 428800: "418.8 KB", 1 << 20: "1.00 MB", 1234567: "1.18 MB", 131072 * 9: "1.12 MB"}
+    df = spark.createDataFrame([(n,) for n in want], "n long").select("n", rules.size_label(F.col("n")).alias("s"))
+    assert {r["n"]: r["s"] for r in df.collect()} == want == {n: f"{n / 2**20:.2f} MB" if n >= 1 << 20 else f"{n / 1024:.1f} KB" for n in want}
+
+
 def test_tool_version(spark):
     rows = spark.createDataFrame([("import os\nVERSION = \"1.4.2\"\n",), ("VERSION='2'",), ("x = 1",)], "value string")
     assert [r["version"] for r in history_json.tool_version(rows).collect()] == ["1.4.2", "2", ""]
