@@ -18,7 +18,9 @@ from .quality import score_documents
 from .recompression import remove_repeated_words
 from .suffix_dedup import remove_repeats
 from .syncmers import fingerprint_edits
+from .token_counts import count_tokens
 from .urls import judge_urls
+from .whitening import whiten, whole_numbers
 
 #: The rules of query 10.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -74,6 +76,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whole_numbers(F.col("embedding"), 64, 1_000_000).alias("x"))
+    return whiten(vectors)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -86,12 +97,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_decontamination": op9_decontamination,
         "op10_urls": op10_urls,
+        "op11_token_counts": op11_token_counts,
+        "op12_whitening": op12_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """None for op2 (its hashes), op5 and op7 (the tokenizer) and op6 (the classifier): tests hold them against brute
-    force, an exact round trip and held-out labels."""
+    """None for op2 (its hashes), op5, op7 and op11 (the tokenizer), op6 (the classifier) and op12 (eigenvectors): tests hold
+    them against brute force, an exact round trip, the library and held-out labels."""
     return {
         "op1_suffix_dedup": oracles.OP1,
         "op3_recompression": oracles.OP3,
