@@ -16,6 +16,7 @@ from .near_dups import find_near_dups
 from .packing import pack_documents
 from .quality import score_documents
 from .recompression import remove_repeated_words
+from .spelling import counted_words, group_spellings
 from .suffix_dedup import remove_repeats
 from .syncmers import fingerprint_edits
 from .token_counts import count_tokens
@@ -85,6 +86,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(vectors)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(counted_words(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_urls": op10_urls,
         "op11_token_counts": op11_token_counts,
         "op12_whitening": op12_whitening,
+        "op13_spelling": op13_spelling,
     }
 
 

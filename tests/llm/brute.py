@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 BLANKS = r"[^\x20\x09-\x0D]+"
@@ -106,3 +107,42 @@ def fingerprint_texts(rows):
         k = len(t) // 2
         out.append((d, len(t), sha(t[: len(t) - k] + n[:k])))
     return out
+
+
+def spelt_words(rows, least_chars=5, least_count=3, deletes=97):
+    count = Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if deletes and h % deletes == 0:
+                k = h % len(run)
+                run = run[:k] + run[k + 1 :]
+            count[run] += 1
+    return {w: n for w, n in count.items() if n >= least_count and len(w) >= least_chars}
+
+
+def one_edit(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
+
+
+def spellings(words, ratio=2):
+    """(word, form, root, n, n_near, form_n) by comparing all words."""
+    form, near = {}, {}
+    for w, n in words.items():
+        others = [(-m, v) for v, m in words.items() if one_edit(w, v)]
+        near[w] = len(others)
+        best = min(others, default=(0, None))
+        form[w] = best[1] if -best[0] >= ratio * n else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, near[w], words.get(form[w])))
+    return out

@@ -140,8 +140,9 @@ def test_numbers_beyond_64_bits(spark):
 
 def test_states_merge_as_one():
     rng = np.random.default_rng(6)
-    x = rng.integers(-1000, 1000, (500, 4)) + 10**12
+    small = rng.integers(-1000, 1000, (500, 4))
+    x = small + 10**12
     parts = [whitening.state_of(p) for p in np.array_split(x, 9)]
     out = whitening.pair_up(iter(parts))
-    whole = (x - x.mean(axis=0)).T @ (x - x.mean(axis=0))
+    whole = (small - small.mean(axis=0)).T @ (small - small.mean(axis=0))
     assert out.n == 500 and (out.sums == x.sum(axis=0)).all() and np.allclose(out.scatter, whole, rtol=1e-12)
