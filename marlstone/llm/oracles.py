@@ -64,3 +64,29 @@ OP10 = f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr
  m AS (SELECT page_id, arg_max(rhost || rpath, (length(rhost), length(rpath))) AS rule, arg_max(verdict, (length(rhost), length(rpath))) AS verdict
   FROM p, r WHERE (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY 1)
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id"""
+
+
+def crc_table() -> list[int]:
+    """Of the reflected polynomial EDB88320: what each byte adds to a checksum."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+OP13 = f"""WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{5,}}')), '{UPPER}', '{LOWER}') AS w FROM documents),
+ d AS (SELECT w, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM r GROUP BY doc_id, w),
+ h AS (SELECT w, c, xor(4294967295::BIGINT, list_reduce(list_transform(range(1, length(x), 2), lambda i: ('0x' || substring(x, i, 2))::BIGINT),
+  lambda s, b: xor(s >> 8, {crc_table()}[xor(s & 255, b) + 1]), 4294967295::BIGINT)) AS h FROM d),
+ n AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, sum(c)::BIGINT AS n FROM h GROUP BY 1
+  HAVING sum(c) >= 3 AND length(word) >= 5),
+ x AS (SELECT word, n, i, left(word, i - 1) || substring(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM n)),
+ e AS (SELECT a.word AS a, b.word AS b, b.n FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, n.word, n.n FROM x JOIN n ON x.cut = n.word UNION SELECT n.word, x.word, x.n FROM x JOIN n ON x.cut = n.word),
+ f AS (SELECT a, count(*) AS n_near, min({{'less': -n, 'form': b}}) AS best FROM e GROUP BY 1),
+ g AS (SELECT word, CASE WHEN -best.less >= 2 * n THEN best.form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * n THEN -best.less END AS form_n
+  FROM n LEFT JOIN f ON word = a),
+ t(word, reached) AS (SELECT word, word FROM g UNION ALL SELECT t.word, g.form FROM t JOIN g ON t.reached = g.word WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, t.reached AS root, g.n, g.n_near, g.form_n FROM g JOIN t ON t.word = g.word JOIN g q ON q.word = t.reached AND q.form IS NULL"""

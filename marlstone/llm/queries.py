@@ -118,4 +118,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat": oracles.OP8,
         "op9_decontamination": oracles.OP9,
         "op10_urls": oracles.OP10,
+        "op13_spelling": oracles.OP13,
     }
