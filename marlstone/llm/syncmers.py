@@ -30,37 +30,58 @@ from .windows import NO_ID, texts_of
 
 #: Characters of a word and of a word in a longer run, words of a k-mer.
 WORD, PART, K = 24, 8, 4
-#: A word is group 1.
-WORDS = rf"(?=((?<!\S)\S{{1,{WORD}}}+(?!\S)|\S{{1,{PART}}}))(?:(?<!\S)\S{{1,{WORD}}}+(?!\S)|\S)"
+#: The words of a longer run, as group 1.
+LONG = rf"(?=(\S{{1,{PART}}}))\S"
+#: A text's last run, and the first, which may be empty.
+LAST, FIRST = r"(?<!\S)\S*+\z", r"^\S*+"
 #: Documents of a bucket of neighbouring ids; buckets beyond which these grow instead.
 BUCKET_DOCS, MAX_BUCKETS = 1500, 1 << 17
 
 
+def no_words() -> Column:
+    return F.array().cast("array<bigint>")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def anchors(text: Column) -> Column:
-    """The anchors of a text in order, as array<bigint>; null where the k-mer at that word is no closed syncmer."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORDS), F.lit(1)), lambda w: F.xxhash64(w))
+def words_of(run: Column) -> Column:
+    """The hashes of the words of a run without white space, array<bigint>: one of up to ``WORD`` characters is a word."""
+    long = F.transform(F.regexp_extract_all(run, F.lit(LONG), F.lit(1)), lambda w: F.xxhash64(w))
+    return F.when(run == "", no_words()).when(F.length(run) <= WORD, F.array(F.xxhash64(run))).otherwise(long)
 
-    def of_pairs(s: Column) -> Column:
-        n = F.size(s) - 2
 
+def kmers(h: Column) -> Column:
+    """The closed syncmers of words (their hashes) in order, as array<bigint>; null where the k-mer at that word is none."""
+
+    def of_pairs(s: Column) -> Column:
         def kmer(i: Column) -> Column:
             inner = F.get(s, i + 1)
             return F.when((inner >= F.get(s, i)) | (inner >= F.get(s, i + 2)), F.xxhash64(F.get(s, i), F.get(s, i + 2)))
 
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), kmer)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(F.sequence(F.lit(0), F.size(s) - 3), kmer)
 
-    def of_words(h: Column) -> Column:
-        pairs = F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
-        few = F.array(F.aggregate(h, F.lit(0).cast("bigint"), lambda acc, x: F.xxhash64(acc, x)))
-        some = let(let(pairs, of_pairs), lambda found: F.when(F.exists(found, lambda x: x.isNotNull()), found).otherwise(few))
-        return F.when(F.size(h) >= K, some).when(F.size(h) > 0, few).otherwise(F.array().cast("array<bigint>"))
+    pairs = F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(h) >= K, let(pairs, of_pairs)).otherwise(no_words())
 
-    return let(words, of_words)
+
+def with_fallback(found: Column, h: Column) -> Column:
+    """``found``, or one anchor, the whole sequence, where words have no closed syncmer."""
+    few = F.array(F.aggregate(h, F.lit(0).cast("bigint"), lambda acc, x: F.xxhash64(acc, x)))
+    return F.when(F.exists(found, lambda x: x.isNotNull()) | (F.size(h) == 0), found).otherwise(few)
+
+
+def hashed(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``texts`` with ``sizes``, the number of words between white-space characters, ``words``, their hashes, ``kmers``,
+    their closed syncmers, and ``found``, the anchors: each text is read once."""
+    texts = texts.withColumn("runs", F.split(text, r"\s", -1))
+    texts = texts.withColumn("words", F.flatten(F.transform("runs", words_of)))
+    small = lambda r: F.when(r == "", 0).when(F.length(r) <= WORD, 1).otherwise(F.length(r))
+    texts = texts.withColumn("sizes", F.transform("runs", small)).drop("runs")
+    texts = texts.withColumn("kmers", kmers(F.col("words")))
+    return texts.withColumn("found", with_fallback(F.col("kmers"), F.col("words")))
 
 
 def anchor_list(found: Column) -> Column:
@@ -69,9 +90,9 @@ def anchor_list(found: Column) -> Column:
 
 
 def counted(values: Column) -> Column:
-    """An array's values made distinct: the k-th of equal ones becomes a hash of itself and k."""
+    """An array's values made distinct: the first of equal ones stays, of the others the k-th becomes a hash of itself and k."""
 
-    def runs(s: Column) -> Column:
+    def numbered(s: Column) -> Column:
         first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
 
         def number(st: Column) -> Column:
@@ -83,7 +104,8 @@ def counted(values: Column) -> Column:
 
         return let(first, number)
 
-    return let(F.sort_array(values), runs)
+    again = let(F.sort_array(values), lambda s: F.filter(s, lambda x, i: x == F.get(s, i - 1)))
+    return let(F.array_distinct(values), lambda d: F.when(F.size(d) == F.size(values), d).otherwise(F.concat(d, let(again, numbered))))
 
 
 def parts(found: Column) -> Column:
@@ -96,7 +118,7 @@ def parts(found: Column) -> Column:
         hashes = F.transform(p, lambda x: x["hash"])
         return F.when(n > 0, F.concat(hashes, links)).otherwise(hashes)
 
-    return counted(let(anchor_list(found), linked))
+    return let(let(anchor_list(found), linked), counted)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,10 +134,9 @@ def as_string(found: Column) -> Column:
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, fingerprint, anchors): the general interface; ``anchors`` are (position, hash) for matching."""
-    texts = texts_of(docs, id_col, text_col)
+    texts = hashed(texts_of(docs, id_col, text_col))
     doc_id = F.when(F.col("rid") != F.lit(NO_ID), F.col("rid")).alias("doc_id")
-    found = texts.select(doc_id, F.length("text").cast("long").alias("n_chars"), anchors(F.col("text")).alias("found"))
-    return found.select("doc_id", "n_chars", as_string(F.col("found")).alias("fingerprint"), anchor_list(F.col("found")).alias("anchors"))
+    return texts.select(doc_id, F.length("text").cast("long").alias("n_chars"), as_string(F.col("found")).alias("fingerprint"), anchor_list(F.col("found")).alias("anchors"))
 
 
 def bucket_of(cuts: list[tuple[int, int]]) -> Column:
@@ -169,25 +190,54 @@ def with_next(texts: DataFrame) -> tuple[DataFrame, Window]:
     return rows, Window.partitionBy("bucket").orderBy("guest", F.col("rid").desc(), F.col("rhash").desc())
 
 
+def joined(rows: DataFrame) -> DataFrame:
+    """``rows`` (sizes, words, kmers and the same of ``next``, head, tail) with ``kmers_e``, ``words_e`` of head + tail, where
+    head starts the row's text and tail the next one's.  Words that white space ends on both sides are taken from the texts
+    they come from, and so are the k-mers of such words; only those that reach over a cut are hashed."""
+    c = F.col
+    total = lambda values: F.aggregate(values, F.lit(0), lambda s, x: s + x)
+    rows = rows.withColumn("gaps", F.regexp_count("tail", F.lit(r"\s")))
+    # Words before the head's last run; words of the tail's first run; words of its runs up to the last.
+    rows = rows.withColumn("a", total(F.slice("sizes", F.lit(1), F.regexp_count("head", F.lit(r"\s")))))
+    inner = c("gaps") > 0
+    rows = rows.withColumn("f", F.when(inner, F.get(c("next.sizes"), F.lit(0))).otherwise(0))
+    rows = rows.withColumn("b", F.when(c("gaps") > 1, total(F.slice(c("next.sizes"), F.lit(2), c("gaps") - 1))).otherwise(0))
+    rows = rows.withColumn("seam", words_of(F.concat(F.regexp_extract("head", LAST, 0), F.regexp_extract("tail", FIRST, 0))))
+    rows = rows.withColumn("rest", F.when(inner, words_of(F.regexp_extract("tail", LAST, 0))).otherwise(no_words()))
+    own, then = c("words"), c("next.words")
+    rows = rows.withColumn("words_e", F.concat(F.slice(own, F.lit(1), c("a")), "seam", F.slice(then, c("f") + 1, c("b")), "rest"))
+    near = K - 1
+    across = kmers(F.concat(F.slice(own, F.greatest(c("a") - near, F.lit(0)) + 1, F.lit(near)), "seam", F.slice(then, c("f") + 1, F.lit(near))))
+    after = kmers(F.concat(F.slice(then, F.greatest(c("f") + c("b") - near, F.lit(0)) + 1, F.lit(near)), "rest"))
+    kept = F.concat(F.slice("kmers", F.lit(1), F.greatest(c("a") - near, F.lit(0))), across, F.slice(c("next.kmers"), c("f") + 1, F.greatest(c("b") - near, F.lit(0))), after)
+    # Few words on a side: both cuts may fall into one k-mer.
+    return rows.withColumn("kmers_e", F.when((c("a") >= near) & (c("b") >= 2 * near), kept).otherwise(kmers(c("words_e"))))
+
+
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, that of its edited text (its later half replaced by the start of the next document,
     descending id), and their likeness."""
     rows, order = with_next(texts_of(docs, id_col, text_col))
-    rows = rows.withColumn("next", F.coalesce(F.lead("text").over(order), F.lit(""))).filter("guest = 0")
+    # Texts are dealt before their words are hashed; the window then needs no other shuffle.
+    rows = hashed(rows.repartition("bucket")).withColumn("parts", parts(F.col("found")))
+    carried = ("text", "sizes", "words", "kmers", "parts")
+    rows = rows.withColumn("next", F.lead(F.struct(*carried)).over(order)).filter("guest = 0")
+    # A bucket's last row has none only if the table has one row, whose next text is then empty.
+    none = F.struct(F.lit("").alias("text"), F.array(F.lit(0)).alias("sizes"), no_words().alias("words"), no_words().alias("kmers"), no_words().alias("parts"))
+    last = F.struct(F.lit(1).cast("bigint").alias("times"), F.coalesce("next", none).alias("next"))
     # The next document of an equal row but the last is its own text again.
-    last = F.struct(F.lit(1).cast("bigint").alias("times"), F.col("next"))
-    others = F.struct((F.col("copies") - 1).alias("times"), F.col("text").alias("next"))
+    others = F.struct((F.col("copies") - 1).alias("times"), F.struct(*carried).alias("next"))
     turns = F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))
-    rows = rows.select("rid", "text", F.inline(turns))
-    edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next, int(length(text) div 2))"))
-    rows = rows.select("rid", "times", F.length("text").alias("n_chars"), "text", edited.alias("edited"), "next")
-    # The next text's anchors are found again here: a second window would hold the parts of a whole bucket.
-    found = [anchors(F.col(c)).alias(a) for c, a in (("text", "a"), ("edited", "e"), ("next", "b"))]
-    rows = rows.select("rid", "times", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *found)
-    rows = rows.select("rid", "times", "n_chars", "edited_sha256", "a", "e", *(parts(F.col(c)).alias(f"parts_{c}") for c in "aeb"))
+    rows = rows.select("rid", "text", "sizes", "words", "kmers", "found", "parts", F.inline(turns))
+    head, tail = F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next.text, int(length(text) div 2))")
+    rows = joined(rows.withColumn("head", head).withColumn("tail", tail))
     rows = rows.select(
-        "times", F.when(F.col("rid") != F.lit(NO_ID), F.col("rid")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_string(F.col("a")).alias("fingerprint"),
-        as_string(F.col("e")).alias("edited_fingerprint"), likeness(F.col("parts_a"), F.col("parts_e")).alias("near_edited"), likeness(F.col("parts_a"), F.col("parts_b")).alias("near_next"),
+        "rid", "times", F.length("text").cast("long").alias("n_chars"), F.sha2(F.concat("head", "tail"), 256).alias("edited_sha256"), as_string(F.col("found")).alias("fingerprint"),
+        "parts", likeness(F.col("parts"), F.col("next.parts")).alias("near_next"), with_fallback(F.col("kmers_e"), F.col("words_e")).alias("edited"),
     )
+    rows = rows.withColumn("edited_parts", parts(F.col("edited")))
     again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("turn")
-    return rows.select("*", again).drop("times", "turn")
+    return rows.select(
+        F.when(F.col("rid") != F.lit(NO_ID), F.col("rid")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", as_string(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("parts"), F.col("edited_parts")).alias("near_edited"), "near_next", again,
+    ).drop("turn")

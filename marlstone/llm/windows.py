@@ -207,9 +207,11 @@ def full_runs(segs: DataFrame) -> DataFrame:
 
 
 def document_spans(anchors: DataFrame, runs: DataFrame, w: int) -> DataFrame:
-    """(rid, rhash, spans): the units that repeated windows cover, as possibly overlapping (start, end)."""
+    """(rid, rhash, spans): the units that repeated windows cover, as possibly overlapping (start, end).  Rows of one id and
+    text have the same spans, each of which is listed once however many rows there are."""
     hits = anchors.select("rid", "rhash", "at", "key", "a", "b").join(runs, ["key", "a", "b"])
     spans = hits.selectExpr("rid", "rhash", f"inline(transform(runs, r -> named_struct('start', at + r.lo, 'end', at + r.hi + {w})))")
+    spans = spans.distinct()
     return spans.groupBy("rid", "rhash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

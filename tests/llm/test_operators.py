@@ -53,6 +53,22 @@ def test_one_row_of_runs_a_segment(spark):
     same(suffix_dedup.remove_repeats(spark.createDataFrame(own, "doc_id long, text string"), min_bytes=60, max_segments=3), brute.suffix_dedup(own, 60))
 
 
+def test_spans_of_many_copies_of_a_row(spark):
+    """The spans of a row are the same however often the row repeats, so the work grows with the rows alone."""
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(470))
+    sizes = {}
+    for copies in (100, 400):
+        own = [(None, text)] * copies + [(1, text[300:900]), (2, "other words " * 9)]
+        docs = spark.createDataFrame(own, "doc_id long, text string")
+        texts = windows.texts_of(docs, "doc_id", "text")
+        for name, op, found in (("bytes", suffix_dedup, suffix_dedup.repeated_spans(texts, 400)), ("words", recompression, recompression.repeated_spans(texts, 35))):
+            sizes.setdefault(name, set()).add(found.agg(F.max(F.size("spans"))).first()[0])
+        same(suffix_dedup.remove_repeats(docs), brute.suffix_dedup(own, 400))
+        same(recompression.remove_repeated_words(docs), brute.word_dedup(own, 35))
+    assert all(len(s) == 1 for s in sizes.values())
+
+
 def test_suffix_array_blocks():
     rng = random.Random(1)
     for _ in range(200):
@@ -257,9 +273,30 @@ def test_long_runs_keep_anchors_after_an_insertion(spark):
         docs = spark.createDataFrame([(1, run[:5] + "x" + run[5:]), (2, run)], "doc_id long, text string")
         assert all(0.9 < r["near_next"] < 1 for r in syncmers.fingerprint_edits(docs).collect())
     words = spark.createDataFrame([("ab " + "c" * 24 + "\n" + "0123456789" * 2 + "abcde \U0001f600\u00e9",)], "t string")
-    got = words.select(F.regexp_extract_all("t", F.lit(syncmers.WORDS), F.lit(1))).first()[0]
+    got = syncmers.hashed(words, "t").first()
     long = "0123456789" * 2 + "abcde"
-    assert got == ["ab", "c" * 24, *(long[i : i + 8] for i in range(25)), "\U0001f600\u00e9"]
+    want = spark.createDataFrame([(w,) for w in ["ab", "c" * 24, *(long[i : i + 8] for i in range(25)), "\U0001f600\u00e9"]], "w string")
+    assert got["words"] == [r[0] for r in want.select(F.xxhash64("w")).collect()] and got["sizes"] == [1, 1, 25, 1]
+
+
+def test_edited_texts_have_the_anchors_of_their_whole(spark, monkeypatch):
+    """Anchors cut and joined are those of the edited text read as a whole, wherever the cuts fall."""
+    monkeypatch.setattr(syncmers, "BUCKET_DOCS", 50)
+    rng = random.Random(9)
+    pieces = ["ab", "c", " ", "  ", "\n", "\x0b", "é" * 30, "q" * 24, "w" * 25, " xyz", " one two three four five six "]
+    own = {i: "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for i in range(800)}
+    found = {r["doc_id"]: r for r in syncmers.fingerprint_edits(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()}
+    order = sorted(own, reverse=True)
+    edited = {}
+    for d, n in zip(order, order[1:] + order[:1]):
+        k = len(own[d]) // 2
+        edited[d] = own[d][: len(own[d]) - k] + own[n][:k]
+    whole = {r["doc_id"]: r for r in syncmers.fingerprint(spark.createDataFrame(list(edited.items()), "doc_id long, text string")).collect()}
+    first = {r["doc_id"]: r for r in syncmers.fingerprint(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()}
+    for d in order:
+        assert (found[d]["fingerprint"], found[d]["edited_fingerprint"]) == (first[d]["fingerprint"], whole[d]["fingerprint"])
+        a, b = parts_of(first[d]["anchors"]), parts_of(whole[d]["anchors"])
+        assert abs(found[d]["near_edited"] - ((a & b).total() / (a | b).total() if a or b else 1)) < 1e-12
 
 
 def test_fingerprints_of_buckets_and_ties(spark, monkeypatch):
