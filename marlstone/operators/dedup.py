@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +10,8 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from .graph import components
+from .signatures import classes_of, near_classes
 
-#: Most bands of a 64-bit signature.
-BANDS = 8
 #: Items of a component whose leaders are found by one scan.
 MOST_ITEMS = 1_000_000
 
@@ -33,27 +31,22 @@ def adjacent_pairs(rows: DataFrame, key: str, item: str) -> DataFrame:
 
 def keep_delete(rows: DataFrame, key: str, item: str, order: list[Column]) -> DataFrame:
     """(keep, dup): each item but the first of its group in ``order``, with that first.  The first is a map-side
-    combined minimum, so that a group of any size is never sorted or gathered in one task."""
+    combined minimum, so that a group of any size is never sorted or gathered in one task; it is a table before it is
+    joined, so that adaptive execution can deal the rows of such a group over tasks."""
     rank = F.struct(*order, F.col(item))
     first = rows.groupBy(key).agg(F.min(rank).alias("r"), F.count("*").alias("n")).filter("n > 1").select(key, F.col(f"r.{item}").alias("keep"))
-    return rows.join(first, key).filter(F.col(item) != F.col("keep")).select("keep", F.col(item).alias("dup"))
+    return rows.select(key, item).join(stored(first, "first"), key).filter(F.col(item) != F.col("keep")).select("keep", F.col(item).alias("dup"))
 
 
 def near_pairs(sigs: DataFrame, item: str, sig: str, threshold: int) -> DataFrame:
-    """(a, b, distance): signatures of 64 bits at most ``threshold`` bits apart, a < b.
-
-    Two such signatures differ by at most ``threshold // bands`` bits in one of ``bands`` bands: one side is looked up
-    under every band value within that distance, the other under its own, and candidates are verified."""
-    bands = min(threshold + 1, BANDS)
-    width, near = -(-64 // bands), threshold // bands
-    masks = [sum(1 << i for i in c) for k in range(near + 1) for c in combinations(range(width), k)]
-    own = sigs.select(F.col(item).alias("id"), F.col(sig).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    own = own.withColumn("v", F.expr(f"shiftrightunsigned(s, band * {width})").bitwiseAND(F.lit((1 << width) - 1 if width < 63 else -1)))
-    wide = own.select(F.col("id").alias("a"), F.col("s").alias("sa"), "band", F.explode(F.array(*map(F.lit, masks))).alias("mask"), F.col("v").alias("v0"))
-    wide = wide.withColumn("v", F.col("v0").bitwiseXOR(F.col("mask").cast("bigint"))).drop("mask", "v0")
-    found = wide.join(own.select(F.col("id").alias("b"), F.col("s").alias("sb"), "band", "v"), ["band", "v"])
-    distance = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
-    return found.filter((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.alias("distance")).distinct()
+    """(a, b, distance): signatures of 64 bits at most ``threshold`` bits apart, a < b, in which every two members of near
+    classes are listed, as asked; :func:`near_classes` and :func:`members` grow with the items instead."""
+    classes = classes_of(sigs, item, sig)
+    own = stored(sigs.select(F.col(item).alias("x"), F.col(sig).alias("s")).join(classes.select("s", "id"), "s").select("x", "id"), "members")
+    pairs = near_classes(classes, threshold).unionByName(classes.filter("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")))
+    found = pairs.join(own.select(F.col("id").alias("a"), F.col("x")), "a").join(own.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
+    once = (F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))
+    return found.filter(once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def leader_clusters(pairs: DataFrame, items: DataFrame, item: str, most: int = MOST_ITEMS) -> DataFrame:
@@ -115,9 +108,9 @@ def _leaders_by_rounds(known: DataFrame) -> DataFrame:
 def signature_clusters(sigs: DataFrame, item: str, sig: str, threshold: int) -> DataFrame:
     """(leader, member) of the leader clusters of signatures.  Items with one signature are clustered as its first item:
     the others join the leader that item has, or is, so copies are never paired with each other."""
-    firsts = stored(sigs.groupBy(sig).agg(F.min(item).alias("id")), "firsts")
-    led = leader_clusters(near_pairs(firsts, "id", sig, threshold), firsts, "id").withColumnRenamed("member", "id")
-    leader = firsts.join(led, "id", "left").select(sig, F.coalesce("leader", "id").alias("leader"))
+    firsts = classes_of(sigs, item, sig)
+    led = leader_clusters(near_classes(firsts, threshold), firsts, "id").withColumnRenamed("member", "id")
+    leader = stored(firsts.join(led, "id", "left").select(F.col("s").alias(sig), F.coalesce("leader", "id").alias("leader")), "leaders")
     return sigs.join(leader, sig).filter(F.col(item) != F.col("leader")).select("leader", F.col(item).alias("member"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import decisions, dedup, history, predict, recovery, search
+from ..operators import decisions, dedup, history, predict, recovery, search, signatures
 from ..sources import media
 from ..sources.storage import table
 from .registry import query
@@ -72,40 +72,99 @@ def dup_live_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 BITS = "array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '')"
 
 
-def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", rules.sign_bits(F.col("embedding")).alias("sig"))
-
-
 @query(f"SELECT {BITS} AS bits, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY 1")
 def sig_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = signatures(spark, sf_dir).groupBy("sig").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+    sigs = table(spark, sf_dir, "embeddings").select("vec_id", rules.sign_bits(F.col("embedding")).alias("sig"))
+    groups = sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
     return groups.select(F.lpad(F.bin("sig"), 64, "0").alias("bits"), "n", "first_id")
 
 
-#: Bits that near signatures may differ in.
-NEAR_BITS = 18
+#: Bits that near signatures may differ in, and words of a part of a document that has a signature of its own.
+NEAR_BITS, PART_WORDS = 6, 100
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("i", "word"))
+
+
+def document_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with words and the signature of these."""
+    return signatures.word_signatures(document_words(spark, sf_dir), ["doc_id"])
+
+
+def part_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the signatures of its parts, in order, as an image's frames have them."""
+    words = document_words(spark, sf_dir).withColumn("part", F.floor(F.col("i") / PART_WORDS))
+    parts = signatures.word_signatures(words, ["doc_id", "part"])
+    sigs = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "sig"))).alias("parts"))
+    return sigs.select("doc_id", F.transform("parts", lambda x: x["sig"]).alias("sigs"))
+
+
+SIGNED = "bit_or(CASE WHEN 2 * ones > n THEN 1::UBIGINT << i ELSE 0::UBIGINT END)"
+
 
+def signature_sql(keys: str) -> str:
+    """(keys, sig): the words' bits are counted one place at a time."""
+    return f"""SELECT {keys}, {SIGNED} AS sig FROM (SELECT {keys}, i, count(*) AS n, sum((h >> i) & 1) AS ones
+  FROM (SELECT {keys}, ('0x' || left(md5(word), 16))::UBIGINT AS h, unnest(range(0, 64))::UBIGINT AS i FROM w) GROUP BY ALL) GROUP BY ALL"""
 
-@query(f"""WITH s AS (SELECT vec_id, {BITS} AS bits FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, hamming(a.bits, b.bits)::INT AS distance FROM s a
- JOIN s b ON a.vec_id < b.vec_id WHERE hamming(a.bits, b.bits) <= {NEAR_BITS}""")
+
+WORD_SQL = f"""w AS (SELECT doc_id, unnest(ws) AS word, (unnest(range(0, len(ws))) // {PART_WORDS})::INT AS part
+  FROM (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS ws FROM documents WHERE text IS NOT NULL))"""
+CLASS_SQL = f"{WORD_SQL}, s AS ({signature_sql('doc_id')}), c AS (SELECT sig, min(doc_id) AS id, count(*) AS n FROM s GROUP BY 1)"
+
+
+@query(f"""WITH {CLASS_SQL} SELECT a.id AS a, b.id AS b, bit_count(xor(a.sig, b.sig))::INT AS distance FROM c a
+ JOIN c b ON a.id < b.id WHERE bit_count(xor(a.sig, b.sig)) <= {NEAR_BITS}""")
 def sig_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_pairs(signatures(spark, sf_dir), "vec_id", "sig", NEAR_BITS)
+    """Near signatures, each by the least document that has it; :func:`sig_members` lists who else has."""
+    return signatures.near_classes(signatures.classes_of(document_signatures(spark, sf_dir), "doc_id", "sig"), NEAR_BITS)
+
+
+@query(f"WITH {CLASS_SQL} SELECT doc_id, id AS class_id FROM s JOIN c ON s.sig = c.sig")
+def sig_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.members(document_signatures(spark, sf_dir), "doc_id", "sig")
+
+
+@query(f"""WITH {WORD_SQL}, p AS ({signature_sql('doc_id, part')}), s AS (SELECT doc_id, list(sig ORDER BY part) AS sigs FROM p GROUP BY 1),
+ c AS (SELECT sigs, len(sigs) AS k, min(doc_id) AS id FROM s GROUP BY 1),
+ d AS (SELECT a.id AS a, b.id AS b, round_even(list_sum(list_transform(range(1, greatest(a.k, b.k) + 1),
+  lambda i: bit_count(xor(a.sigs[least(i, a.k)], b.sigs[least(i, b.k)]))::INT)) / greatest(a.k, b.k)::DOUBLE, 0)::INT AS distance FROM c a JOIN c b ON a.id < b.id)
+ SELECT a, b, distance FROM d WHERE distance <= {NEAR_BITS}""")
+def sig_array_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose parts are near, place by place, the shorter document padded with its last part."""
+    return signatures.near_arrays(signatures.classes_of(part_signatures(spark, sf_dir), "doc_id", "sigs"), NEAR_BITS)
 
 
 #: The items in order, each with the earlier ones near it; a step of the recursion adds an item to the leaders or not.
-LEADERS_SQL = f"""WITH RECURSIVE s AS (SELECT vec_id::BIGINT AS vec_id, {BITS} AS bits, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),
- near AS (SELECT b.rn AS rn, list(a.vec_id) AS ids FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE hamming(a.bits, b.bits) <= {NEAR_BITS} GROUP BY 1),
- st AS (SELECT s.rn, s.vec_id, coalesce(near.ids, []::BIGINT[]) AS ids FROM s LEFT JOIN near ON near.rn = s.rn),
+LEADERS_SQL = f"""WITH RECURSIVE {WORD_SQL}, s AS (SELECT doc_id, sig, row_number() OVER (ORDER BY doc_id) AS rn FROM ({signature_sql('doc_id')})),
+ near AS (SELECT b.rn AS rn, list(a.doc_id) AS ids FROM s a JOIN s b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.sig, b.sig)) <= {NEAR_BITS} GROUP BY 1),
+ st AS (SELECT s.rn, s.doc_id, coalesce(near.ids, []::BIGINT[]) AS ids FROM s LEFT JOIN near ON near.rn = s.rn),
  r AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS leaders
-  UNION ALL SELECT r.rn + 1, CASE WHEN list_has_any(r.leaders, st.ids) THEN r.leaders ELSE list_append(r.leaders, st.vec_id) END FROM r
+  UNION ALL SELECT r.rn + 1, CASE WHEN list_has_any(r.leaders, st.ids) THEN r.leaders ELSE list_append(r.leaders, st.doc_id) END FROM r
   JOIN st ON st.rn = r.rn + 1),
  l AS (SELECT leaders FROM r ORDER BY rn DESC LIMIT 1)
- SELECT list_min(list_intersect(l.leaders, st.ids)) AS leader, st.vec_id AS member FROM st, l WHERE list_has_any(l.leaders, st.ids)"""
+ SELECT list_min(list_intersect(l.leaders, st.ids)) AS leader, st.doc_id AS member FROM st, l WHERE list_has_any(l.leaders, st.ids)"""
 
 
 @query(LEADERS_SQL)
 def sig_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.signature_clusters(signatures(spark, sf_dir), "vec_id", "sig", NEAR_BITS)
+    return dedup.signature_clusters(document_signatures(spark, sf_dir), "doc_id", "sig", NEAR_BITS)
+
+
+#: Rows y, columns x and frequencies u, w of the transform; the median is the mean of the two middle values.
+COSINE_SQL = "list_sum(list_transform(range(0, 64), lambda k: m[k + 1]::DOUBLE * 4 * cos(pi() * (2 * (k // 8) + 1) * {u} / 16) * cos(pi() * (2 * (k % 8) + 1) * {w} / 16)))"
+
+
+@query(f"""WITH f AS (SELECT vec_id, [{', '.join(COSINE_SQL.format(u=k // 4, w=k % 4) for k in range(16))}] AS f FROM (SELECT vec_id, embedding AS m FROM embeddings)),
+ o AS (SELECT vec_id, f, list_sort(f) AS s FROM f)
+ SELECT array_to_string(list_transform(f, lambda v: CASE WHEN v > (s[8] + s[9]) / 2 THEN '1' ELSE '0' END), '') AS sig, count(*) AS n, min(vec_id) AS first_id FROM o GROUP BY 1""")
+def sig_matrix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 x 8 matrices, grouped by the bits of their low frequencies."""
+    sigs = table(spark, sf_dir, "embeddings").select("vec_id", signatures.matrix_signature(F.col("embedding")).alias("sig"))
+    return sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
 
 
 # History
