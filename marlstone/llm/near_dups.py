@@ -280,7 +280,7 @@ def compared(texts: DataFrame, rest: DataFrame, k: int, similarity: int, group_s
     sizes = rest.groupBy("region", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("part"))
     sizes = sizes.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("part").alias("total"))
     chunks = F.greatest(F.lit(1), F.ceil(2 * F.col("total") / group_shingles))
-    rows = rest.join(sizes, "region").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
+    rows = rest.join(stored(sizes, "sizes"), "region").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
     rows = stored(rows, "rest")
     others = rows.filter("root != main").withColumn("block", F.col("chunk"))
     every = rows.join(others.select("region", "block").distinct(), "region")
@@ -298,13 +298,15 @@ def forest_links(
     near = stored(regions(orders(classes, forest), depth, region, classes.count() * trees), "regions")
     if known is not None:  # regions of one part are settled
         near = near.join(known, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        parts = near.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("region")
+        parts = stored(near.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("region"), "parts")
         near = stored(near.join(parts, "region").drop("root"), "regions")
     edges = near.filter("edge")
-    across = edges.join(edges.groupBy("region").agg(F.min("first").alias("least")), "region").selectExpr("first as u", "least as v")
+    # Aggregates are tables before they are joined on their own key, so that adaptive execution can deal a key of very many rows.
+    across = edges.join(stored(edges.groupBy("region").agg(F.min("first").alias("least")), "least"), "region").selectExpr("first as u", "least as v")
     groups = components(near.selectExpr("cid as u", "first as v").unionByName(across)).selectExpr("u as cid", "root as grp")
     members = groups.join(classes.select("cid", "rid", "rhash", "n_shingles"), "cid")
-    members = stored(members.join(members.groupBy("grp").agg(F.sum("n_shingles").alias("total")), "grp"), "members")
+    members = stored(members, "grouped")
+    members = stored(members.join(stored(members.groupBy("grp").agg(F.sum("n_shingles").alias("total")), "totals"), "grp"), "members")
     small, large = (members.filter(F.col("total") <= group_shingles), members.filter(F.col("total") > group_shingles))
     links = confirmed(with_text(texts, small), k, similarity)
     done = large.isEmpty()
@@ -319,7 +321,7 @@ def forest_links(
     roots = links if known is None else links.unionByName(known.selectExpr("cid as u", "root as v"))
     roots = roots.selectExpr("u as cid", "v as root") if done and known is None else components(roots).selectExpr("u as cid", "root")
     rest = near.select("region", "cid").distinct().join(rows, "region").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    parts = rest.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("region")
+    parts = stored(rest.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("region"), "parts")
     rest = stored(rest.join(parts, "region").join(classes.select("cid", "rid", "rhash", "n_shingles"), "cid"), "rest")
     if rest.isEmpty():
         return links, done
@@ -355,7 +357,7 @@ def find_near_dups(
         roots = links.selectExpr("u as cid", "v as root") if done else components(links).selectExpr("u as cid", "root")
         named = classes.select("cid", "a", "b", "least_id", "least_row").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         named = stored(named, "named", keep=True)
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("least_row").alias("stay"))
+        least = stored(named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("least_row").alias("stay")), "least", keep=True)
     named = named.join(least, "root").select("a", "b", "component_id", "stay")
     some = sets.filter("n_shingles > 0").select(known.alias("doc_id"), "n_shingles", "rhash", "a", "b", row.alias("row"))
     some = some.join(named, ["a", "b"]).withColumn("stays", F.col("row") == F.col("stay")).drop("a", "b", "row", "stay")
