@@ -19,7 +19,8 @@ def col(x: Column | float | str) -> Column:
 
 
 def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
-    return F.greatest(F.least(x, col(high)), col(low))
+    """``x`` within bounds; an unknown one stays unknown (least and greatest skip nulls)."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, col(high)), col(low)))
 
 
 def in_band(x: Column) -> Column:
@@ -58,7 +59,8 @@ def sample_size(n: Column, low: int = 12, high: int = 36) -> Column:
 
 
 def clamp_prediction(p: Column, fast: Column) -> Column:
-    return F.least(F.greatest(p, fast * 0.3, F.lit(0.1)), fast * 2)
+    """A predicted size within 0.3 to 2 times the fast one's; unknown where either is."""
+    return F.when(p.isNotNull() & fast.isNotNull(), F.least(F.greatest(p, fast * 0.3, F.lit(0.1)), fast * 2))
 
 
 def suggested_scale(scale: Column, target: Column | float, size: Column) -> Column:
@@ -118,7 +120,7 @@ def extrapolated_size(probe: Column, sampled: Column, frames: Column, bias: floa
 
 def probe_target(init: Column, mid: Column | float = MID, most: Column | float = TARGET_MAX) -> Column:
     """The size a probe steers to: never nearer than 3 per cent to the source's."""
-    return F.least(col(mid), col(most), F.when(init > 0, init * 0.97).otherwise(col(mid)))
+    return F.when(init.isNotNull(), F.least(col(mid), col(most), F.when(init > 0, init * 0.97).otherwise(col(mid)))).otherwise(F.least(col(mid), col(most)))
 
 
 def scale_key(scale: Column) -> Column:
@@ -152,9 +154,11 @@ def sign_bits(vector: Column) -> Column:
 
 
 def statement_slice(text: Column, start: Column, end: Column) -> Column:
-    """Text between two byte offsets of two-byte characters; -1 stands for the end."""
-    stop = F.when(end == -1, F.length(text) * 2).otherwise(end)
-    return F.substring(text, F.expr("1") + F.floor(start / 2).cast("int"), F.greatest(F.lit(0), F.floor((stop - start) / 2).cast("int") + 1))
+    """Text between two byte offsets of two-byte characters, ``(end - start) / 2 + 1`` of them with the quotient cut towards
+    zero.  An end of -1, which marks the end of a batch, gets no rule of its own: the length is then 0 or 1 for a start
+    under 4, and negative beyond, which is an error where the rule comes from and an empty text here."""
+    half = lambda x: F.when(x < 0, F.ceil(x / 2)).otherwise(F.floor(x / 2)).cast("int")
+    return F.substring(text, half(start) + 1, F.greatest(F.lit(0), half(end - start) + 1))
 
 
 def size_label(n_bytes: Column) -> Column:

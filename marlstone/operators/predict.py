@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources.storage import stored
+from .search import carried_values
 
 
 def box_join(probes: DataFrame, history: DataFrame, on: list[str], steps: dict[str, float], ratios: dict[str, float]) -> DataFrame:
@@ -101,3 +103,120 @@ def piecewise_quality(points: DataFrame, key: str, quality: str, size: str, targ
     agg = pairs.groupBy(key).agg(F.count("*").alias("n"), F.min_by(mid, F.when(hit, F.col("q0"))).alias("inside"), F.min_by(F.struct("q0", "s0"), "q0").alias("first"), F.max_by(F.struct("q0", "s0"), "q0").alias("last"))
     q = F.coalesce("inside", F.when(F.col("last.s0") < target, F.col("last.q0") + 6).when(F.col("first.s0") > target, F.col("first.q0") - 6))
     return agg.select(key, F.when(F.col("n") >= 2, rules.clamp(q, low, high)).cast("int").alias("quality"))
+
+
+#: Relative difference of width, height and frames, tolerance of the initial size in MB (the larger of two),
+#: fewest observations without a strong match, and the margin around the target band.
+MATCH_RATIO, INIT_TOLERANCE, MIN_COUNT, BAND_MARGIN = 0.03, 0.35, 2, 0.3
+
+
+def startup_plan(probes: DataFrame, history: DataFrame, low: float = rules.TARGET_MIN, high: float = rules.TARGET_MAX) -> DataFrame:
+    """One row for each probe (id, width, height, frames, init_mb): quality, method, direct_final, result_mb, pre_width,
+    pre_height, source.
+
+    History rows (width, height, frames, init_mb, quality, method, result_mb, count, timestamp, resize_count, final_width,
+    final_height) fit a probe if width, height and frames differ by 3 per cent at most and the initial size by the tolerance,
+    the result lay near the band, and the row stands for two observations at least or is a strong match: the same width,
+    height and frames.  The best is a strong match, then an exact one, then nearest in initial size, then in result to the
+    band's middle, then the latest.  A probe without one gets a quality seeded by the ratio of sizes.
+
+    The join is on bins of initial size and width; the other tolerances are tested on what shares them."""
+    c, tolerance = F.col, max(0.15, INIT_TOLERANCE)
+    fits = history.filter(c("result_mb").between(low - BAND_MARGIN, high + BAND_MARGIN))
+    p = probes.select("id", "width", "height", "frames", "init_mb")
+    pairs = box_join(p, fits, [], {"init_mb": tolerance}, {"width": MATCH_RATIO})
+    off = {f: F.abs(c(f"h_{f}") - c(f"p_{f}")) / F.greatest(c(f"p_{f}"), F.lit(1)) for f in ("width", "height", "frames")}
+    init = F.abs(c("h_init_mb") - c("p_init_mb"))
+    equal = (c("h_width") == c("p_width")) & (c("h_height") == c("p_height")) & (c("h_frames") == c("p_frames"))
+    count = F.when(F.coalesce("h_count", F.lit(0)) == 0, 1).otherwise(c("h_count"))
+    pairs = pairs.filter((off["height"] <= MATCH_RATIO) & (off["frames"] <= MATCH_RATIO)).withColumn("strong", equal).filter((count >= MIN_COUNT) | c("strong"))
+    exact = (off["width"] < 1e-6) & (off["height"] < 1e-6) & (off["frames"] < 1e-6) & (init < 1e-6)
+    pairs = pairs.withColumn("exact", exact).withColumn("init_diff", init).withColumn("n_count", count)
+    resized = F.coalesce("h_resize_count", F.lit(0))
+    room = (c("h_final_width") > 0) & (c("h_final_height") > 0) & (c("h_final_width") <= c("p_width")) & (c("h_final_height") <= c("p_height"))
+    pre = F.coalesce((resized > 0) & room, F.lit(False))
+    order = [~c("strong"), ~c("exact"), c("init_diff"), F.abs(c("h_result_mb") - (low + high) / 2), -c("h_timestamp"), c("h_quality"), c("h_method")]
+    kept = [
+        c("h_quality").alias("quality"), c("h_method").alias("method"), (c("strong") & ((resized == 0) | pre)).alias("direct_final"), c("h_result_mb").alias("result_mb"), F.when(pre, c("h_final_width")).alias("pre_width"),
+        F.when(pre, c("h_final_height")).alias("pre_height"), c("strong"), c("exact"), c("n_count"),
+    ]
+    best = best_by(pairs, ["p_id"], order, kept).withColumnRenamed("p_id", "id")
+    records = history.agg(F.count("*").alias("records"))
+    rows = probes.select("id", "init_mb").join(best, "id", "left").crossJoin(F.broadcast(records))
+    seeded = rules.seeded_quality(c("init_mb"), (low + high) / 2, 60, 95)
+    said = F.format_string(
+        "%s (%s, records=%d, count=%d)", F.when(c("exact"), "webp exact stats").otherwise("webp stats"), F.when(c("strong"), "direct-final").otherwise("probe-guided"), "records", "n_count",
+    )
+    none = F.format_string("default (no webp match, records=%d, ratio-seeded q=%d)", "records", seeded)
+    known = c("strong").isNotNull()
+    return rows.select(
+        "id", F.when(known, c("quality")).otherwise(seeded).alias("quality"), "method", F.coalesce("direct_final", F.lit(False)).alias("direct_final"), "result_mb", "pre_width", "pre_height",
+        F.when(known, said).otherwise(none).alias("source"),
+    )
+
+
+def relative_score(features: list[str]) -> Column:
+    """The sum of the differences of ``p_`` and ``h_`` features, each over the probe's own (1 at least)."""
+    parts = [F.abs(F.col(f"h_{f}").cast("double") - F.col(f"p_{f}").cast("double")) / F.greatest(F.col(f"p_{f}").cast("double"), F.lit(1.0)) for f in features]
+    score = parts[0]
+    for x in parts[1:]:
+        score = score + x
+    return score
+
+
+#: Levels of the cells that observations are entered in: a cell's ends lie apart by a factor of 1 + 2 ** -level.  Rows of a
+#: cell that are all looked at for a bound.
+LEVELS, FEW = (-4, -2, 0, 1, 2, 4, 6), 200
+
+
+def cell_of(x: Column, level: Column) -> Column:
+    """The number of a value's cell; all values up to 1 are in the first."""
+    return F.floor(F.log(F.greatest(x.cast("double"), F.lit(1.0))) / F.log(1 + F.pow(F.lit(2.0), -level)))
+
+
+def nearest_by_score(probes: DataFrame, history: DataFrame, on: str, features: list[str], order: str, keep: list[str]) -> DataFrame:
+    """(id, keep..., score): for each probe (id, on, features) the history row of its ``on`` with the least
+    :func:`relative_score`, the first in ``order`` of equal ones; probes whose ``on`` has no complete row are left out.
+
+    There is no radius, so one is found: the rows next to a probe in the order of the first feature, one row of each cell that
+    it lies in, and all rows of the widest of these that holds few, have scores that the best can't exceed.  The best then lies in a cell whose nearest corner is within
+    that bound.  A probe is entered in these, feature by feature, each taking what the earlier ones leave of the bound; cells
+    are about half as wide as the bound, so that a probe has a few hundred of them however many rows there are, and meets
+    only the rows inside.  History rows of equal features are one row, the first."""
+    score, number = relative_score(features), F.col("level")
+    h = history.dropna(subset=[on, *features])
+    h = h.groupBy(on, *features).agg(F.min_by(F.struct(order, *(k for k in keep if k != order)), order).alias("kept"))
+    h = stored(h.select(on, *(F.col(f).alias(f"h_{f}") for f in features), "kept"), "history")
+    p = stored(probes.select("id", on, *(F.col(f).alias(f"p_{f}") for f in features)).dropna(), "probes")
+    # Neighbours in the order of the first feature.
+    none_h = [F.lit(None).cast(h.schema[f"h_{f}"].dataType).alias(f"h_{f}") for f in features]
+    spot = F.struct(*(f"h_{f}" for f in features))
+    both = h.select(on, F.col(f"h_{features[0]}").cast("double").alias("at"), F.lit(0).alias("probe"), F.lit(None).cast(p.schema["id"].dataType).alias("id"), *(f"h_{f}" for f in features))
+    both = both.unionByName(p.select(on, F.col(f"p_{features[0]}").cast("double").alias("at"), F.lit(1).alias("probe"), "id", *none_h))
+    near = carried_values(both.withColumn("spot", F.when(F.col("probe") == 0, spot)), on, ["at", "probe", "id"], "spot").filter("probe = 1").select("id", "before", "after")
+    ends = near.select("id", F.explode(F.array("before", "after")).alias("s")).filter("s is not null").join(p, "id").select("id", *(f"p_{f}" for f in features), "s.*")
+    # One row of each cell, and every probe's cells.
+    all_levels = F.array(*map(F.lit, LEVELS))
+    levels = F.explode(all_levels).alias("level")
+    cells = [on, "level", *(f"c_{f}" for f in features)]
+    entered = h.select("*", levels).select("*", *(cell_of(F.col(f"h_{f}"), number).alias(f"c_{f}") for f in features))
+    one = entered.groupBy(*cells).agg(F.first(spot).alias("s"), F.count("*").alias("n"))
+    own = p.select("*", levels).select("*", *(cell_of(F.col(f"p_{f}"), number).alias(f"c_{f}") for f in features))
+    met = stored(own.join(one, cells), "met")
+    few = met.filter(F.col("n") <= FEW).groupBy("id").agg(F.min_by(F.struct(*cells, *(f"p_{f}" for f in features)), "level").alias("x")).select("id", "x.*")
+    few = few.join(entered, cells).select("id", *(f"p_{f}" for f in features), *(f"h_{f}" for f in features))
+    met = met.select("id", *(f"p_{f}" for f in features), "s.*")
+    bound = stored(ends.unionByName(met).unionByName(few).groupBy("id").agg(F.min(score).alias("bound")), "bound")
+    # Sums may differ in their last digits, so the bound is a little larger.
+    p = p.join(bound, "id").withColumn("left", F.col("bound") * (1 + 1e-9) + 1e-9)
+    p = p.withColumn("level", F.coalesce(F.array_max(F.filter(all_levels, lambda n: n <= 1 - F.log2("left"))), F.lit(LEVELS[0])))
+    for f in features:
+        at = F.col(f"p_{f}").cast("double")
+        whole = F.greatest(at, F.lit(1.0))
+        reach = F.sequence(cell_of(at - F.col("left") * whole, number), cell_of(at + F.col("left") * whole, number))
+        p = p.withColumn(f"c_{f}", F.explode(reach))
+        low, high = (F.pow(1 + F.pow(F.lit(2.0), -number), F.col(f"c_{f}") + i) for i in (0, 1))
+        off = F.when(at > high, at - high).when((at < low) & (F.col(f"c_{f}") > 0), low - at).otherwise(0.0) / whole
+        p = p.withColumn("left", F.col("left") - off * (1 - 1e-9) + 1e-9).filter("left >= 0")
+    found = p.join(entered, cells).withColumn("score", score).filter(F.col("score") <= F.col("bound") * (1 + 1e-9) + 1e-9)
+    return best_by(found, ["id"], [F.col("score"), F.col(f"kept.{order}")], [*(f"kept.{k}" for k in keep), "score"])

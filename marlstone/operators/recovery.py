@@ -99,12 +99,19 @@ def logs_after(sets: DataFrame, media: DataFrame, completion: DataFrame) -> Data
 
 
 def script_lines(texts: DataFrame, key: str, text: str, width: int = 4000) -> DataFrame:
-    """(key, line_no, part, line): texts without carriage returns, cut at line feeds and then every ``width`` characters; a
-    trailing empty line is not printed."""
-    split = texts.select(key, F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n").alias("ls"))
-    # The trailing empty line goes first, then one row for each line.
-    kept = F.when(F.element_at("ls", -1) == "", F.slice("ls", F.lit(1), F.size("ls") - 1)).otherwise(F.col("ls"))
-    lines = split.select(key, F.posexplode(kept).alias("line_no", "full"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("full") - 1) / width).cast("int")), lambda i: F.substring(F.col("full"), i * width + 1, F.lit(width)))
-    cut = F.when(F.length("full") > width, cut).otherwise(F.array("full"))
+    """(key, line_no, part, line): texts without carriage returns, cut at line feeds and then every ``width`` characters.
+
+    A length doesn't count the blanks at the end.  So printing stops where only blanks are left; a line is cut only while more
+    than blanks lies beyond ``width``, and what is printed last of it ends there; and what is left after a line keeps no more
+    of the text's last blanks than that line and its line feed have characters."""
+    ls, size = F.col("ls"), F.size("ls")
+    rows = texts.select(key, F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n").alias("ls"))
+    rows = rows.select(key, F.slice(ls, F.lit(1), size - 1).alias("before"), F.element_at(ls, -1).alias("last"))
+    rows = rows.withColumn("least", F.array_min(F.transform("before", lambda x: F.length(x) + 1)))
+    bare = F.rtrim("last")
+    last = F.when(F.col("least").isNull(), F.col("last")).otherwise(F.col("last").substr(F.lit(1), F.length(bare) + F.col("least")))
+    rows = rows.select(key, F.when(bare == "", F.col("before")).otherwise(F.concat("before", F.array(last))).alias("ls"))
+    lines = rows.select(key, F.posexplode("ls").alias("line_no", "full"))
+    pieces = F.greatest(F.lit(0), F.floor((F.length(F.rtrim("full")) - 1) / width).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), pieces), lambda i: F.substring(F.col("full"), i * width + 1, F.lit(width)))
     return lines.select(key, "line_no", F.posexplode(cut).alias("part", "line"))

@@ -43,6 +43,21 @@ def running_bracket(rows: DataFrame, key: str, order: list[str], value: str, low
     return rows.withColumn("under", F.greatest("under", "_under")).withColumn("over", F.least("over", "_over")).drop("_block", "_under", "_over")
 
 
+def carried_values(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """``rows`` with the last ``value`` that isn't null ``before`` each row in its key's order, and the next one ``after``."""
+    rows = in_blocks(rows, key, order)
+    v = F.struct(F.col(value).alias("v"))
+    some = F.when(F.col(value).isNotNull(), v)
+    blocks = rows.groupBy(key, "_block").agg(F.max_by(v, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_l"), F.min_by(v, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_f"))
+    later = Window.partitionBy(key).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(key, "_block", F.last("_l", True).over(_earlier(key)).alias("_past"), F.last("_f", True).over(later).alias("_coming"))
+    up = _within(key, order).rowsBetween(Window.unboundedPreceding, -1)
+    # Downwards in reverse order: a frame that reaches to the end is read anew for every row.
+    down = Window.partitionBy(key, "_block").orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _carried(rows.withColumn("before", F.last(some, True).over(up)).withColumn("after", F.last(some, True).over(down)), blocks, key)
+    return rows.withColumn("before", F.coalesce("before", "_past")["v"]).withColumn("after", F.coalesce("after", "_coming")["v"]).drop("_block", "_past", "_coming")
+
+
 def _run_ends(blocks: DataFrame, key: str, goes_on: Column) -> DataFrame:
     """(key, _block, _carry): the run that is open where a block of (_n, _tail) begins.  ``goes_on``: the block is all one run
     that continues the block before; its rows _n then add to that run, else _tail rows at its end start a new one."""
@@ -109,8 +124,7 @@ def next_quality(quality: Column, size: Column, target: Column | float, under: C
     far = (ratio > 1.20) | (ratio < 0.80)
     step = F.when(far, rules.clamp(step, 0.70, 1.30)).otherwise(rules.clamp(step, 0.88, 1.12))
     q = rules.clamp((quality * step).cast("int"), 1, 100)
-    q = F.greatest(q, under + 1)
-    q = F.least(q, over - 1)
+    q = F.when(q.isNotNull(), F.least(F.greatest(q, under + 1), over - 1))  # least and greatest skip unknown bounds
     return F.when((over - under) > 1, F.floor((over + under) / 2).cast("int")).otherwise(q)
 
 

@@ -268,22 +268,6 @@ def size_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.size_cascade(rows).select("partkey", F.round(F.col("predicted") + 1e-9, 5).alias("predicted"))
 
 
-@query("""SELECT suppkey, custkey, round(score, 6) AS score
-  FROM (SELECT s_suppkey AS suppkey, c_custkey AS custkey, abs(cb - sb) / greatest(abs(sb), 1.0) AS score,
- row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(cb - sb) / greatest(abs(sb), 1.0), c_custkey) AS rn
- FROM (SELECT s_suppkey, s_nationkey, round_even(s_acctbal / 50.0, 0) * 50.0 AS sb FROM supplier)
-  JOIN (SELECT c_custkey, c_nationkey, round_even(c_acctbal / 50.0, 0) * 50.0 AS cb FROM customer
-  WHERE c_acctbal IS NOT NULL) ON s_nationkey = c_nationkey) WHERE rn = 1""")
-def nearest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier's nearest customer of its nation by bucketed balance.  Customers of one nation and bucket are one
-    candidate (the least key), so that a nation's candidates are its buckets, however many customers it has."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_nationkey").alias("nation"), rules.bucketize(F.col("s_acctbal"), 50).alias("sb"))
-    c = table(spark, sf_dir, "customer").filter("c_acctbal is not null").groupBy(F.col("c_nationkey").alias("nation"), rules.bucketize(F.col("c_acctbal"), 50).alias("cb")).agg(F.min("c_custkey").alias("custkey"))
-    rows = s.join(c, "nation").withColumn("score", F.abs(F.col("cb") - F.col("sb")) / F.greatest(F.abs(F.col("sb")), F.lit(1.0)))
-    best = predict.best_by(rows, ["suppkey"], [F.col("score"), F.col("custkey")], ["custkey", "score"])
-    return best.select("suppkey", "custkey", F.round("score", 6).alias("score"))
-
-
 @query("""SELECT brand, partkey, direct FROM (SELECT p_brand AS brand, p_partkey AS partkey, p_size BETWEEN 20 AND 30 AS direct,
  row_number() OVER (PARTITION BY p_brand
   ORDER BY p_size BETWEEN 20 AND 30 DESC, p_type LIKE '%PROMO%' DESC, abs(p_size - 25), abs(p_retailprice - 950), p_partkey DESC) AS rn FROM part
@@ -552,8 +536,11 @@ def recovery_logs_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS ls FROM documents),
-  e AS (SELECT doc_id, unnest(range(0, len(ls)))::INT AS line_no, unnest(ls) AS line, len(ls) AS k FROM l),
- p AS (SELECT *, unnest(range(0, greatest(0, (length(line) - 1)) // 4000 + 1))::INT AS part FROM e WHERE NOT (line_no = k - 1 AND line = ''))
+  b AS (SELECT doc_id, ls[1:len(ls) - 1] AS before, ls[len(ls)] AS rest FROM l),
+  k AS (SELECT doc_id, CASE WHEN rtrim(rest, ' ') = '' THEN before
+   ELSE list_append(before, left(rest, length(rtrim(rest, ' ')) + coalesce(list_min(list_transform(before, lambda x: length(x) + 1)), length(rest)))) END AS ls FROM b),
+  e AS (SELECT doc_id, unnest(range(0, len(ls)))::INT AS line_no, unnest(ls) AS line FROM k),
+ p AS (SELECT *, unnest(range(0, greatest(0, (length(rtrim(line, ' ')) - 1)) // 4000 + 1))::INT AS part FROM e)
   SELECT doc_id, line_no, part, substring(line, part * 4000 + 1, 4000) AS line FROM p""")
 def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.script_lines(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -100,8 +100,8 @@ def adm_stale_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.stale_statistics(stats, rules.day_floor(F.col("now")))
 
 
-@query("""SELECT doc_id AS plan_handle, lang AS creation_time, CASE WHEN e = -1 THEN substring(text, s // 2 + 1) ELSE substring(text, s // 2 + 1,
- greatest(0, (e - s) // 2 + 1)) END AS statement FROM (SELECT *, doc_id % 40 AS s, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id % 40 + 61 END AS e
+@query("""SELECT doc_id AS plan_handle, lang AS creation_time, substring(text, s // 2 + 1,
+ greatest(0, trunc((e - s) / 2.0)::INT + 1)) AS statement FROM (SELECT *, doc_id % 40 AS s, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id % 40 + 61 END AS e
  FROM documents)""")
 def adm_lateral_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -205,19 +205,6 @@ def history_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.latest_in_order(rows, ["event_type", "kind"], ["ts", "event_id"]).drop("kind")
 
 
-@query("""WITH f AS (SELECT p_partkey, p_brand, p_retailprice / 60.0::DOUBLE AS size FROM part),
-  h AS (SELECT p_brand, arg_max(40 + p_size, (p_retailprice, p_partkey)) AS q FROM part WHERE p_size > 48 GROUP BY 1)
- SELECT f.p_partkey AS partkey, h.q IS NOT NULL AS known, coalesce(h.q,
-  greatest(least(trunc(sqrt(14.245::DOUBLE / size) * 95 * 1.02::DOUBLE)::INT, 95), 45)) AS quality FROM f LEFT JOIN h ON f.p_brand = h.p_brand""")
-def startup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first quality of every file: its brand's best known one, else one seeded by the ratio of sizes."""
-    part = table(spark, sf_dir, "part")
-    best = part.filter("p_size > 48").groupBy("p_brand").agg(F.max_by(40 + F.col("p_size"), F.struct("p_retailprice", "p_partkey")).alias("q"))
-    rows = part.select("p_partkey", "p_brand", (F.col("p_retailprice") / 60.0).alias("size")).join(best, "p_brand", "left")
-    quality = F.coalesce("q", rules.seeded_quality(F.col("size"), rules.MID, 45, 95))
-    return rows.select(F.col("p_partkey").alias("partkey"), F.col("q").isNotNull().alias("known"), quality.alias("quality"))
-
-
 ERROR_SQL = f"""{BASE_SQL}, w AS (SELECT DISTINCT db FROM s WHERE db NOT LIKE '%7')
  SELECT w.db, 0 AS line_no, 'ERROR: No FULL backup found for database ' || {NAME_SQL.format('w')} || ' (latest FULL lookup returned none).' AS line
   FROM w WHERE db NOT IN (SELECT db FROM f WHERE db NOT LIKE '%3')

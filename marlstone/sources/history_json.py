@@ -37,6 +37,7 @@ def write_section(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).parquet(path)
 
 
-def tool_version(texts: DataFrame, text: str = "value") -> DataFrame:
-    """A version constant found in source text."""
-    return texts.select(F.regexp_extract(F.col(text), r"(?m)^\s*VERSION\s*=\s*[\"']([^\"']+)[\"']", 1).alias("version"))
+def tool_version(texts: DataFrame, text: str = "value", name: str = "APP_VERSION") -> DataFrame:
+    """The value of a version constant in source text: of the first line that starts with ``name`` and sets it to a text in
+    double quotes; empty if there is none, null for a null text."""
+    return texts.select(F.regexp_extract(F.col(text), rf'(?m)^{name}\s*=\s*"([^"]+)"', 1).alias("version"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import rules
-from marlstone.operators import admin, dedup, graph, history, predict, recovery, search
+from marlstone.operators import admin, decisions, dedup, graph, history, predict, recovery, search
 from marlstone.sources import history_json, media, storage
 from marlstone.streaming.upsert import read_upserted, stream_upsert
 
@@ -64,7 +64,18 @@ L = F.lit
         (lambda: rules.corrected_quality(L(80), L(10.0), L(10.2)), None),
         (lambda: rules.corrected_quality(L(80), L(20.0), L(10.0)), 47),
         (lambda: rules.short_label(L("abcdefgh"), 6), "...fgh"),
-        (lambda: rules.statement_slice(L("select 1; select 2"), L(20), L(-1)), "select 2"),
+        (lambda: rules.statement_slice(L("select 1; select 2"), L(20), L(-1)), ""),
+        (lambda: rules.statement_slice(L("select 1; select 2"), L(0), L(-1)), "s"),
+        (lambda: rules.statement_slice(L("select 1; select 2"), L(20), L(26)), "sele"),
+        (lambda: rules.clamp(L(None).cast("double"), L(1.0), L(2.0)), None),
+        (lambda: rules.clamp_prediction(L(None).cast("double"), L(10.0)), None),
+        (lambda: rules.clamp_prediction(L(5.0), L(None).cast("double")), None),
+        (lambda: rules.clamp_prediction(L(50.0), L(10.0)), 20.0),
+        (lambda: rules.sample_size(L(None).cast("int")), None),
+        (lambda: rules.seeded_quality(L(None).cast("double"), 14.245, 45, 95), 95),
+        (lambda: rules.probe_target(L(None).cast("double")), rules.MID),
+        (lambda: search.next_quality(L(60), L(None).cast("double"), 14.245, L(None).cast("int"), L(None).cast("int")), None),
+        (lambda: decisions.resize_factor(L(40), L(None).cast("double")), None),
         (lambda: rules.long_bias(L(1.0), L(400), L(20.0)), 0.88),
     ],
 )
@@ -218,6 +229,31 @@ def test_script_lines(spark, text, want):
     assert [r["line"] for r in rows] == want
 
 
+def printed(text, width):
+    """The print loop, with lengths that don't count the blanks at the end."""
+    size = lambda x: len(x.rstrip(" "))
+    rest, out = text.replace("\r", ""), []
+    while size(rest) > 0:
+        at = rest.find("\n")
+        line, rest = (rest, "") if at < 0 else (rest[:at], rest[at + 1 :][: size(rest)])
+        while size(line) > width:
+            out.append(line[:width])
+            line = line[width:][: size(line)]
+        out.append(line[:width])  # a message holds no more
+    return out
+
+
+def test_script_lines_and_blanks(spark):
+    rng = random.Random(1)
+    own = ["".join(rng.choice(["a", "bc", " ", "  ", "   ", "\n", "\r\n", "x" * 7, " " * 9]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    own += ["y" * 5 + " " * 20, " " * 30, "\n", "\n\n  ", "\nx" + " " * 12, "ab\n" + " " * 11 + "z" + " " * 9]
+    rows = recovery.script_lines(spark.createDataFrame(list(enumerate(own)), "id int, t string"), "id", "t", 5).orderBy("id", "line_no", "part").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["id"], []).append(r["line"])
+    assert [got.get(i, []) for i in range(len(own))] == [printed(t, 5) for t in own]
+
+
 @pytest.mark.parametrize(("ext", "size", "want"), [(".gif", 15 * 2**20, None), (".gif", int(15.1 * 2**20), "gif"), (".jfif", 1, "jpg"), (".png", 1, "png"), (".jpg", 1022976, None), (".jpg", 1022977, "jpg"), (".webp", 2**20, "webp_static")])
 def test_route(spark, ext, size, want):
     assert one(spark, media.route(L(ext), L(size), L(False))) == want
@@ -274,8 +310,10 @@ def test_size_labels_round_half_even(spark):
 
 
 def test_tool_version(spark):
-    rows = spark.createDataFrame([("import os\nVERSION = \"1.4.2\"\n",), ("VERSION='2'",), ("x = 1",)], "value string")
-    assert [r["version"] for r in history_json.tool_version(rows).collect()] == ["1.4.2", "2", ""]
+    rows = spark.createDataFrame([("import os\nAPP_VERSION = \"1.4.2\"\nAPP_VERSION = \"9\"",), ("APP_VERSION='2'",), (" APP_VERSION = \"3\"",), ("MY_APP_VERSION=\"4\"",), ("x = 1",), (None,)], "value string")
+    assert [r["version"] for r in history_json.tool_version(rows).collect()] == ["1.4.2", "", "", "", "", None]
+    rows = spark.createDataFrame([("VERSION=\"5 b\"",)], "value string")
+    assert history_json.tool_version(rows, name="VERSION").first()["version"] == "5 b"
 
 
 def test_stream_upsert(spark, tmp_path):
@@ -313,3 +351,52 @@ def test_running_values_over_blocks(spark):
             assert runs[k, i] == run and hits[k, i] == (hit, hit >= 4)
             assert ends[k, i] == (max((x for x in seen if x < 1.5), default=None), min((x for x in seen if x > 1.5), default=None))
         assert all(sums[k, b] == (own[7 * b][0], max(20.0, sum(v for _, v in own[7 * b : 7 * b + 7]))) for b in range((len(own) + 6) // 7))
+
+
+def score_of(p, h):
+    return sum(abs(float(y) - float(x)) / max(float(x), 1.0) for x, y in zip(p, h))
+
+
+def test_nearest_by_score(spark):
+    """Against all rows: zeros, ties, exact ones, groups without rows, rows far from any probe, nulls."""
+    rng = random.Random(6)
+    draw = lambda: (rng.choice([0, 1, 7, rng.randrange(3000)]), rng.choice([0.0, 0.5, 2.0, rng.uniform(0, 90)]), rng.randrange(4) * 5)
+    own = [(i, rng.choice("ab"), *draw(), i * 7 % 101) for i in range(400)]
+    own += [(1000 + i, r[1], *r[2:5], 5) for i, r in enumerate(own[:40])] + [(2000, "a", None, 1.0, 5, 1), (2001, None, 1, 1.0, 5, 1)]
+    probes = [(i, rng.choice("ab"), *draw()) for i in range(150)] + [(500 + i, *own[i][1:5]) for i in range(20)] + [(900, "c", 1, 1.0, 5), (901, "a", 10**7, 1e6, 0), (902, None, 1, 1.0, 5)]
+    h = spark.createDataFrame(own, "entry long, kind string, w long, f double, d int, quality int").repartition(3)
+    p = spark.createDataFrame(probes, "id long, kind string, w long, f double, d int").repartition(3)
+    got = {r["id"]: (r["entry"], r["quality"], r["score"]) for r in predict.nearest_by_score(p, h, "kind", ["w", "f", "d"], "entry", ["entry", "quality"]).collect()}
+    want = {}
+    for i, kind, *x in probes:
+        found = min(((score_of(x, r[2:5]), r[0], r[5]) for r in own if kind and r[1] == kind and None not in r[2:5]), default=None)
+        if found:
+            want[i] = (found[1], found[2], pytest.approx(found[0], abs=1e-12))
+    assert got == want and 900 not in got and got[500][2] == 0
+
+
+def test_startup_plan(spark):
+    """One probe for each rule: too few observations, a strong match, an exact one, tolerances, the band, sizes to cut to first."""
+    cols = "width int, height int, frames int, init_mb double, quality int, method int, result_mb double, count long, timestamp double, resize_count int, final_width int, final_height int"
+    rows = [
+        (100, 100, 50, 20.0, 61, 1, 14.0, 1, 1.0, 0, None, None),  # strong though seen once
+        (102, 98, 51, 20.1, 62, 2, 14.2, 5, 2.0, 0, None, None),
+        (200, 100, 50, 20.0, 63, 1, 14.0, 1, 1.0, 0, None, None),  # seen once, near 202
+        (300, 100, 50, 20.0, 64, 1, 15.5, 9, 1.0, 0, None, None),  # result out of the band
+        (400, 100, 50, 20.2, 65, 1, 14.0, 2, 1.0, 1, 350, 90),
+        (400, 100, 50, 20.2, 66, 1, 14.0, 2, 3.0, 2, 450, 90),  # later, but wider than the probe
+        (500, 100, 50, 20.0, 67, 1, 13.6, 2, 1.0, 0, None, None),
+        (500, 100, 50, 20.0, 68, 1, 14.3, None, 1.0, 0, None, None),  # nearer the middle
+    ]
+    probes = [(1, 100, 100, 50, 20.1), (2, 103, 100, 50, 20.0), (3, 202, 100, 50, 20.0), (4, 300, 100, 50, 20.0), (5, 400, 100, 50, 20.0), (6, 500, 100, 50, 20.0), (7, 100, 100, 50, 20.36), (8, 100, 100, 52, 20.0)]
+    df = spark.createDataFrame(probes, "id int, width int, height int, frames int, init_mb double")
+    got = {r["id"]: tuple(r)[1:] for r in predict.startup_plan(df, spark.createDataFrame(rows, cols)).collect()}
+    seeded = int((14.245 / 20.0) ** 0.5 * 95 * 1.02)
+    none = (seeded, None, False, None, None, None, f"default (no webp match, records=8, ratio-seeded q={seeded})")
+    assert got[1] == (61, 1, True, 14.0, None, None, "webp stats (direct-final, records=8, count=1)")
+    assert got[2] == (62, 2, False, 14.2, None, None, "webp stats (probe-guided, records=8, count=5)")
+    assert got[3] == none and got[4] == none
+    assert got[5] == (66, 1, False, 14.0, None, None, "webp stats (direct-final, records=8, count=2)")
+    assert got[6] == (68, 1, True, 14.3, None, None, "webp exact stats (direct-final, records=8, count=1)")
+    assert got[7][0] == 62  # over the tolerance for the strong one
+    assert got[8][0] == 62  # frames within 3 per cent of 52 only there
