@@ -71,6 +71,14 @@ def partition_counts(
     return rows.select("table_name", "partition_number", "value", "rows")
 
 
+def chosen_partitions(counts: DataFrame, heads: list[str], spans: dict[str, tuple[int, int]], most: int = 5) -> DataFrame:
+    """Of :func:`partition_counts`: the first ``most`` partitions of the tables ``heads``, and those between two numbers of the
+    tables ``spans``."""
+    number = F.col("partition_number")
+    tests = [(F.col("table_name") == t) & (number <= most) for t in heads] + [(F.col("table_name") == t) & number.between(*ends) for t, ends in spans.items()]
+    return counts.filter(reduce(Column.__or__, tests)).orderBy("table_name", "partition_number", "rows")
+
+
 def connection_counts(processes: DataFrame, databases: DataFrame) -> DataFrame:
     rows = processes.filter("spid > 50").join(databases.select(F.col("database_id").alias("dbid"), "name"), "dbid")
     return rows.groupBy("name", "loginame", "hostname", "program_name").agg(F.count("dbid").alias("connections")).orderBy(F.col("connections").desc(), "name", "loginame", "hostname", "program_name")
@@ -93,6 +101,19 @@ def cached_statements(stats: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("plan_handle", "creation_time", statement_slice(F.col("text"), F.col("statement_start_offset"), F.col("statement_end_offset")).alias("statement"))
 
 
+def applied_statements(stats: DataFrame, texts: DataFrame, plans: DataFrame) -> DataFrame:
+    """Each statistics row (plan_handle, sql_handle, statement_start_offset, statement_end_offset) with what is applied to it:
+    the text of its handle, the latest plan of its handle, and the table function that gives the words of its statement.
+    Applied rows depend on the row at hand; rows that get none are left out."""
+    text = texts.where(F.col("texts_handle") == F.col("sql_handle").outer()).select("text")
+    plan = plans.where(F.col("plans_handle") == F.col("plan_handle").outer()).orderBy(F.col("created").desc(), "query_plan").limit(1).select("query_plan")
+    rows = stats.lateralJoin(text).lateralJoin(plan)
+    rows = rows.withColumn("statement", statement_slice(F.col("text"), F.col("statement_start_offset"), F.col("statement_end_offset")))
+    said = F.split(F.trim(F.regexp_replace(F.col("statement"), r"\s+", " ")), " ")
+    word = stats.sparkSession.tvf.posexplode(said.outer())
+    return rows.lateralJoin(word).select("plan_handle", "sql_handle", "query_plan", "statement", F.col("pos").alias("place"), F.col("col").alias("word"))
+
+
 def stale_statistics(stats: DataFrame, cutoff: Column, least_percent: float = 4.0) -> DataFrame:
     """Statistics not updated since ``cutoff`` with more than ``least_percent`` changes: equal (name, total) rows of
     different schemas and statistics collapse."""

@@ -11,10 +11,11 @@ from ..functions import rules
 from ..sources.storage import stored
 
 
-def in_blocks(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``_block``: ranges of (key, order), dealt by Spark, so that a key of very many rows is several blocks
-    and none is a task's alone.  Running values are taken within blocks; what earlier blocks of the key add is small."""
-    ranges = rows.repartitionByRange(key, *order).withColumn("_block", F.spark_partition_id())
+def in_blocks(rows: DataFrame, key: str, order: list[str], *values: str) -> DataFrame:
+    """The key, order and value columns of ``rows`` with ``_block``: ranges of (key, order), dealt by Spark, so that a key of
+    very many rows is several blocks and none is a task's alone.  Running values are taken within blocks; what earlier
+    blocks of the key add is small.  The operators below return these columns and their own."""
+    ranges = rows.select(list(dict.fromkeys([key, *order, *values]))).repartitionByRange(key, *order).withColumn("_block", F.spark_partition_id())
     return stored(ranges, "blocks")
 
 
@@ -33,7 +34,7 @@ def _carried(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
 
 def running_bracket(rows: DataFrame, key: str, order: list[str], value: str, low: float, high: float) -> DataFrame:
     """After each observation: the largest value under ``low`` and the smallest over ``high`` so far."""
-    rows = in_blocks(rows, key, order)
+    rows = in_blocks(rows, key, order, value)
     v = F.col(value)
     under, over = F.max(F.when(v < low, v)), F.min(F.when(v > high, v))
     blocks = rows.groupBy(key, "_block").agg(under.alias("_u"), over.alias("_o"))
@@ -45,7 +46,7 @@ def running_bracket(rows: DataFrame, key: str, order: list[str], value: str, low
 
 def carried_values(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """``rows`` with the last ``value`` that isn't null ``before`` each row in its key's order, and the next one ``after``."""
-    rows = in_blocks(rows, key, order)
+    rows = in_blocks(rows, key, order, value)
     v = F.struct(F.col(value).alias("v"))
     some = F.when(F.col(value).isNotNull(), v)
     blocks = rows.groupBy(key, "_block").agg(F.max_by(v, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_l"), F.min_by(v, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_f"))
@@ -71,7 +72,7 @@ def _run_ends(blocks: DataFrame, key: str, goes_on: Column) -> DataFrame:
 
 def run_lengths(rows: DataFrame, key: str, order: list[str], same: str) -> DataFrame:
     """``run``: how many rows in a row, so far, have the same value."""
-    rows = in_blocks(rows, key, order)
+    rows = in_blocks(rows, key, order, same)
     w = _within(key, order)
     new = F.when(F.col(same).eqNullSafe(F.lag(same).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     rows = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w))
@@ -89,9 +90,9 @@ def run_lengths(rows: DataFrame, key: str, order: list[str], same: str) -> DataF
 
 def guard_hits(rows: DataFrame, key: str, order: list[str], hit: Column, limit: int) -> DataFrame:
     """``hits``: consecutive hits so far, reset by any other row; ``tripped`` once they reach ``limit``."""
-    rows = in_blocks(rows, key, order)
+    rows = in_blocks(rows.withColumn("_hit", F.coalesce(hit.cast("int"), F.lit(0))), key, order, "_hit")
     w = _within(key, order)
-    rows = rows.withColumn("_hit", F.coalesce(hit.cast("int"), F.lit(0))).withColumn("_island", F.sum(1 - F.col("_hit")).over(w))
+    rows = rows.withColumn("_island", F.sum(1 - F.col("_hit")).over(w))
     rows = rows.withColumn("hits", F.sum("_hit").over(Window.partitionBy(key, "_block", "_island").orderBy(*order)))
     blocks = rows.groupBy(key, "_block").agg(F.count("*").alias("_n"), F.sum("_hit").alias("_k"), F.max_by("hits", F.struct(*order)).alias("_tail"))
     blocks = _run_ends(blocks, key, F.col("_n") == F.col("_k")).select(key, "_block", "_carry")
@@ -102,7 +103,7 @@ def guard_hits(rows: DataFrame, key: str, order: list[str], hit: Column, limit:
 
 def index_buckets(rows: DataFrame, key: str, order: list[str], k: int, duration: str, first: str) -> DataFrame:
     """Every ``k`` rows of a key become one: the first row's value and the summed duration, 20 at least."""
-    rows = in_blocks(rows, key, order)
+    rows = in_blocks(rows, key, order, duration, first)
     blocks = rows.groupBy(key, "_block").agg(F.count("*").alias("_n"))
     blocks = blocks.select(key, "_block", F.coalesce(F.sum("_n").over(_earlier(key)), F.lit(0)).alias("_before"))
     rows = _carried(rows.withColumn("_rn", F.row_number().over(_within(key, order)) - 1), blocks, key).withColumn("_rn", F.col("_rn") + F.col("_before"))

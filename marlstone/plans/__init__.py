@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import catalog, reports, scalars, startup
+from . import catalog, inventory, reports, scalars, startup
 from .registry import oracle_sql, queries
 
-__all__ = ["catalog", "oracle_sql", "queries", "reports", "scalars", "startup"]
+__all__ = ["catalog", "inventory", "oracle_sql", "queries", "reports", "scalars", "startup"]

@@ -149,10 +149,7 @@ def adm_exists_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.when(F.col("n").isNull(), "no orders").otherwise("ok").alias("message"))
 
 
-@query("""SELECT l_returnflag AS table_name, l_linenumber AS partition_number, r_name AS value, count(*) AS rows FROM lineitem
- JOIN region ON r_regionkey = l_linenumber - 1 GROUP BY 1, 2, 3""")
-def adm_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each partition; those without a boundary, the last ones, are not listed."""
+def line_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("table_name"), F.col("l_linenumber").alias("partition_number")).agg(F.count("*").alias("rows"))
     parts = parts.withColumn("object_id", F.ascii("table_name")).withColumn("index_id", F.lit(1))
     names = parts.select("object_id", "table_name").distinct()
@@ -162,6 +159,34 @@ def adm_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.partition_counts(names, parts.drop("table_name"), one, scheme, function, bounds)
 
 
+@query("""SELECT l_returnflag AS table_name, l_linenumber AS partition_number, r_name AS value, count(*) AS rows FROM lineitem
+ JOIN region ON r_regionkey = l_linenumber - 1 GROUP BY 1, 2, 3""")
+def adm_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each partition; those without a boundary, the last ones, are not listed."""
+    return line_partitions(spark, sf_dir)
+
+
+@query("""SELECT l_returnflag AS table_name, l_linenumber AS partition_number, r_name AS value, count(*) AS rows FROM lineitem
+ JOIN region ON r_regionkey = l_linenumber - 1 WHERE l_returnflag = 'A' AND l_linenumber <= 2 OR l_returnflag = 'N' AND l_linenumber BETWEEN 3 AND 4
+ OR l_returnflag = 'R' AND l_linenumber <= 2 GROUP BY 1, 2, 3""")
+def adm_chosen_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first partitions of two tables and a span of a third."""
+    return admin.chosen_partitions(line_partitions(spark, sf_dir), ["A", "R"], {"N": (3, 4)}, most=2)
+
+
+@query(r"""SELECT o_orderkey AS plan_handle, o_custkey AS sql_handle, query_plan, statement, place::INT AS place, word FROM orders o,
+ LATERAL (SELECT c_name || ' ' || c_mktsegment || ' of nation ' || c_nationkey AS text FROM customer WHERE c_custkey = o.o_custkey) t,
+ LATERAL (SELECT l_partkey || '/' || l_linenumber AS query_plan FROM lineitem WHERE l_orderkey = o.o_orderkey ORDER BY l_shipdate DESC, l_partkey || '/' || l_linenumber LIMIT 1) p,
+ LATERAL (SELECT substring(t.text, o.o_orderkey % 20 // 2 + 1, 21) AS statement) s,
+ LATERAL (SELECT unnest(range(0, len(w))) AS place, unnest(w) AS word FROM (SELECT string_split(trim(regexp_replace(s.statement, '\s+', ' ', 'g'), ' '), ' ') AS w)) x""")
+def adm_cross_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cached plans: the customer's text, the order's line that ships last, and the words of a slice, applied row by row."""
+    stats = table(spark, sf_dir, "orders").selectExpr("o_orderkey as plan_handle", "o_custkey as sql_handle", "o_orderkey % 20 as statement_start_offset", "o_orderkey % 20 + 40 as statement_end_offset")
+    texts = table(spark, sf_dir, "customer").selectExpr("c_custkey as texts_handle", "c_name || ' ' || c_mktsegment || ' of nation ' || c_nationkey as text")
+    plans = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as plans_handle", "l_shipdate as created", "l_partkey || '/' || l_linenumber as query_plan")
+    return admin.applied_statements(stats, texts, plans)
+
+
 @query("""SELECT n_name AS schema_name, c_name AS object_name, c_mktsegment AS index_name, c_custkey % 4 * 25 AS fill_factor FROM customer
  JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IS NOT NULL""")
 def adm_fill_factors(spark: SparkSession, sf_dir: str) -> DataFrame:

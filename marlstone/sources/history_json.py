@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SECTIONS = {
@@ -37,7 +37,11 @@ def write_section(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).parquet(path)
 
 
-def tool_version(texts: DataFrame, text: str = "value", name: str = "APP_VERSION") -> DataFrame:
+def version_of(text: Column, name: str = "APP_VERSION") -> Column:
     """The value of a version constant in source text: of the first line that starts with ``name`` and sets it to a text in
     double quotes; empty if there is none, null for a null text."""
-    return texts.select(F.regexp_extract(F.col(text), rf'(?m)^{name}\s*=\s*"([^"]+)"', 1).alias("version"))
+    return F.regexp_extract(text, rf'(?m)^{name}\s*=\s*"([^"]+)"', 1)
+
+
+def tool_version(texts: DataFrame, text: str = "value", name: str = "APP_VERSION") -> DataFrame:
+    return texts.select(version_of(F.col(text), name).alias("version"))
