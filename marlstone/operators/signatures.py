@@ -65,6 +65,7 @@ def meetings(left: DataFrame, right: DataFrame, threshold: int, on: list[str], t
 
     def level(left: DataFrame, right: DataFrame, order: int, keys: list[str]) -> DataFrame:
         left, right = keyed(left, threshold, order), keyed(right, threshold, order)
+        right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both may be one table
         keys = [*keys, f"c{order}", f"v{order}"]
         deeper = None
         if order + 1 < len(ORDERS):
@@ -80,6 +81,9 @@ def meetings(left: DataFrame, right: DataFrame, threshold: int, on: list[str], t
         chosen = chosen.filter(reduce(Column.__and__, (first_key(threshold, i, F.col("x")) for i in range(order + 1)))).select("a", "b", "x")
         return chosen if deeper is None else chosen.unionByName(deeper)
 
+    if not threshold:  # equal ones
+        same = reduce(Column.__and__, (F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*on, "s"]))
+        return left.alias("l").join(right.alias("r"), same).filter(test).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.lit(0).cast("bigint").alias("x"))
     return level(left, right, 0, on)
 
 
