@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..sources.storage import scratch, stored
 from .recompression import blocks, words_of
-from .windows import NO_ID, batch_of, mixed, texts_of, trimmed, twisted
+from .windows import NO_ID, batch_of, mixed, texts_of, tidied, trimmed, twisted
 
 SHINGLE, SIMILARITY = 4, 80
 #: Trees and depth of the forests, the first for all classes, the others for regions that need them.
@@ -108,7 +108,7 @@ def signed(texts: DataFrame, k: int) -> DataFrame:
                 sig = pa.array([next(rows).tobytes() if n else None for n in sizes], pa.binary())
                 yield batch_of([batch.column(0)[x:y], batch.column(1)[x:y], sizes, names[:, 0], names[:, 1], sig], ddl)
 
-    return texts.mapInArrow(run, ddl)
+    return texts.mapInArrow(tidied(run), ddl)
 
 
 def signed_again(texts: DataFrame, classes: DataFrame, k: int, forest: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import scratch, stored
-from .windows import mixed, unit_names
+from .windows import mixed, tidied, unit_names
 
 #: Labelled rows to learn from, at most about so many (an even hash sample of the ids beyond it).
 MAX_LABELLED = 200_000
@@ -137,7 +137,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str, text_co
             yield pa.RecordBatch.from_arrays([lists.cast(pa.list_(pa.float64())), batch.column(1)], names=["stats", "label"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(labels), "doc_id").select("text", "label").mapInArrow(run, "stats array<double>, label double")
+    return texts.join(F.broadcast(labels), "doc_id").select("text", "label").mapInArrow(tidied(run), "stats array<double>, label double")
 
 
 @dataclass
@@ -257,7 +257,7 @@ def score_documents(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, score double, predicted int")
 
 
 def accepted_documents(
@@ -273,4 +273,4 @@ def accepted_documents(
         for b in batches:
             yield b.filter(pa.array(model.score(batch_statistics(b.column(place))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -148,11 +148,22 @@ def whole(ends: np.ndarray, n: int, first: int, w: int) -> np.ndarray:
 
 def trimmed() -> None:
     """Gives memory that arrays have freed back to the system, where the C library can: a Python worker serves many tasks."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a task, after which what it has freed goes back to the system."""
+
+    def whole_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trimmed()
+
+    return whole_task
+
+
 def batch_of(columns: list[np.ndarray | pa.Array], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[c.split()[0] for c in ddl.split(", ")])
 
@@ -173,8 +184,8 @@ def hot_anchors(texts: DataFrame, extract: Extract) -> DataFrame:
             yield from extract(b, False)
 
     # A table, so that adaptive execution can split a key with very many anchors over tasks.
-    hot = stored(texts.mapInArrow(keys, "key long").groupBy("key").count().filter("count > 1").select("key"), "hot")
-    return stored(texts.mapInArrow(rows, ANCHORS).join(hot, "key"), "anchors")
+    hot = stored(texts.mapInArrow(tidied(keys), "key long").groupBy("key").count().filter("count > 1").select("key"), "hot")
+    return stored(texts.mapInArrow(tidied(rows), ANCHORS).join(hot, "key"), "anchors")
 
 
 def segments(anchors: DataFrame) -> DataFrame:
