@@ -197,6 +197,29 @@ def test_box_join_is_exact(spark):
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and abs(a[2] - b[2]) <= 8 and abs(a[3] - b[3]) / a[3] <= 0.15}
 
 
+def test_box_join_sends_no_side_through_the_driver(spark):
+    df = spark.createDataFrame([(1, "a", 3, 2.0)], "id int, t string, s int, p double")
+    plan = predict.box_join(df, df, ["t"], {"s": 8}, {"p": 0.15})._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_box_profiles_count_copies(spark):
+    """Copies are counted, though no two of them are paired; a row without a value has no profile."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab"), rng.randint(1, 30), float(rng.randint(20, 40))) for i in range(80)]
+    rows = [(i + 100 * k, *r) for i, *r in rows for k in range(rng.choice([1, 1, 7]))] + [(-1, None, 3, 25.0), (-2, "a", 3, None)]
+    df = spark.createDataFrame(rows, "id int, t string, s int, p double")
+    distance = F.abs(F.col("h_p") - F.col("p_p")) / F.col("p_p") + F.abs(F.col("h_s") - F.col("p_s")) / 32.0
+    got = {r["id"]: (r["n"], r["mean"], r["std"]) for r in predict.box_profiles(df, "id", ["t"], {"s": 8}, {"p": 0.15}, "p", distance).collect()}
+    whole = [r for r in rows if None not in r]
+    assert set(got) == {r[0] for r in whole}
+    for i, t, s, p in whole:
+        near = [(q, 1 / (0.05 + abs(q - p) / p + abs(z - s) / 32)) for _, u, z, q in whole if u == t and abs(z - s) <= 8 and abs(q - p) / p <= 0.15]
+        mean = sum(q * w for q, w in near) / sum(w for _, w in near)
+        std = max(0.0, sum(q * q * w for q, w in near) / sum(w for _, w in near) - mean * mean) ** 0.5
+        assert got[i] == (len(near), pytest.approx(mean), pytest.approx(std, abs=1e-4))
+
+
 def test_loglog(spark):
     df = spark.createDataFrame([("f", 1, 60, 10240), ("f", 2, 80, 16384), ("g", 1, 60, 5)], "f string, seq int, q int, size int")
     got = {r["f"]: (r["alpha"], r["c"]) for r in predict.loglog_last3(df, "f", ["seq"], "q", "size").collect()}
