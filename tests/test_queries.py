@@ -14,7 +14,7 @@ def test_query_matches_sql(spark, name):
     compare(spark, plans.queries()[name], plans.oracle_sql()[name], SF)
 
 
-@pytest.mark.parametrize("name", ["scale_cascade"])
+@pytest.mark.parametrize("name", ["scale_cascade", "size_cascade"])
 def test_parts_stay_out_of_the_driver(spark, name):
     """Neither parts nor their neighbours are broadcast, however small Spark takes them to be."""
     plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
