@@ -25,9 +25,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
 
 def compact(rows: DataFrame, keys: list[str], order: list[str], scale: str | None = None, default: float = 0.75) -> DataFrame:
     """The last row of each key, with ``count`` the number of rows it stands for (not a sum of earlier counts).  Where the
-    last of several rows has no ``scale``, it gets their mean, a missing one counting as ``default``."""
+    last of several rows has no ``scale``, it gets their mean, a missing one counting as ``default``.
+
+    With one column of order each column is taken by itself, all from one row, as which row it is depends on the order alone:
+    numbers are then aggregated by hashes, where structs would have all rows sorted."""
     rest = [c for c in rows.columns if c not in keys and c not in order and c != "count"]
-    best = [F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("r"), F.count("*").alias("count")]
+    if len(order) == 1:
+        last = [F.when(F.max(order[0]).isNull(), F.first(c)).otherwise(F.max_by(c, order[0])).alias(c) for c in rest]
+        best = [F.struct(F.max(order[0]).alias(order[0]), *last).alias("r"), F.count("*").alias("count")]
+    else:
+        best = [F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("r"), F.count("*").alias("count")]
     mean = [F.avg(F.coalesce(F.col(scale), F.lit(default))).alias("mean_scale")] if scale else []
     rows = rows.groupBy(*keys).agg(*best, *mean).select(*keys, "r.*", "count", *(["mean_scale"] if scale else []))
     if not scale:

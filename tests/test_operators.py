@@ -423,3 +423,27 @@ def test_startup_plan(spark):
     assert got[6] == (68, 1, True, 14.3, None, None, "webp exact stats (direct-final, records=8, count=1)")
     assert got[7][0] == 62  # over the tolerance for the strong one
     assert got[8][0] == 62  # frames within 3 per cent of 52 only there
+
+
+def test_compact_of_numbers_needs_no_sort(spark):
+    """One row is kept whole, also of rows of equal or of no order."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(9), rng.choice([None, 1, 2, 3]) if i % 2 else None, i, i * 0.5 if i % 3 else None) for i in range(60)]
+    got = history.compact(spark.createDataFrame(rows, "k int, at long, x long, y double").repartition(3), ["k"], ["at"])
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        own = [x for x in rows if x[0] == r["k"]]
+        assert r["count"] == len(own) and (r["k"], r["at"], r["x"], r["y"]) in own
+        assert r["at"] == max((x[1] for x in own if x[1] is not None), default=None)
+
+
+def test_startup_plan_sends_no_probes_through_the_driver(spark):
+    """Probes of one shape share a plan, and neither they nor what fits them is broadcast."""
+    cols = "width int, height int, frames int, init_mb double, quality int, method int, result_mb double, count long, timestamp long, resize_count int, final_width int, final_height int"
+    rows = [(100, 80, 30, 15.0 + k / 10, 70 + k, 1, 14.0 + k / 50, 2, k, 0, 0, 0) for k in range(4)]
+    df = spark.createDataFrame([(i, 100, 80, 30, 15.0 + i % 2 * 0.22) for i in range(40)] + [(-1, 900, 80, 30, 15.0)], "id long, width int, height int, frames int, init_mb double")
+    plan = predict.startup_plan(df, spark.createDataFrame(rows, cols))
+    tree = plan._jdf.queryExecution().executedPlan().toString()
+    assert tree.count("BroadcastExchange") <= 1  # the number of records
+    got = {r["id"]: (r["quality"], r["direct_final"]) for r in plan.collect()}
+    assert got == {i: (70 + i % 2 * 2, True) for i in range(40)} | {-1: (got[-1][0], False)}
