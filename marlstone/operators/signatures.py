@@ -4,7 +4,8 @@ matrices.
 The bits are cut into ``t + r`` bands, of which two signatures at most ``t`` bits apart share ``r`` at least, so a row's keys
 are its bits in every ``r`` bands.  A pair is met under several keys and taken under the first, the one of its lowest shared
 bands, so nothing is made distinct afterwards.  A key that more than ``most`` rows share is narrowed by the keys of another
-cut of the bits, which hold for a pair as well; what shares keys of all cuts is compared.
+cut of the bits, which hold for a pair as well; what shares keys of all cuts is compared.  Keys that narrow have one band
+only, and so have few rows for each: most of what shares a large key is near, and is compared in any case.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from ..sources.storage import stored
 
 BITS = 64
 #: Keys of a row in one cut, and rows of a key beyond which it is narrowed.
-MOST_KEYS, MOST_ROWS = 120, 512
+MOST_KEYS, MOST_ROWS = 120, 32_768
+#: Bands of a key in each cut, at most: of signatures, and of the places of arrays, of which there are more and which share
+#: fewer keys.
+BANDS, PLACE_BANDS = (3, 1, 1), (2, 1, 1)
 #: Orders in which the bits are cut into bands: as they are, by their place in a byte, and by every 13th.
 ORDERS = (range(BITS), sorted(range(BITS), key=lambda i: (i % 8, i)), [i * 13 % BITS for i in range(BITS)])
 
@@ -29,11 +33,12 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def cut(threshold: int, order: int) -> tuple[list[int], list[list[int]]]:
-    """The masks of the keys in one cut of the bits, and for each the masks of the lower bands it leaves out."""
+def cut(threshold: int, order: int, most: int = 3) -> tuple[list[int], list[list[int]]]:
+    """The masks of the keys of ``most`` bands at most in one cut of the bits, and for each the masks of the lower bands it
+    leaves out."""
     if not 0 <= threshold < BITS:
         raise ValueError(f"a threshold of 0 to {BITS - 1} bits, not {threshold}")
-    r = next((r for r in (3, 2) if comb(threshold + r, r) <= MOST_KEYS), 1)
+    r = next((r for r in range(most, 1, -1) if comb(threshold + r, r) <= MOST_KEYS), 1)
     n = threshold + r
     places = list(ORDERS[order])
     bands = [sum(1 << i for i in places[k * BITS // n : (k + 1) * BITS // n]) for k in range(n)]
@@ -44,41 +49,44 @@ def cut(threshold: int, order: int) -> tuple[list[int], list[list[int]]]:
     return masks, skipped
 
 
-def keyed(rows: DataFrame, threshold: int, order: int, sig: str = "s") -> DataFrame:
+def keyed(rows: DataFrame, threshold: int, order: int, sig: str = "s", bands: tuple[int, ...] = BANDS) -> DataFrame:
     """``rows`` once for each key of a cut: ``c<order>``, the key's number, and ``v<order>``, its bits."""
-    masks, _ = cut(threshold, order)
+    masks, _ = cut(threshold, order, bands[order])
     keys = F.array(*(F.struct(F.lit(i).alias("c"), F.lit(signed(m)).alias("m")) for i, m in enumerate(masks)))
     rows = rows.withColumn("_key", F.explode(keys))
     return rows.withColumn(f"c{order}", F.col("_key.c")).withColumn(f"v{order}", F.col(sig).bitwiseAND(F.col("_key.m"))).drop("_key")
 
 
-def first_key(threshold: int, order: int, differing: Column) -> Column:
+def first_key(threshold: int, order: int, differing: Column, bands: tuple[int, ...] = BANDS) -> Column:
     """Whether a key is the first that a pair shares: the lower bands it leaves out differ."""
-    _, skipped = cut(threshold, order)
+    _, skipped = cut(threshold, order, bands[order])
     lists = F.array(*(F.array(*(F.lit(signed(m)) for m in ms)).cast("array<bigint>") for ms in skipped))
     return F.forall(F.get(lists, F.col(f"c{order}")), lambda m: differing.bitwiseAND(m) != 0)
 
 
-def meetings(left: DataFrame, right: DataFrame, threshold: int, on: list[str], test: Column, most: int = MOST_ROWS) -> DataFrame:
+def meetings(left: DataFrame, right: DataFrame, threshold: int, on: list[str], test: Column, most: int = MOST_ROWS, bands: tuple[int, ...] = BANDS) -> DataFrame:
     """(a, b, and the columns of ``test``) of the rows (id, s, ...) whose signatures are at most ``threshold`` bits apart, that
-    agree in ``on`` and pass ``test`` on ``l.`` and ``r.``; one row for each pair of rows."""
+    agree in ``on`` and pass ``test`` on ``l.`` and ``r.``; one row for each pair of rows.  Both sides are shuffled:
+    Spark's estimate of a side leaves out that a row has many keys, and would send it whole through the driver."""
 
     def level(left: DataFrame, right: DataFrame, order: int, keys: list[str]) -> DataFrame:
-        left, right = keyed(left, threshold, order), keyed(right, threshold, order)
+        same_rows = left is right
+        left, right = (keyed(x, threshold, order, bands=bands) for x in (left, right))
         right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both may be one table
         keys = [*keys, f"c{order}", f"v{order}"]
         deeper = None
         if order + 1 < len(ORDERS):
-            both = left.select(keys).unionByName(right.select(keys))
-            hot = stored(both.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 2 * most).select(keys), "hot")
+            both = left.select(keys) if same_rows else left.select(keys).unionByName(right.select(keys))
+            hot = stored(both.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > (most if same_rows else 2 * most)).select(keys), "hot")
             if not hot.isEmpty():
-                deeper = level(left.join(hot, keys), right.join(hot, keys), order + 1, keys)
+                own = left.join(hot, keys)
+                deeper = level(own, own if same_rows else right.join(hot, keys), order + 1, keys)
                 left, right = left.join(hot, keys, "left_anti"), right.join(hot, keys, "left_anti")
         same = reduce(Column.__and__, (F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys))
         differing = F.col("l.s").bitwiseXOR(F.col("r.s"))
-        found = left.alias("l").join(right.alias("r"), same).filter(test & (F.bit_count(differing) <= threshold))
+        found = left.alias("l").join(right.alias("r").hint("merge"), same).filter(test & (F.bit_count(differing) <= threshold))
         chosen = found.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), differing.alias("x"), *(F.col(f"l.c{i}") for i in range(order + 1)))
-        chosen = chosen.filter(reduce(Column.__and__, (first_key(threshold, i, F.col("x")) for i in range(order + 1)))).select("a", "b", "x")
+        chosen = chosen.filter(reduce(Column.__and__, (first_key(threshold, i, F.col("x"), bands) for i in range(order + 1)))).select("a", "b", "x")
         return chosen if deeper is None else chosen.unionByName(deeper)
 
     if not threshold:  # equal ones
@@ -123,21 +131,25 @@ def near_arrays(classes: DataFrame, threshold: int, most: int = MOST_ROWS) -> Da
     shorter, which stands there with its last value.  Places are found like single signatures, then whole arrays are compared."""
     arrays = classes.filter(F.size("s") > 0).select("id", F.col("s").alias("all"), F.size("s").alias("size"))
     places = arrays.select("id", F.posexplode("all").alias("place", "s"))
-    aligned = meetings(places, places, threshold, ["place"], F.col("l.id") < F.col("r.id"), most)
+    aligned = meetings(places, places, threshold, ["place"], F.col("l.id") < F.col("r.id"), most, PLACE_BANDS)
     ends = arrays.select("id", "size", F.element_at("all", -1).alias("s"))
-    past = meetings(ends, places.filter("place > 0"), threshold, [], F.col("r.place") >= F.col("l.size"), most)
+    past = meetings(ends, places.filter("place > 0"), threshold, [], F.col("r.place") >= F.col("l.size"), most, PLACE_BANDS)
     pair = lambda found: found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pair(aligned).unionByName(pair(past)).distinct()
-    whole = pairs.join(arrays.select(F.col("id").alias("a"), F.col("all").alias("x")), "a").join(arrays.select(F.col("id").alias("b"), F.col("all").alias("y")), "b")
+    side = lambda item, name: arrays.select(F.col("id").alias(item), F.col("all").alias(name)).hint("merge")
+    whole = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     return whole.select("a", "b", mean_distance(F.col("x"), F.col("y")).alias("distance")).filter(F.col("distance") <= threshold)
 
 
 def word_signatures(words: DataFrame, keys: list[str], word: str = "word") -> DataFrame:
-    """(keys, sig): the bits that most of a key's words have set in the first 64 bits of their MD5 sum; of as many, none."""
+    """(keys, sig): the bits that most of a key's words have set in the first 64 bits of their MD5 sum; of as many, none.
+    Two bits are counted in one number, 32 bits apart."""
     h = words.select(*keys, F.conv(F.substring(F.md5(word), 1, 16), 16, -10).cast("bigint").alias("h"))
-    ones = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"b{i}") for i in range(BITS)]
+    half = BITS // 2
+    ones = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1 << half | 1))).alias(f"b{i}") for i in range(half)]
     sums = h.groupBy(*keys).agg(F.count("*").alias("n"), *ones)
-    bits = [F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(signed(1 << i))).otherwise(F.lit(0)).cast("bigint") for i in range(BITS)]
+    count = lambda i: F.col(f"b{i}").bitwiseAND(F.lit((1 << half) - 1)) if i < half else F.shiftrightunsigned(f"b{i - half}", half)
+    bits = [F.when(2 * count(i) > F.col("n"), F.lit(signed(1 << i))).otherwise(F.lit(0)).cast("bigint") for i in range(BITS)]
     return sums.select(*keys, reduce(Column.bitwiseOR, bits).alias("sig"))
 
 

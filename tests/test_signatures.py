@@ -113,3 +113,22 @@ def test_hub_of_many_edges(spark):
     df = spark.createDataFrame([(i, "same" if i % 3 else str(i)) for i in range(300)], "id long, digest string")
     plan = dedup.keep_delete(df, "digest", "id", [])
     assert plan.count() == 199 and skew_ready(plan)
+
+
+def test_rows_have_few_keys_and_stay_out_of_the_driver(spark):
+    """Spark takes a table for as small as it is before its rows get their keys, and would broadcast all of these."""
+    df = spark.createDataFrame([(i, i * 7919, 1) for i in range(50)], "id long, s long, n long")
+    plan = signatures.near_classes(df, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert signatures.keyed(df, 6, 1).count() == 50 * 7
+    assert signatures.keyed(df, 6, 0, bands=signatures.PLACE_BANDS).count() == 50 * 28
+
+
+def test_word_signatures_of_long_items(spark):
+    """Counts that share a number don't run into each other."""
+    words = spark.range(70_000).selectExpr("id % 2 as k", "if(id % 5 < 3, 'x', concat('y', id % 3)) as word")
+    got = {r["k"]: r["sig"] for r in signatures.word_signatures(words, ["k"]).collect()}
+    import hashlib
+
+    x = int.from_bytes(hashlib.md5(b"x").digest()[:8], "big")
+    assert got == {0: signed(x), 1: signed(x)}
