@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from .graph import components
-from .signatures import classes_of, near_classes
+from .signatures import classes_of, meetings, near_classes
 
 #: Items of a component whose leaders are found by one scan.
 MOST_ITEMS = 1_000_000
+#: Items of the first batch of signatures that are paired with each other; all batches so far grow to this many times as many.
+FIRST_ITEMS, GROWTH = 30_000, 3
 
 
 def exact_groups(rows: DataFrame, key: str, item: str, scope: list[str] | None = None) -> DataFrame:
@@ -105,13 +108,32 @@ def _leaders_by_rounds(known: DataFrame) -> DataFrame:
     return led.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("leader")).select("leader", "member")
 
 
-def signature_clusters(sigs: DataFrame, item: str, sig: str, threshold: int) -> DataFrame:
+def signature_leaders(firsts: DataFrame, threshold: int, batch: int = FIRST_ITEMS) -> DataFrame:
+    """(leader, member) of the leader clusters of distinct signatures (id, s), in batches of rising ids.  A batch's leaders
+    take their members from all later items before these are paired with each other, so pairs grow with the leaders near
+    an item, which are far apart, and not with the square of a cluster.  Earlier batches have the earlier leaders, so what is
+    taken is taken by its first."""
+    rest, led = stored(numbered(firsts.select("id", "s"), "id"), "rest"), []
+    n = rest.count()
+    without = lambda rows, some: rows.join(some.select(F.col("member").alias("id")).hint("merge"), "id", "left_anti")
+    while True:
+        own, later = rest.filter(F.col("i") <= batch), rest.filter(F.col("i") > batch)
+        led.append(stored(leader_clusters(near_classes(own, threshold), own, "id"), "led"))
+        if batch >= n:
+            return reduce(DataFrame.unionByName, led)
+        pairs = meetings(without(own, led[-1]).select("id", "s"), later.select("id", "s"), threshold, [], F.lit(True))
+        led.append(stored(pairs.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("leader")).select("leader", "member"), "taken"))
+        rest, batch = stored(without(later, led[-1]), "rest"), batch * GROWTH
+
+
+def signature_clusters(sigs: DataFrame, item: str, sig: str, threshold: int, batch: int = FIRST_ITEMS) -> DataFrame:
     """(leader, member) of the leader clusters of signatures.  Items with one signature are clustered as its first item:
     the others join the leader that item has, or is, so copies are never paired with each other."""
+    sigs = stored(sigs.select(item, sig), "signatures")
     firsts = classes_of(sigs, item, sig)
-    led = leader_clusters(near_classes(firsts, threshold), firsts, "id").withColumnRenamed("member", "id")
-    leader = stored(firsts.join(led, "id", "left").select(F.col("s").alias(sig), F.coalesce("leader", "id").alias("leader")), "leaders")
-    return sigs.join(leader, sig).filter(F.col(item) != F.col("leader")).select("leader", F.col(item).alias("member"))
+    led = signature_leaders(firsts, threshold, batch).withColumnRenamed("member", "id")
+    leader = stored(firsts.join(led.hint("merge"), "id", "left").select(F.col("s").alias(sig), F.coalesce("leader", "id").alias("leader")), "leaders")
+    return sigs.join(leader.hint("merge"), sig).filter(F.col(item) != F.col("leader")).select("leader", F.col(item).alias("member"))
 
 
 def plan_totals(plan: DataFrame, sizes: DataFrame, item: str, size: str) -> DataFrame:

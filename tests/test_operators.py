@@ -122,6 +122,24 @@ def test_signature_clusters_against_a_scan(spark):
     assert sorted(map(tuple, dedup.signature_clusters(df, "id", "sig", 2).collect())) == sorted(want)
 
 
+def test_leaders_are_found_without_all_pairs_of_a_cluster(spark, monkeypatch):
+    """Batches of rising ids: the same clusters, from far fewer pairs than near ones."""
+    rng = random.Random(2)
+    own = [(i, sum(1 << k for k in rng.sample(range(12), 2)) | i % 64 << 20) for i in range(400)]
+    want, used, near = [], set(), 0
+    for i, x in own:
+        mine = [j for j, y in own if j > i and (x ^ y).bit_count() <= 6]
+        near += len(mine)
+        if i not in used:
+            want += [(i, j) for j in mine if j not in used]
+            used |= set(mine)
+    seen, whole = [], dedup.leader_clusters
+    monkeypatch.setattr(dedup, "leader_clusters", lambda pairs, *a: (seen.append(pairs.count()), whole(pairs, *a))[1])
+    df = spark.createDataFrame(own, "id long, sig long")
+    assert sorted(map(tuple, dedup.signature_clusters(df, "id", "sig", 6, batch=40).collect())) == sorted(want)
+    assert len(seen) > 1 and sum(seen) < near // 10
+
+
 def test_components_of_chains(spark):
     rng = random.Random(3)
     ids = rng.sample(range(1000), 300)
