@@ -21,6 +21,13 @@ def test_parts_stay_out_of_the_driver(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["scale_cascade"])
+def test_parts_meet_their_profiles_once(spark, name):
+    """Parts are read and shuffled by shape alone, not once more by key to get what their shape found."""
+    plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("part.parquet") == 1
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
