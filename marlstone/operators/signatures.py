@@ -33,17 +33,22 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def cut(threshold: int, order: int, most: int = 3) -> tuple[list[int], list[list[int]]]:
-    """The masks of the keys of ``most`` bands at most in one cut of the bits, and for each the masks of the lower bands it
-    leaves out."""
+def banded(threshold: int, order: int, most: int = 3) -> tuple[int, list[int]]:
+    """How many bands a key of one cut of the bits has, ``most`` at most, and the masks of all bands."""
     if not 0 <= threshold < BITS:
         raise ValueError(f"a threshold of 0 to {BITS - 1} bits, not {threshold}")
     r = next((r for r in range(most, 1, -1) if comb(threshold + r, r) <= MOST_KEYS), 1)
     n = threshold + r
     places = list(ORDERS[order])
-    bands = [sum(1 << i for i in places[k * BITS // n : (k + 1) * BITS // n]) for k in range(n)]
+    return r, [sum(1 << i for i in places[k * BITS // n : (k + 1) * BITS // n]) for k in range(n)]
+
+
+def cut(threshold: int, order: int, most: int = 3) -> tuple[list[int], list[list[int]]]:
+    """The masks of the keys of ``most`` bands at most in one cut of the bits, and for each the masks of the lower bands it
+    leaves out."""
+    r, bands = banded(threshold, order, most)
     masks, skipped = [], []
-    for chosen in combinations(range(n), r):
+    for chosen in combinations(range(len(bands)), r):
         masks.append(sum(bands[k] for k in chosen))
         skipped.append([bands[k] for k in range(chosen[-1]) if k not in chosen])
     return masks, skipped
@@ -57,11 +62,15 @@ def keyed(rows: DataFrame, threshold: int, order: int, sig: str = "s", bands: tu
     return rows.withColumn(f"c{order}", F.col("_key.c")).withColumn(f"v{order}", F.col(sig).bitwiseAND(F.col("_key.m"))).drop("_key")
 
 
-def first_key(threshold: int, order: int, differing: Column, bands: tuple[int, ...] = BANDS) -> Column:
-    """Whether a key is the first that a pair shares: the lower bands it leaves out differ."""
-    _, skipped = cut(threshold, order, bands[order])
-    lists = F.array(*(F.array(*(F.lit(signed(m)) for m in ms)).cast("array<bigint>") for ms in skipped))
-    return F.forall(F.get(lists, F.col(f"c{order}")), lambda m: differing.bitwiseAND(m) != 0)
+def first_key(threshold: int, order: int, differing: Column, key: Column, bands: tuple[int, ...] = BANDS) -> Column:
+    """Whether a key is the first that a pair shares: up to its last band, its own are all that agree.  Pairs that agree in
+    most bands are asked this under most of their keys, so it is plain arithmetic, which Spark compiles."""
+    r, masks = banded(threshold, order, bands[order])
+    chosen = list(combinations(range(len(masks)), r))
+    long = lambda x: F.lit(signed(x)).cast("bigint")
+    at = lambda xs: F.get(F.array(*map(long, xs)), key)
+    agree = reduce(Column.bitwiseOR, (F.when(differing.bitwiseAND(long(m)) == 0, long(1 << k)).otherwise(long(0)) for k, m in enumerate(masks)))
+    return agree.bitwiseAND(at((2 << c[-1]) - 1 & (1 << BITS) - 1 for c in chosen)) == at(sum(1 << k for k in c) for c in chosen)
 
 
 def meetings(left: DataFrame, right: DataFrame, threshold: int, on: list[str], test: Column, most: int = MOST_ROWS, bands: tuple[int, ...] = BANDS) -> DataFrame:
@@ -84,9 +93,9 @@ def meetings(left: DataFrame, right: DataFrame, threshold: int, on: list[str], t
                 left, right = left.join(hot, keys, "left_anti"), right.join(hot, keys, "left_anti")
         same = reduce(Column.__and__, (F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys))
         differing = F.col("l.s").bitwiseXOR(F.col("r.s"))
-        found = left.alias("l").join(right.alias("r").hint("merge"), same).filter(test & (F.bit_count(differing) <= threshold))
-        chosen = found.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), differing.alias("x"), *(F.col(f"l.c{i}") for i in range(order + 1)))
-        chosen = chosen.filter(reduce(Column.__and__, (first_key(threshold, i, F.col("x"), bands) for i in range(order + 1)))).select("a", "b", "x")
+        first = (first_key(threshold, i, differing, F.col(f"l.c{i}"), bands) for i in range(order + 1))
+        near = reduce(Column.__and__, first, test & (F.bit_count(differing) <= threshold))
+        chosen = left.alias("l").join(right.alias("r").hint("merge"), same).filter(near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), differing.alias("x"))
         return chosen if deeper is None else chosen.unionByName(deeper)
 
     if not threshold:  # equal ones

@@ -132,3 +132,9 @@ def test_word_signatures_of_long_items(spark):
 
     x = int.from_bytes(hashlib.md5(b"x").digest()[:8], "big")
     assert got == {0: signed(x), 1: signed(x)}
+
+
+def test_first_keys_are_compiled(spark):
+    """What a pair is asked under each key that it shares is arithmetic, not a function over arrays that is interpreted."""
+    df = spark.createDataFrame([(i, i * 7919, 1) for i in range(50)], "id long, s long, n long")
+    assert "forall" not in signatures.near_classes(df, 6)._jdf.queryExecution().executedPlan().toString().lower()
