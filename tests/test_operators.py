@@ -416,6 +416,20 @@ def test_nearest_by_score(spark):
     assert got == want and 900 not in got and got[500][2] == 0
 
 
+def test_nearest_by_score_meets_few_rows(spark, monkeypatch):
+    """Probes of equal features are one, and what is stored stays near the size of the tables, whatever the levels."""
+    seen, write = {}, predict.stored
+    monkeypatch.setattr(predict, "stored", lambda df, name: (out := write(df, name), seen.__setitem__(name, seen.get(name, 0) + out.count()))[0])
+    h = spark.range(6000).selectExpr("id as entry", "'a' as kind", "cast(id % 40 * 25 as int) as w", "cast(id * 7 % 50 as double) as f", "cast(id * 13 % 30 as double) as d")
+    p = spark.range(3000).selectExpr("id", "'a' as kind", "cast(id % 10 * 100 + 3 as int) as w", "cast(id % 6 * 8 as double) as f", "cast(id % 5 * 6 as double) as d")
+    got = predict.nearest_by_score(p, h, "kind", ["w", "f", "d"], "entry", ["entry"]).collect()
+    assert len(got) == 3000 and seen["probes"] == 30 and sum(seen.values()) < 2 * 6000
+    rows = [(r["entry"], r["w"], r["f"], r["d"]) for r in h.collect()]
+    for r in got[::500]:
+        x = (r["id"] % 10 * 100 + 3, r["id"] % 6 * 8, r["id"] % 5 * 6)
+        assert r["entry"] == min((score_of(x, y[1:]), y[0]) for y in rows)[1]
+
+
 def test_startup_plan(spark):
     """One probe for each rule: too few observations, a strong match, an exact one, tolerances, the band, sizes to cut to first."""
     cols = "width int, height int, frames int, init_mb double, quality int, method int, result_mb double, count long, timestamp double, resize_count int, final_width int, final_height int"
