@@ -4,7 +4,7 @@ import pytest
 
 from marlstone import plans
 
-from .oracle import compare
+from .oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,6 +28,20 @@ def test_parts_meet_their_profiles_once(spark, name):
     assert plan.count("SortMergeJoin") == 2 and plan.count("part.parquet") == 1
 
 
+@pytest.mark.parametrize("name", ["neighbor_profile", "scale_cascade", "size_cascade"])
+def test_parts_of_one_key_share_a_profile(spark, name, tmp_path):
+    """A key that occurs in several rows has the neighbours of all of them; in the cascades a null key has none."""
+    import duckdb
+
+    for t in TABLES:
+        if t != "part":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    again = "SELECT p_partkey - 30 AS p_partkey, * EXCLUDE (p_partkey) FROM p WHERE p_partkey BETWEEN 30 AND 90 UNION ALL SELECT * FROM p WHERE p_partkey < 40"
+    none = "SELECT CAST(NULL AS BIGINT), * EXCLUDE (p_partkey) FROM p WHERE p_partkey % 7 = 0"
+    duckdb.execute(f"COPY (WITH p AS (SELECT * FROM '{SF}/part.parquet') SELECT * FROM p UNION ALL {again} UNION ALL {none}) TO '{tmp_path}/part.parquet'")
+    compare(spark, plans.queries()[name], plans.oracle_sql()[name], str(tmp_path))
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
