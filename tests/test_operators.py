@@ -215,6 +215,16 @@ def test_box_join_is_exact(spark):
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and abs(a[2] - b[2]) <= 8 and abs(a[3] - b[3]) / a[3] <= 0.15}
 
 
+@pytest.mark.parametrize("shares", [1, 5])
+def test_box_join_of_any_sign_is_exact(spark, shares):
+    """Over a value below 0 every difference is within the ratio, over 0 none; dealt out, each pair is met once."""
+    rng = random.Random(4)
+    rows = [(i, rng.randint(1, 60), rng.choice([0.0, round(rng.uniform(-300, 300), 2), round(rng.uniform(100, 120), 2)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, s int, p double")
+    got = sorted((r.p_id, r.h_id) for r in predict.box_join(df, df, [], {"s": 8}, {"p": 0.15}, signed=True, shares=shares).collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if abs(a[1] - b[1]) <= 8 and a[2] and abs(a[2] - b[2]) / a[2] <= 0.15)
+
+
 def test_box_join_sends_no_side_through_the_driver(spark):
     df = spark.createDataFrame([(1, "a", 3, 2.0)], "id int, t string, s int, p double")
     plan = predict.box_join(df, df, ["t"], {"s": 8}, {"p": 0.15})._jdf.queryExecution().executedPlan().toString()

@@ -42,6 +42,29 @@ def test_parts_of_one_key_share_a_profile(spark, name, tmp_path):
     compare(spark, plans.queries()[name], plans.oracle_sql()[name], str(tmp_path))
 
 
+def test_neighbours_are_parts_of_any_brand_and_type(spark):
+    """Every part within the tolerances of size and price is a neighbour, by the reference's rule and not by the SQL."""
+    import duckdb
+
+    rows = duckdb.sql(f"SELECT p_partkey, p_size, p_retailprice FROM '{SF}/part.parquet'").fetchall()
+    want = {k: sum(abs(z - s) <= 8 and abs(q - p) / p <= 0.15 for _, z, q in rows) for k, s, p in rows}
+    assert {r["partkey"]: r["n"] for r in plans.queries()["neighbor_profile"](spark, SF).collect()} == want
+
+
+def test_neighbours_at_odd_prices(spark, tmp_path):
+    """Prices of 0 and below, without a value, not finite, tiny and huge agree with the SQL."""
+    import duckdb
+
+    for t in TABLES:
+        if t != "part":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    odd = "0.0, -90.0, -95.0, -600.0, NULL, 'nan'::DOUBLE, 'inf'::DOUBLE, 1e-300, 1.1e-300, 1e-12, 1e306, 1.1e306, 20.0, 23.0".split(", ")
+    price = "CASE p_partkey " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(odd, 1)) + " ELSE p_retailprice END AS p_retailprice"
+    size = "CASE WHEN p_partkey IN (2, 3, 4) THEN 30 WHEN p_partkey = 7 THEN 1000 WHEN p_partkey < 15 THEN 5 WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END::INT AS p_size"
+    duckdb.execute(f"COPY (SELECT * REPLACE ({price}, {size}) FROM '{SF}/part.parquet') TO '{tmp_path}/part.parquet'")
+    compare(spark, plans.queries()["neighbor_profile"], plans.oracle_sql()["neighbor_profile"], str(tmp_path))
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
